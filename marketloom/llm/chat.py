@@ -7,6 +7,7 @@ escaped, and unescaping gives the input back.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 START, END = "<|im_start|>", "<|im_end|>"
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 ESCAPED = re.compile(r"<(\\*)\|")
 #: Every "<", backslashes, "|" gains one backslash, so a marker never stands in a text and the change can be undone.
 UNESCAPED = re.compile(r"<\\(\\*)\|")
@@ -70,6 +71,17 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[cut, 0].tolist(), np.r_[most[cut[1:] - 1], most[-1]].tolist()))
 
 
+@functools.cache
+def tokenizer(vocabulary: str):
+    """The vocabulary with the two markers as tokens of their own, read once a worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import AddedToken, Tokenizer
+
+    coder = Tokenizer.from_file(vocabulary)
+    coder.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, END)])
+    return coder
+
+
 def format_chats(conversations: DataFrame, *, vocabulary: str = VOCABULARY, learn_role: str = "assistant", batch_chars: int = BATCH_CHARS) -> DataFrame:
     """RESULT, one row per conv_id: the rendered text, token ids, their loss flags and the spans that these cover.
 
@@ -78,14 +90,8 @@ def format_chats(conversations: DataFrame, *, vocabulary: str = VOCABULARY, lear
     other names are not read. Conversations are dealt out by conv_id and stay whole; a task holds those of about
     batch_chars at a time.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer
-
-        coder = Tokenizer.from_file(vocabulary)
-        coder.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, END)])
+        coder = tokenizer(vocabulary)
 
         def whole() -> Iterator[tuple]:
             held, key, first = [], None, True

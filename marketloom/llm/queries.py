@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import chat, fm_index, mixing
+from marketloom.llm import chat, compression, fm_index, mixing, scoring
 from marketloom.llm.common import documents
 
 
+def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(documents(spark, sf_dir))
+
+
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = compression.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    return compression.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -25,6 +36,8 @@ def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_scores": op1_lattice_scores,
+    "op3_compression_quality": op3_compression_quality,
     "op4_fm_decontamination": op4_fm_decontamination,
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_masks": op9_chat_masks,
