@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import chat, compression, fm_index, mixing, scoring
+from marketloom.llm import chat, compression, fm_index, mixing, scoring, simhash
 from marketloom.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_near_counts(simhash.fingerprint_edits(documents(spark, sf_dir)))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_lattice_scores": op1_lattice_scores,
     "op3_compression_quality": op3_compression_quality,
     "op4_fm_decontamination": op4_fm_decontamination,
+    "op5_simhash": op5_simhash,
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_masks": op9_chat_masks,
 }
