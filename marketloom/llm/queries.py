@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import chat, compression, fm_index, mixing, scoring, simhash
+from marketloom.llm import chat, compression, fm_index, mixing, prefix_tree, scoring, simhash
 from marketloom.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_near_counts(simhash.fingerprint_edits(documents(spark, sf_dir)))
 
 
+def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.join_documents(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_compression_quality": op3_compression_quality,
     "op4_fm_decontamination": op4_fm_decontamination,
     "op5_simhash": op5_simhash,
+    "op7_prefix_tree_join": op7_prefix_tree_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_masks": op9_chat_masks,
 }

@@ -175,8 +175,7 @@ def score_documents(
     scored = vocab.mapInArrow(spell, "w binary, c long, p binary")
     found = words.select("shard", "pos", "word").join(scored, F.col("word") == F.col("w")).select("shard", "pos", "c", "p")
 
-    def add_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        del key
+    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {n: left.column(n)[0].as_py() for n in ("docs", "uses", "ids", "held", "tokens")}
         n = right.num_rows
         order = np.argsort(np.asarray(right.column("pos")))
