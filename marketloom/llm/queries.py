@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import chat, compression, fm_index, mixing, prefix_tree, scoring, simhash
+from marketloom.llm import chat, compression, fm_index, mixing, prefix_tree, scoring, simhash, wrapper
 from marketloom.llm.common import documents
 
 
@@ -43,6 +43,10 @@ def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(own))).drop("n_tokens")
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_lattice_scores": op1_lattice_scores,
     "op3_compression_quality": op3_compression_quality,
@@ -51,5 +55,6 @@ QUERIES = {
     "op7_prefix_tree_join": op7_prefix_tree_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_masks": op9_chat_masks,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
 ORACLE = {"op4_fm_decontamination": fm_index.SQL, "op8_source_mixing": mixing.SQL, "op9_chat_masks": chat.SQL}
