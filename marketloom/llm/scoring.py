@@ -1,27 +1,32 @@
 """Operator 1 on Spark: corpus counts, lattice weights and document scores.
 
-One pass turns shards of whole documents into their distinct words and postings. Words are counted over all shards; the
-lattice runs once per distinct word of the corpus, not per use. Word scores go back to the shards that hold the word,
-where the postings add them up. Nothing that grows with the corpus is broadcast or collected: the driver sees one row of
-expected counts per task and as many weights as the vocabulary has pieces.
+One pass turns shards of whole documents into their distinct words and postings. A shard's words are dealt out by hash in
+packed rows, one a bucket; a bucket counts its words over all shards. The lattice runs once per distinct word of the
+corpus, not per use. Word scores go back to the shards that hold the word, where the postings add them up. Nothing that
+grows with the corpus is broadcast or collected: the driver sees as many weights as the vocabulary has pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketloom.llm.common import as_bytes, in_shards, written
+from marketloom.llm.common import LOWER, as_bytes, in_shards, written
 from marketloom.llm.lattice import VOCABULARY, Lattice, batches_by_length, read_pieces
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+#: Text for each bucket of words.
+BUCKET_BYTES = 48 << 20
 #: Most frequent values of the class column with word weights of their own; the rest share one more class.
 CLASSES = 6
 ROUNDS = 2
 END_SHARE = 0.01
+#: Words in a row of the vocabulary table.
+ROW_WORDS = 50_000
 
 
 class _Numbered(dict):
@@ -30,65 +35,138 @@ class _Numbered(dict):
         return n
 
 
-def index_shards(docs: DataFrame, classes: int) -> DataFrame:
-    """Rows (shard, pos, word, c0..) of a shard's distinct words, and one row (pos -1) with its postings and documents."""
-    counts = [f"c{k}" for k in range(classes)]
-    schema = f"shard long, pos int, word binary, {', '.join(f'{c} int' for c in counts)}, docs binary, uses binary, ids array<long>, held array<boolean>, tokens array<long>, kind array<int>"
+def _one(x, kind) -> pa.Array:
+    return pa.array([x], kind)
+
+
+INDEX = "bucket int, shard long, words binary, learnt binary, cuts binary, postings binary, ids array<long>, held array<boolean>"
+
+
+def index_shards(docs: DataFrame, classes: int, buckets: int) -> DataFrame:
+    """INDEX rows. Bucket -1: a shard's postings (its words numbered by bucket, `cuts` where buckets start) and documents.
+
+    Other rows: the shard's words of one bucket, a line each, and as int32 triples (word, class, uses) what is learnt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
+            name = (part << 32) | k
             number = _Numbered()
-            ids = [np.fromiter(map(number.__getitem__, t.lower().split()), np.int64) for t in as_bytes(shard.column("text"))]
+            ids = [np.fromiter(map(number.__getitem__, t.translate(LOWER).split()), np.int32) for t in as_bytes(shard.column("text"))]
             sizes = np.array([len(x) for x in ids], np.int64)
-            flat = np.concatenate(ids)
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            pairs, uses = np.unique((flat << 32) | doc, return_counts=True)
-            word, doc = pairs >> 32, pairs & 0xFFFFFFFF
+            words = list(number)
+            of = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            pairs = np.concatenate(ids).astype(np.int64)
+            del ids
+            pairs = (rank[pairs] << 32) | np.repeat(np.arange(len(sizes)), sizes)
+            pairs.sort()
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+            uses = np.diff(np.r_[first, len(pairs)])
+            word, doc = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
+            del pairs
             held = np.asarray(shard.column("held")).astype(bool)
             kind = np.asarray(shard.column("kind")).astype(np.int64)
-            learnt = ~held[doc]
-            table = np.bincount(word[learnt] * classes + kind[doc[learnt]], uses[learnt], minlength=len(number) * classes).reshape(-1, classes).astype(np.int32)
-            # postings: for each word in turn how many documents, which, and how often
-            lengths = np.bincount(word, minlength=len(number)).astype(np.int32)
-            n = len(number)
-            packed = lengths.tobytes() + doc.astype(np.int32).tobytes()
-            blank = {"docs": pa.nulls(n, pa.binary()), "uses": pa.nulls(n, pa.binary()), "ids": pa.nulls(n, pa.list_(pa.int64())), "held": pa.nulls(n, pa.list_(pa.bool_())), "tokens": pa.nulls(n, pa.list_(pa.int64())), "kind": pa.nulls(n, pa.list_(pa.int32()))}
-            key = pa.array([(part << 32) | k], pa.int64())
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array(np.full(n, (part << 32) | k), pa.int64()), "pos": pa.array(np.arange(n), pa.int32()), "word": pa.array(list(number), pa.binary())} | {c: pa.array(table[:, i]) for i, c in enumerate(counts)} | blank
+            learnt = np.flatnonzero(~held[doc])
+            key = word[learnt] * classes + kind[doc[learnt]]
+            total = np.bincount(key, uses[learnt], minlength=1) if len(key) else np.zeros(0)
+            key = np.flatnonzero(total)
+            triples = np.stack([key // classes, key % classes, total[key]], axis=1).astype(np.int64)
+            at = np.searchsorted(triples[:, 0], cuts)
+            for b in range(buckets):
+                lo, hi = cuts[b], cuts[b + 1]
+                if lo < hi:
+                    mine = triples[at[b] : at[b + 1]] - [lo, 0, 0]
+                    yield pa.RecordBatch.from_arrays(
+                        [_one(b, pa.int32()), _one(name, pa.int64()), _one(b"\n".join(words[i] for i in order[lo:hi]), pa.binary()), _one(mine.astype("<i4").tobytes(), pa.binary()), *(pa.nulls(1, t) for t in (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())))],
+                        names,
+                    )
+            lengths = np.bincount(word, minlength=len(words))
+            packed = b"".join(x.astype("<i4").tobytes() for x in (np.array([len(words), len(doc)]), lengths, doc, uses, sizes))
+            yield pa.RecordBatch.from_arrays(
+                [_one(-1, pa.int32()), _one(name, pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(2)), _one(cuts.astype("<i4").tobytes(), pa.binary()), _one(packed, pa.binary()), _one(shard.column("doc_id").to_pylist(), pa.list_(pa.int64())), _one(held.tolist(), pa.list_(pa.bool_()))],
+                names,
             )
-            one = lambda x, t: pa.array([x], t)
-            yield pa.RecordBatch.from_pydict(
-                {"shard": key, "pos": one(-1, pa.int32()), "word": one(None, pa.binary())}
-                | {c: one(None, pa.int32()) for c in counts}
-                | {
-                    "docs": one(packed, pa.binary()), "uses": one(uses.astype(np.int32).tobytes(), pa.binary()), "ids": one(shard.column("doc_id").to_pylist(), pa.list_(pa.int64())),
-                    "held": one(held.tolist(), pa.list_(pa.bool_())), "tokens": one((sizes + 1).tolist(), pa.list_(pa.int64())), "kind": one(kind.tolist(), pa.list_(pa.int32())),
-                }
-            )
 
-    return docs.mapInArrow(run, schema)
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    return docs.mapInArrow(run, INDEX)
 
 
-def refine(vocabulary: DataFrame, lattice_var, weights: np.ndarray, classes: int) -> np.ndarray:
+WORDS = "bucket int, part int, shard long, words binary, counts binary, uses binary"
+
+
+def count_words(indexed: DataFrame, classes: int, buckets: int) -> DataFrame:
+    """WORDS rows. Without a shard: words of a bucket, a line each, with int64 counts by class. With one: the numbers
+    that the shard's words of the bucket have in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(bucket: int, number: dict, triples: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros((len(number), classes), np.int64)
+            for t in triples:
+                np.add.at(table, (t[:, 0], t[:, 1]), t[:, 2])
+            words = list(number)
+            for k in range(0, len(words), ROW_WORDS):
+                yield pa.RecordBatch.from_arrays([_one(bucket, pa.int32()), _one(k // ROW_WORDS, pa.int32()), _one(None, pa.int64()), _one(b"\n".join(words[k : k + ROW_WORDS]), pa.binary()), _one(table[k : k + ROW_WORDS].tobytes(), pa.binary()), _one(None, pa.binary())], names)
+
+        number, triples, last = _Numbered(), [], None
+        for b in batches:
+            for bucket, shard, words, learnt in zip(*(b.column(c).to_pylist() for c in ("bucket", "shard", "words", "learnt"))):
+                if bucket != last and last is not None:
+                    yield from counted(last, number, triples)
+                    number, triples = _Numbered(), []
+                last = bucket
+                ids = np.array([number[w] for w in words.split(b"\n")], np.int32)
+                t = np.frombuffer(learnt, "<i4").reshape(-1, 3).astype(np.int64)
+                t[:, 0] = ids[t[:, 0]]
+                triples.append(t)
+                yield pa.RecordBatch.from_arrays([_one(bucket, pa.int32()), _one(1 << 30, pa.int32()), _one(shard, pa.int64()), _one(None, pa.binary()), _one(None, pa.binary()), _one(ids.astype("<i4").tobytes(), pa.binary())], names)
+        if last is not None:
+            yield from counted(last, number, triples)
+
+    names = [x.split()[0] for x in WORDS.split(", ")]
+    rows = indexed.where("bucket >= 0").select("bucket", "shard", "words", "learnt")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, WORDS)
+
+
+def vocabulary_facts(counted: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Uses by class, words used once by class, and the number of words that are learnt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 * classes + 1, np.int64)
+        for b in batches:
+            for raw in b.column("counts").to_pylist():
+                t = np.frombuffer(raw, np.int64).reshape(-1, classes)
+                out += np.r_[t.sum(axis=0), (t == 1).sum(axis=0), (t.sum(axis=1) > 0).sum()]
+        yield pa.RecordBatch.from_pydict({f"x{i}": pa.array([int(v)], pa.int64()) for i, v in enumerate(out)})
+
+    columns = [f"x{i}" for i in range(2 * classes + 1)]
+    rows = counted.where("shard is null").select("counts").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    got = np.array([v or 0 for v in rows.agg(*[F.sum(c).alias(c) for c in columns]).first()], np.int64)
+    return got[:classes], got[classes : 2 * classes], int(got[-1])
+
+
+def refine(counted: DataFrame, lattice_var, weights: np.ndarray, classes: int) -> np.ndarray:
     """One round: expected uses of the pieces in the distinct words that each class has learnt."""
-    spark = vocabulary.sparkSession
+    spark = counted.sparkSession
     held = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, w = lattice_var.value, held.value
         out = np.zeros((classes, w.shape[1]))
         for b in batches:
-            words = as_bytes(b.column("word"))
-            counts = np.stack([np.asarray(b.column(f"c{k}")) for k in range(classes)])
-            for k in range(classes):
-                mine = [words[i] for i in np.flatnonzero(counts[k])]
-                out[k, -1] += len(mine)
-                for _, letters in batches_by_length(mine):
-                    out[k, :-1] += lattice.expected(letters, w[k])
+            for text, raw in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
+                words, counts = text.split(b"\n"), np.frombuffer(raw, np.int64).reshape(-1, classes)
+                for k in range(classes):
+                    mine = [words[i] for i in np.flatnonzero(counts[:, k])]
+                    out[k, -1] += len(mine)
+                    for _, letters in batches_by_length(mine):
+                        out[k, :-1] += lattice.expected(letters, w[k])
         yield pa.RecordBatch.from_pydict({"x": pa.array([out.astype("<f8").tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +179,14 @@ def refine(vocabulary: DataFrame, lattice_var, weights: np.ndarray, classes: int
             yield pa.RecordBatch.from_pydict({"x": pa.array([total.tobytes()], pa.binary())})
 
     # tasks' sums meet in a few tasks first: the driver gets at most eight
-    parts = vocabulary.mapInArrow(run, "x binary").repartition(8).mapInArrow(add, "x binary").collect()
+    parts = counted.where("shard is null").select("words", "counts").mapInArrow(run, "x binary").repartition(8).mapInArrow(add, "x binary").collect()
     total = sum((np.frombuffer(bytes(r["x"]), "<f8").reshape(classes, -1) for r in parts), np.zeros((classes, weights.shape[1])))
     # a pinch of the shared weights keeps every piece possible in every class
     everywhere = total.sum(axis=0)
-    lattice = lattice_var.value
     out = []
     for k in range(classes):
         mixed = total[k] + 0.01 * (everywhere + 1) * (total[k, -1] + 1) / (everywhere[-1] + 1)
-        out.append(lattice.weights(mixed[:-1], mixed[-1]))
+        out.append(lattice_var.value.weights(mixed[:-1], mixed[-1]))
     return np.array(out)
 
 
@@ -136,60 +213,71 @@ def score_documents(
     for k, name in enumerate(names):
         kind = F.when(F.col("label") == name, k).otherwise(kind)
     n_classes = len(names) + 1
-    shards = written(index_shards(rows.select("doc_id", "text", "held", kind.cast("int").alias("kind")), n_classes), "postings")
-    columns = [f"c{k}" for k in range(n_classes)]
-    words = shards.where("pos >= 0")
-    vocab = written(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]), "vocabulary")
-
-    any_ = sum((F.col(c) for c in columns), F.lit(0))
-    facts = vocab.agg(F.coalesce(F.sum(any_), F.lit(0)).alias("n"), F.count_if(any_ > 0).alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in columns], *[F.count_if(F.col(c) == 1).alias(f"once_{c}") for c in columns]).first()
-    ends = {r[0]: r[1] for r in rows.where("not held").groupBy(kind.alias("k")).count().collect()}
-    n_docs = np.array([ends.get(k, 0) for k in range(n_classes)], float)
-    total, distinct = int(facts["n"] + n_docs.sum()), int(facts["v"] + (n_docs.sum() > 0))
-    n_class = np.array([facts[f"n_{c}"] for c in columns], float) + n_docs
-    added = np.array([facts[f"once_{c}"] for c in columns], float) + 1  # as much as was seen once stands for what wasn't seen
-    share = np.log10((n_docs + 1) / (n_docs + 1).sum())
+    ends, volume = np.zeros(n_classes), 0
+    for r in rows.groupBy(kind.alias("k")).agg(F.count_if(~F.col("held")).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).collect():
+        ends[r["k"]], volume = r["n"], volume + r["b"]
+    buckets = max(6, int(volume // BUCKET_BYTES) + 1)
+    indexed = written(index_shards(rows.select("doc_id", "text", "held", kind.cast("int").alias("kind")), n_classes, buckets), "postings")
+    counted = written(count_words(indexed, n_classes, buckets), "vocabulary")
+
+    uses_of, once, distinct = vocabulary_facts(counted, n_classes)
+    total, distinct = int(uses_of.sum() + ends.sum()), distinct + int(ends.sum() > 0)
+    n_class = uses_of + ends
+    added = once + 1.0  # as much as was seen once stands for what wasn't seen
+    share = np.log10((ends + 1) / (ends + 1).sum())
 
     lattice = Lattice(read_pieces(vocabulary))
     lattice_var = spark.sparkContext.broadcast(lattice)
     weights = np.repeat(lattice.first_weights()[None], n_classes, axis=0)
     for _ in range(rounds):
-        weights = refine(vocab, lattice_var, weights, n_classes)
+        weights = refine(counted, lattice_var, weights, n_classes)
     weights_var = spark.sparkContext.broadcast(weights)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a bucket's words come first, in order, then the shards that use them
+        c, p, last = [], [], None
         for b in batches:
-            texts = as_bytes(b.column("word"))
-            counts = np.stack([np.asarray(b.column(c)) for c in columns], axis=1).astype(float)
-            base = np.empty((len(texts), n_classes))
-            for at, letters in batches_by_length(texts):
-                base[at] = lattice_var.value.forward(letters, weights_var.value)
-            # logaddexp keeps a long word's tiny lattice probability from becoming 0
-            with np.errstate(divide="ignore"):
-                seen = np.log(counts)
-            found = (np.logaddexp(seen, np.log(added * (1 - END_SHARE)) + base) - np.log(n_class + added)) / np.log(10)
-            yield pa.RecordBatch.from_pydict({"w": b.column("word"), "c": pa.array(counts.sum(axis=1).astype(np.int64)), "p": pa.array([r.tobytes() for r in found.astype("<f8")], pa.binary())})
-
-    end_score = np.log10((n_docs + added * END_SHARE) / (n_class + added))
-    ends_seen = int(n_docs.sum())
-    scored = vocab.mapInArrow(spell, "w binary, c long, p binary")
-    found = words.select("shard", "pos", "word").join(scored, F.col("word") == F.col("w")).select("shard", "pos", "c", "p")
+            for bucket, shard, text, raw, uses in zip(*(b.column(n).to_pylist() for n in ("bucket", "shard", "words", "counts", "uses"))):
+                if bucket != last:
+                    c, p, last = [], [], bucket
+                if shard is None:
+                    words, counts = text.split(b"\n"), np.frombuffer(raw, np.int64).reshape(-1, n_classes)
+                    base = np.empty((len(words), n_classes))
+                    for at, letters in batches_by_length(words):
+                        base[at] = lattice_var.value.forward(letters, weights_var.value)
+                    # logaddexp keeps a long word's tiny lattice probability from becoming 0
+                    with np.errstate(divide="ignore"):
+                        seen = np.log(counts)
+                    p.append(((np.logaddexp(seen, np.log(added * (1 - END_SHARE)) + base) - np.log(n_class + added)) / np.log(10)).astype("<f4"))
+                    c.append(counts.sum(axis=1))
+                    continue
+                if len(c) > 1:
+                    c, p = [np.concatenate(c)], [np.concatenate(p)]
+                ids = np.frombuffer(uses, "<i4")
+                yield pa.RecordBatch.from_pydict({"to": _one(shard, pa.int64()), "bucket": _one(bucket, pa.int32()), "c": _one(c[0][ids].astype("<i8").tobytes(), pa.binary()), "p": _one(p[0][ids].tobytes(), pa.binary())})
+
+    scored = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(answer, "to long, bucket int, c binary, p binary")
+    end_score = np.log10((ends + added * END_SHARE) / (n_class + added))
+    ends_seen = int(ends.sum())
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {n: left.column(n)[0].as_py() for n in ("docs", "uses", "ids", "held", "tokens")}
-        n = right.num_rows
-        order = np.argsort(np.asarray(right.column("pos")))
-        c = np.asarray(right.column("c"))[order]
-        p = np.frombuffer(b"".join(right.column("p").to_pylist()), "<f8").reshape(n, n_classes)[order]
-        lengths, doc = np.split(np.frombuffer(row["docs"], np.int32), [n])
-        word, uses, size = np.repeat(np.arange(n), lengths), np.frombuffer(row["uses"], np.int32), len(row["ids"])
-        sums = np.stack([np.bincount(doc, uses * p[word, k], minlength=size) + end_score[k] + share[k] for k in range(n_classes)], axis=1)
+        row = {n: left.column(n)[0].as_py() for n in ("cuts", "postings", "ids", "held")}
+        cuts, packed = np.frombuffer(row["cuts"], "<i4"), np.frombuffer(row["postings"], "<i4")
+        n, m = packed[:2]
+        lengths, doc, uses, sizes = np.split(packed[2:], np.cumsum([n, m, m]))
+        c, p = np.zeros(n, np.int64), np.zeros((n, n_classes), np.float32)
+        for bucket, rc, rp in zip(*(right.column(x).to_pylist() for x in ("bucket", "c", "p"))):
+            c[cuts[bucket] : cuts[bucket + 1]] = np.frombuffer(rc, "<i8")
+            p[cuts[bucket] : cuts[bucket + 1]] = np.frombuffer(rp, "<f4").reshape(-1, n_classes)
+        size = len(row["ids"])
+        word = np.repeat(np.arange(n), lengths)
+        sums = np.stack([np.bincount(doc, uses * p[word, k].astype(float), minlength=size) + end_score[k] + share[k] for k in range(n_classes)], axis=1)
         most = sums.max(axis=1)
         mixed = most + np.log10((10 ** (sums - most[:, None])).sum(axis=1))
         low = total + 0.5 * (distinct + 1)
         base = np.bincount(doc, uses * np.log10((c[word] + 0.5) / low), minlength=size) + np.log10((ends_seen + 0.5) / low)
         known = np.bincount(doc, uses * (c[word] > 0), minlength=size).astype(np.int64) + (ends_seen > 0)
-        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(row["tokens"], pa.int64()), "n_known": known, "train_tokens": np.full(size, total), "base_score": base, "score": mixed})
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": sizes.astype(np.int64) + 1, "n_known": known, "train_tokens": np.full(size, total), "base_score": base, "score": mixed})
 
-    posted = shards.where("pos < 0").select(F.col("shard").alias("of"), "docs", "uses", "ids", "held", "tokens")
-    return posted.groupBy("of").cogroup(found.groupBy("shard")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    posted = indexed.where("bucket < 0").select(F.col("shard").alias("of"), "cuts", "postings", "ids", "held")
+    return posted.groupBy("of").cogroup(scored.groupBy("to")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
