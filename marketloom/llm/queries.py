@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import chat, compression, fm_index, mixing, prefix_tree, scoring, simhash, wrapper
+from marketloom.llm import chat, compression, fm_index, longest_factor, mixing, prefix_tree, scoring, simhash, wrapper
 from marketloom.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_near_counts(simhash.fingerprint_edits(documents(spark, sf_dir)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_factor.dedup_substrings(documents(spark, sf_dir)).drop("spans")
+
+
 def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tree.join_documents(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_compression_quality": op3_compression_quality,
     "op4_fm_decontamination": op4_fm_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_prefix_tree_join": op7_prefix_tree_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_masks": op9_chat_masks,
