@@ -2,8 +2,8 @@
 
 1. Every text's shingles are hashed, dealt out by hash and counted over all documents. A document can only be linked to
    another if at least the threshold's share of its shingles occurs elsewhere, which clears nearly all documents.
-2. Equal sets become one class. Shingles are ordered by hash, the same for all sets, and classes that may be linked meet
-   at a shingle of both their prefixes (the least part of a set that any similar set must touch).
+2. Equal sets become one class. Shingles are ordered by how many classes have them, rarest first, then by hash; classes
+   that may be linked meet at a shingle of both their prefixes (the part of a set that any similar set must touch).
 3. Classes that meet, directly or in turn, make up a candidate group. A group is cut into blocks, and each pair of blocks
    is one piece of work: a prefix tree of the one's ordered sets is traversed with each set of the other.
 4. Links found join classes to components; copies of a set share its class. No link is missed and none is guessed.
@@ -170,8 +170,8 @@ def _scan(docs: DataFrame, buckets: int, size: int) -> DataFrame:
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
             counts = [np.bincount(doc[order[cut[b] : cut[b + 1]]], minlength=n).astype("<u4" if sizes.max() > 65535 else "<u2").tobytes() for b in rows]
-            # 40 bits a hash: enough that a chance meeting merely keeps a document in the candidates
-            tokens = [((flat[order[cut[b] : cut[b + 1]]] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for b in rows]
+            # 32 bits a hash: a chance meeting in a bucket merely keeps a document in the candidates
+            tokens = [(flat[order[cut[b] : cut[b + 1]]] >> np.uint64(32)).astype("<u4").tobytes() for b in rows]
             m = len(rows)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -190,10 +190,7 @@ def _shared_counts(scanned: DataFrame, buckets: int) -> DataFrame:
         def judged(held: list[tuple]) -> pa.RecordBatch:
             parts, docs = [], []
             for _, rows, counts, tokens in held:
-                raw = np.frombuffer(tokens, np.uint8).reshape(-1, 5)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :5] = raw
-                parts.append(wide.view("<u8")[:, 0])
+                parts.append(np.frombuffer(tokens, "<u4"))
                 docs.append(np.frombuffer(counts, "<u4" if len(counts) == 4 * rows else "<u2").astype(np.int64))
             flat = np.concatenate(parts)
             order = np.argsort(flat)
@@ -243,40 +240,104 @@ def _with_shared(judged: DataFrame) -> DataFrame:
     return judged.groupBy("shard").applyInArrow(run, "doc_id long, n long, key binary, shared long")
 
 
+PACKED = "batch long, cls binary, n binary, tokens binary"
+
+
 def _candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
-    """(cls, n, tokens): one row for each distinct set of the candidates, cls the least doc_id that has it."""
+    """PACKED rows of distinct sets of the candidates; cls is the least doc_id that has the set."""
     chosen = candidates.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(w, size) for w in word_hashes(as_bytes(b.column("text")))]
-            same = [i for i, (s, k) in enumerate(zip(sets, b.column("key").to_pylist())) if set_key(s) == k]
-            yield pa.RecordBatch.from_pydict({"cls": b.column("doc_id").take(pa.array(same, pa.int64())), "key": pa.array([set_key(sets[i]) for i in same], pa.binary()), "n": pa.array([len(sets[i]) for i in same], pa.int64()), "tokens": pa.array([sets[i].astype("<u8").tobytes() for i in same], pa.binary())})
+        from pyspark import TaskContext
 
-    return docs.join(chosen, "doc_id").mapInArrow(run, "cls long, key binary, n long, tokens binary").dropDuplicates(["cls", "key"]).drop("key")
+        part = TaskContext.get().partitionId()
+        for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
+            sets = [shingle_set(w, size) for w in word_hashes(as_bytes(shard.column("text")))]
+            same = [i for i, (s, key) in enumerate(zip(sets, shard.column("key").to_pylist())) if set_key(s) == key]
+            if same:
+                cls = np.array(shard.column("doc_id").to_pylist(), "<i8")[same]
+                yield pa.RecordBatch.from_pydict({"batch": [(part << 32) | k], "cls": [cls.tobytes()], "n": [np.array([len(sets[i]) for i in same], "<i8").tobytes()], "tokens": [np.concatenate([sets[i] for i in same]).astype("<u8").tobytes()]})
 
+    return docs.join(chosen, "doc_id").dropDuplicates(["doc_id", "key", "text"]).mapInArrow(run, PACKED)
 
-def _meetings(classes: DataFrame, link: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) between classes that share a shingle of both prefixes: each class with the least one at the shingle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heads(packed: DataFrame, buckets: int, link: tuple[int, int]) -> DataFrame:
+    """(cls, token): the prefix of each class, shingles in order of how many classes have them, then of hash.
+
+    Shingles of one class come first and can't be met, so they are counted but not returned."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, n, raw in zip(b.column("cls").to_pylist(), b.column("n").to_pylist(), b.column("tokens").to_pylist()):
-                head = np.frombuffer(raw, "<u8")[: n - least_overlap(n, link) + 1]
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(np.full(len(head), c), pa.int64()), "token": pa.array(head.astype(np.int64))})
+            for name, raw in zip(b.column("batch").to_pylist(), b.column("tokens").to_pylist()):
+                tokens = np.frombuffer(raw, "<u8")
+                bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                rows = [x for x in range(buckets) if cut[x] < cut[x + 1]]
+                short = (tokens >> np.uint64(32)).astype("<u4")
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows, pa.int32()), "to": pa.array([name] * len(rows), pa.int64()), "short": pa.array([short[order[cut[x] : cut[x + 1]]].tobytes() for x in rows], pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(bucket: int, held: list[tuple]) -> pa.RecordBatch:
+            parts = [np.frombuffer(x[1], "<u4") for x in held]
+            _, place, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            found = np.minimum(many, 65535).astype("<u2")[place]
+            cuts = np.cumsum([len(p) for p in parts])[:-1]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * len(held), pa.int32()), "to": pa.array([x[0] for x in held], pa.int64()), "many": pa.array([x.tobytes() for x in np.split(found, cuts)], pa.binary())})
 
-    heads = classes.mapInArrow(run, "cls long, token long")
+        held, last = [], None
+        for b in batches:
+            for bucket, to, short in zip(*(b.column(c).to_pylist() for c in ("bucket", "to", "short"))):
+                if bucket != last and held:
+                    yield counted(last, held)
+                    held = []
+                last = bucket
+                held.append((to, short))
+        if held:
+            yield counted(last, held)
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        tokens, n = np.frombuffer(left.column("tokens")[0].as_py(), "<u8"), np.frombuffer(left.column("n")[0].as_py(), "<i8")
+        cls = np.frombuffer(left.column("cls")[0].as_py(), "<i8")
+        order = np.argsort((tokens % np.uint64(buckets)).astype(np.int64), kind="stable")
+        many = np.empty(len(tokens), np.int64)
+        many[order] = np.frombuffer(b"".join(right.sort_by("bucket").column("many").to_pylist()), "<u2")
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((tokens, many, owner))
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+        head = (place <= n[owner] - least_overlap(n, link)[owner]) & (many[order] > 1)
+        return pa.table({"cls": pa.array(cls[owner[head]], pa.int64()), "token": pa.array(tokens[order[head]].astype(np.int64))})
+
+    dealt = packed.select("batch", "tokens").mapInArrow(deal, "bucket int, to long, short binary")
+    answers = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, to long, many binary")
+    return packed.groupBy("batch").cogroup(answers.groupBy("to")).applyInArrow(choose, "cls long, token long")
+
+
+def _meetings(heads: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes that share a shingle of both prefixes: each class with the least one at the shingle."""
     first = heads.groupBy("token").agg(F.min("cls").alias("a"), F.count("*").alias("k")).where("k > 1")
     return heads.join(first, "token").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
 
 
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """(cls, tokens), one row a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, n, raw in zip(*(b.column(c).to_pylist() for c in ("cls", "n", "tokens"))):
+                ends = 8 * np.cumsum(np.frombuffer(n, "<i8"))
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(np.frombuffer(cls, "<i8")), "tokens": pa.array([raw[x:y] for x, y in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())], pa.binary())})
+
+    return packed.mapInArrow(run, "cls long, tokens binary")
+
+
 def _blocks(classes: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """(grp, i, j, side, cls, tokens): each class once for each pair of blocks of its group that holds its block."""
     held = classes.join(groups.select(F.col("id").alias("cls"), F.col("component").alias("grp")), "cls")
     count = held.groupBy("grp").agg(F.count("*").alias("k")).withColumn("parts", F.ceil(F.col("k") / block).cast("int")).select("grp", "parts")
     dealt = held.join(count, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    return dealt.withColumn("p", F.explode(pairs)).select("grp", "p.i", "p.j", "own", "cls", "n", "tokens", "parts")
+    return dealt.withColumn("p", F.explode(pairs)).select("grp", "p.i", "p.j", "own", "cls", "tokens")
 
 
 def _links(blocks: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -325,9 +386,11 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     judged = written(_shared_counts(_scan(rows, buckets, size), buckets), "shared-counts")
     facts = written(_with_shared(judged), "set-facts")
     candidates = facts.where(f"n > 0 and shared * {link[1]} >= n * {link[0]}")
-    classes = written(_candidate_sets(rows, candidates, size), "classes")
-    groups = components(_meetings(classes, link))
-    linked = components(_links(_blocks(classes, groups, block), link))
+    packed = written(_candidate_sets(rows, candidates, size), "classes")
+    volume = candidates.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    heads = written(_heads(packed, max(6, int(volume // BUCKET_TOKENS) + 1), link), "heads")
+    groups = components(_meetings(heads))
+    linked = components(_links(_blocks(_unpacked(packed), groups, block), link))
     # a class is named by its least doc_id, so a component's least class is its least document
     least = candidates.groupBy("key").agg(F.min("doc_id").alias("cls"))
     named = least.join(linked.select(F.col("id").alias("cls"), F.col("component").alias("far")), "cls", "left").select("key", F.coalesce("far", "cls").alias("component"))
