@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import chat, compression, fm_index, longest_factor, mixing, prefix_tree, scoring, simhash, wrapper
+from marketloom.llm import chat, compression, fm_index, longest_factor, mixing, paragraphs, prefix_tree, scoring, simhash, wrapper
 from marketloom.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_documents(documents(spark, sf_dir))
 
 
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.digests(paragraphs.dedup_paragraphs(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = compression.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -53,6 +57,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lattice_scores": op1_lattice_scores,
+    "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_compression_quality": op3_compression_quality,
     "op4_fm_decontamination": op4_fm_decontamination,
     "op5_simhash": op5_simhash,
