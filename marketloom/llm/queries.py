@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from marketloom.llm import chat, compression, fm_index, longest_factor, mixing, paragraphs, prefix_tree, scoring, simhash, wrapper
 from marketloom.llm.common import documents
 
@@ -56,6 +57,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_lattice_scores": op1_lattice_scores,
     "op2_paragraph_minhash": op2_paragraph_minhash,
     "op3_compression_quality": op3_compression_quality,
