@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marketloom.plans import changes, facts, market, records
+from marketloom.plans import changes, facts, market, records, streams
 
 FLAGSHIP = "province_market_read"
-MODULES = (market, facts, changes, records)
+MODULES = (market, facts, changes, records, streams)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
