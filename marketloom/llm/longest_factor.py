@@ -374,3 +374,18 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     clean = told.where("is_first and flags is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("key")).alias("kept_sha256"), none.alias("spans"))
     return searched.unionByName(copies).unionByName(clean)
+
+
+#: All windows of 100 bytes as hexadecimal strings.
+SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, k, md5(substr(h, 2 * k + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS k FROM t WHERE len(h) >= 200)),
+f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) > 1 AS again FROM p),
+m AS (SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS gap FROM f WHERE again),
+s AS (SELECT doc_id, k, sum(CASE WHEN gap IS NULL OR gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM m),
+r AS (SELECT doc_id, run, min(k) AS a, max(k) + 100 AS b FROM s GROUP BY doc_id, run),
+q AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS s, list(b ORDER BY a) AS e FROM r GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN q.doc_id IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(s) + 1), lambda i: substr(h, 2 * CASE WHEN i = 0 THEN 0 ELSE e[i] END + 1, 2 * (CASE WHEN i = len(s) THEN len(h) // 2 ELSE s[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE e[i] END))), '') END)) AS kept_sha256
+FROM t LEFT JOIN q USING (doc_id)
+"""

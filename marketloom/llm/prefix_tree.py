@@ -396,3 +396,16 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     named = least.join(linked.select(F.col("id").alias("cls"), F.col("component").alias("far")), "cls", "left").select("key", F.coalesce("far", "cls").alias("component"))
     alone = facts.where(f"n = 0 or shared * {link[1]} < n * {link[0]}").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return alone.unionByName(candidates.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
+
+
+#: Links by a join on shingle strings, components by a recursive walk.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reach) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.id = d.doc_id GROUP BY d.doc_id
+"""

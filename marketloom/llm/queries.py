@@ -69,4 +69,4 @@ QUERIES = {
     "op9_chat_masks": op9_chat_masks,
     "op10_wrapper_induction": op10_wrapper_induction,
 }
-ORACLE = {"op4_fm_decontamination": fm_index.SQL, "op8_source_mixing": mixing.SQL, "op9_chat_masks": chat.SQL}
+ORACLE = {"op6_suffix_dedup": longest_factor.SQL, "op7_prefix_tree_join": prefix_tree.SQL, "op4_fm_decontamination": fm_index.SQL, "op8_source_mixing": mixing.SQL, "op9_chat_masks": chat.SQL}
