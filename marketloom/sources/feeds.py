@@ -60,14 +60,14 @@ def quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def record(pairs: Column, fields: list[str]) -> list[Column]:
     """Columns out of an array of (Name, Value.Literal) pairs; the last of equal names counts."""
     entries = F.transform(pairs, lambda p: F.struct(p["Name"].alias("k"), p["Value"]["Literal"].alias("v")))
-    last = lambda f: F.element_at(F.filter(entries, lambda e: e["k"] == f), -1)["v"]
-    return [F.when(F.size(F.filter(entries, lambda e, f=f: e["k"] == f)) > 0, last(f)).alias(f) for f in fields]
+    of = lambda f: F.filter(entries, lambda e: e["k"] == f)
+    return [F.when(F.size(of(f)) > 0, F.element_at(of(f), -1)["v"]).alias(f) for f in fields]
 
 
 def month_day_year(text: Column) -> Column:
     """A date out of M/D/YYYY; null for anything that is none."""
     parts = F.regexp_extract(text, r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})", 0)
-    return F.try_to_date(F.trim(parts), F.lit("M/d/yyyy")) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.trim(parts), F.lit("M/d/yyyy")))
+    return F.try_to_timestamp(F.trim(parts), F.lit("M/d/yyyy")).cast("date")
 
 
 def starting_prices(pages: DataFrame, key: str, text: str = "text", least: int = 10_000, most: int = 300_000) -> DataFrame:

@@ -86,15 +86,18 @@ def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None) ->
     return spark.table(name)
 
 
-def new_only(batch: DataFrame, known_path: str, keys: list[str]) -> DataFrame:
-    """A micro-batch's rows whose keys no earlier batch had; appends them to the known table (for foreachBatch)."""
-    spark = batch.sparkSession
+def new_only(batch: DataFrame, known_path: str, keys: list[str], batch_id: int) -> DataFrame:
+    """A micro-batch's rows whose keys no earlier batch had (for foreachBatch).
+
+    Each batch is a folder of the known table, so a batch that is run again replaces what it wrote and returns the same.
+    """
+    spark, own = batch.sparkSession, f"{known_path}/batch_id={batch_id}"
+    fresh = batch.dropDuplicates(keys)
     try:
-        fresh = batch.dropDuplicates(keys).join(spark.read.parquet(known_path).select(*keys), keys, "left_anti")
+        earlier = spark.read.parquet(known_path).where(F.col("batch_id") != batch_id).select(*keys)
+        fresh = fresh.join(earlier, keys, "left_anti")
     except Exception as missing:  # the table starts with the first batch
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        fresh = batch.dropDuplicates(keys)
-    fresh = fresh.persist()
-    fresh.write.mode("append").parquet(known_path)
-    return fresh
+    fresh.write.mode("overwrite").parquet(own)
+    return spark.read.schema(batch.schema).parquet(own)

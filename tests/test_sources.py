@@ -64,4 +64,7 @@ def test_cache(spark):
 def test_new_only(spark, tmp_path):
     path = f"file://{tmp_path}/known"
     df = spark.createDataFrame([(1,), (1,), (2,)], "id int")
-    assert events.new_only(df, path, ["id"]).count() == 2 and events.new_only(df.union(spark.createDataFrame([(3,)], "id int")), path, ["id"]).count() == 1
+    more = df.union(spark.createDataFrame([(3,)], "id int"))
+    assert events.new_only(df, path, ["id"], 0).count() == 2
+    for _ in range(2):  # a batch that is run again
+        assert [r["id"] for r in events.new_only(more, path, ["id"], 1).collect()] == [3]
