@@ -15,9 +15,13 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def comparables(probes: DataFrame, items: DataFrame, keys: Sequence[str], item_id: str, near: str, price: str, k: int = 3) -> DataFrame:
-    """(item_id, comp_id, rank): for each probe the k other items of its model that are nearest in `near`, then cheapest."""
+    """(item_id, comp_id, rank): for each probe the k other items of its model that are nearest in `near`, then cheapest.
+
+    Of items that are equally far only the k + 1 cheapest can be among a probe's k, so the rest never meet it.
+    """
     p = probes.select(*keys, item_id, F.col(near).alias("__near"))
     i = items.select(*keys, F.col(item_id).alias("comp_id"), F.col(near).alias("__n"), F.col(price).alias("__p")).where("__p > 0")
+    i = top_per_group(i, [*keys, "__n"], [F.col("__p"), F.col("comp_id")], k + 1)
     rows = p.join(i, list(keys)).where(F.col(item_id) != F.col("comp_id"))
     order = Window.partitionBy(item_id).orderBy(F.abs(F.col("__n") - F.col("__near")), "__p", "comp_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(item_id, "comp_id", "rank")

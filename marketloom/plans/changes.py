@@ -13,8 +13,8 @@ MONEY = "decimal(18,2)"
 
 
 def _state(spark, sf_dir) -> DataFrame:
-    """Yesterday's lots: parts that aren't divisible by 7, with a few sold ones."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0")
+    """Yesterday's lots: all sizes but the newest, with a few sold ones."""
+    p = table(spark, sf_dir, "part").where("p_size <= 43")
     return p.select(
         F.col("p_partkey").alias("vin"), "p_brand", F.when(F.col("p_partkey") % 4 == 0, F.lit(None)).otherwise(F.col("p_type")).alias("model"), F.col("p_retailprice").cast(MONEY).alias("price"), F.lit(False).alias("demo"),
         F.to_date(F.lit("2024-01-01")).alias("first_seen"), F.to_date(F.lit("2024-01-31")).alias("last_seen"), F.when(F.col("p_partkey") % 13 == 0, F.to_date(F.lit("2024-01-20"))).alias("delisted_on"),
@@ -22,16 +22,16 @@ def _state(spark, sf_dir) -> DataFrame:
 
 
 def _seen(spark, sf_dir) -> DataFrame:
-    """Today's crawl: parts that aren't divisible by 5; some prices moved or are gone, some descriptions are empty."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0")
+    """Today's crawl: all sizes but the smallest; some prices moved or are gone, some descriptions are empty."""
+    p = table(spark, sf_dir, "part").where("p_size > 10")
     price = F.when(F.col("p_partkey") % 11 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") + 10).otherwise(F.col("p_retailprice"))
     return p.select(F.col("p_partkey").alias("vin"), "p_brand", F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.col("p_type")).alias("model"), price.cast(MONEY).alias("price"), (F.col("p_partkey") % 17 == 0).alias("demo"))
 
 
 STATE = f"""state AS (SELECT p_partkey AS vin, p_brand, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS model, CAST(p_retailprice AS DECIMAL(18,2)) AS price, false AS demo, '2024-01-01' AS first_seen, '2024-01-31' AS last_seen,
-  CASE WHEN p_partkey % 13 = 0 THEN '2024-01-20' END AS delisted_on FROM part WHERE p_partkey % 7 <> 0),
+  CASE WHEN p_partkey % 13 = 0 THEN '2024-01-20' END AS delisted_on FROM part WHERE p_size <= 43),
 seen AS (SELECT p_partkey AS vin, p_brand, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END AS model, CAST(CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_retailprice + 10 ELSE p_retailprice END AS DECIMAL(18,2)) AS price,
-  p_partkey % 17 = 0 AS demo FROM part WHERE p_partkey % 5 <> 0)"""
+  p_partkey % 17 = 0 AS demo FROM part WHERE p_size > 10)"""
 
 
 def _dates(df: DataFrame, *names: str) -> DataFrame:
@@ -50,7 +50,7 @@ def price_history(spark, sf_dir):
 
 
 def delisted(spark, sf_dir):
-    out = merge.mark_delisted(_state(spark, sf_dir), _seen(spark, sf_dir).where("p_brand <> 'Brand#13' or vin % 3 = 0"), "p_brand", "vin", DAY)
+    out = merge.mark_delisted(_state(spark, sf_dir), _seen(spark, sf_dir).where("p_brand <> 'Brand#13' or price > 950"), "p_brand", "vin", DAY)
     return _dates(out.where("delisted_on is not null"), "delisted_on").select("vin", "p_brand", "delisted_on")
 
 
@@ -80,14 +80,14 @@ def audited_columns(spark, sf_dir):
 
 def unknown_recalls(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    fresh = p.select("p_partkey", F.lower("p_brand").alias("make"), "p_type").where("p_partkey % 3 = 0")
-    return merge.new_keys(fresh, p.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_brand").alias("make")), ["p_partkey", "make"])
+    fresh = p.where("p_size > 20").select("p_partkey", F.lower("p_brand").alias("make"), "p_type")
+    return merge.new_keys(fresh, p.where("p_size <= 35").select("p_partkey", F.col("p_brand").alias("make")), ["p_partkey", "make"])
 
 
 def alias_rows(spark, sf_dir):
     """Rows copied under an alias where the alias lacks them, and aliases whose origin is gone."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_retailprice").cast(MONEY).alias("price"))
-    origin = p.where("p_brand = 'Brand#11' and p_partkey % 4 <> 0").select("p_type", "price").distinct()
+    p = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", F.col("p_retailprice").cast(MONEY).alias("price"))
+    origin = p.where("p_brand = 'Brand#11' and p_size > 12").select("p_type", "price").distinct()
     alias = p.where("p_brand = 'Brand#12'").select("p_type", "price").distinct()
     key = ["p_type", "price"]
     return origin.join(alias, key, "left_anti").withColumn("action", F.lit("insert")).unionByName(alias.join(origin, key, "left_anti").withColumn("action", F.lit("delete")))
@@ -104,11 +104,11 @@ def kept_rows(spark, sf_dir):
 
 
 def collapse_guard(spark, sf_dir):
-    return guards.collapse(_state(spark, sf_dir), _seen(spark, sf_dir).where("p_brand <> 'Brand#21' or vin % 9 = 0"), "p_brand")
+    return guards.collapse(_state(spark, sf_dir), _seen(spark, sf_dir).where("p_brand <> 'Brand#21' or price > 990"), "p_brand")
 
 
 def freshness_guard(spark, sf_dir):
-    return guards.freshness(_state(spark, sf_dir), _seen(spark, sf_dir).where("p_brand <> 'Brand#22' or vin < 500"), "p_brand", "vin")
+    return guards.freshness(_state(spark, sf_dir), _seen(spark, sf_dir).where("p_brand <> 'Brand#22' or price < 940"), "p_brand", "vin")
 
 
 def k_anonymous_prices(spark, sf_dir):
@@ -137,7 +137,7 @@ ORACLE = {
         CASE WHEN n.vin IS NOT NULL THEN n.demo ELSE o.demo END AS demo, coalesce(first_seen, '{DAY}') AS first_seen, CASE WHEN n.vin IS NOT NULL THEN '{DAY}' ELSE last_seen END AS last_seen, CASE WHEN n.vin IS NULL THEN delisted_on END AS delisted_on,
         o.vin IS NULL AS is_new, n.vin IS NOT NULL AND (o.vin IS NULL OR o.price IS DISTINCT FROM n.price OR o.demo IS DISTINCT FROM n.demo) AS moved FROM state o FULL JOIN seen n ON o.vin = n.vin""",
     "price_history": f"WITH {STATE} SELECT n.vin, '{DAY}' AS observed_on, n.price FROM seen n LEFT JOIN state o ON o.vin = n.vin WHERE o.vin IS NULL OR o.price IS DISTINCT FROM n.price",
-    "delisted": f"""WITH {STATE}, s AS (SELECT * FROM seen WHERE p_brand <> 'Brand#13' OR vin % 3 = 0), g AS (SELECT l.p_brand, live > 10 AND coalesce(saw, 0) < live // 2 AS skip FROM (SELECT p_brand, count(*) AS live FROM state WHERE delisted_on IS NULL GROUP BY p_brand) l
+    "delisted": f"""WITH {STATE}, s AS (SELECT * FROM seen WHERE p_brand <> 'Brand#13' OR price > 950), g AS (SELECT l.p_brand, live > 10 AND coalesce(saw, 0) < live // 2 AS skip FROM (SELECT p_brand, count(*) AS live FROM state WHERE delisted_on IS NULL GROUP BY p_brand) l
         LEFT JOIN (SELECT p_brand, count(*) AS saw FROM s GROUP BY p_brand) w USING (p_brand)) SELECT vin, p_brand, d AS delisted_on FROM (SELECT vin, p_brand, CASE WHEN delisted_on IS NULL AND NOT coalesce(skip, false) AND NOT EXISTS (SELECT 1 FROM s WHERE s.vin = state.vin AND s.p_brand = state.p_brand)
         THEN '{DAY}' ELSE delisted_on END AS d FROM state LEFT JOIN g USING (p_brand)) WHERE d IS NOT NULL""",
     "carried_catalog": f"""WITH {STATE} SELECT n.vin, n.p_brand, coalesce(nullif(n.model, ''), o.model) AS model, coalesce(n.price, o.price) AS price, n.demo,
@@ -147,14 +147,14 @@ ORACLE = {
     "first_last_seen": "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen FROM events GROUP BY user_id",
     "audited_columns": f"""WITH {STATE}, j AS (SELECT o.vin, o.model AS om, n.model AS nm, CAST(o.price AS VARCHAR) AS op, CAST(n.price AS VARCHAR) AS np, CAST(o.demo AS VARCHAR) AS od, CAST(n.demo AS VARCHAR) AS nd FROM state o JOIN seen n ON o.vin = n.vin)
         SELECT vin, 'model' AS field, om AS old_value, nm AS new_value FROM j WHERE om IS DISTINCT FROM nm UNION ALL SELECT vin, 'price', op, np FROM j WHERE op IS DISTINCT FROM np UNION ALL SELECT vin, 'demo', od, nd FROM j WHERE od IS DISTINCT FROM nd""",
-    "unknown_recalls": "SELECT p_partkey, lower(p_brand) AS make, p_type FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0",
-    "alias_rows": """WITH o AS (SELECT DISTINCT p_type, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part WHERE p_brand = 'Brand#11' AND p_partkey % 4 <> 0), a AS (SELECT DISTINCT p_type, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part WHERE p_brand = 'Brand#12')
+    "unknown_recalls": "SELECT p_partkey, lower(p_brand) AS make, p_type FROM part WHERE p_size > 35",
+    "alias_rows": """WITH o AS (SELECT DISTINCT p_type, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part WHERE p_brand = 'Brand#11' AND p_size > 12), a AS (SELECT DISTINCT p_type, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part WHERE p_brand = 'Brand#12')
         SELECT p_type, price, 'insert' AS action FROM (FROM o EXCEPT FROM a) UNION ALL SELECT p_type, price, 'delete' FROM (FROM a EXCEPT FROM o)""",
     "rejected_rows": f"WITH {STATE} SELECT CASE WHEN NOT coalesce(price > 0, false) THEN 'price' ELSE 'model' END AS reason, count(*) AS n FROM seen WHERE NOT coalesce(price > 0, false) OR NOT coalesce(model <> '', false) GROUP BY 1",
     "kept_rows": f"WITH {STATE} SELECT vin, model, price FROM seen WHERE price > 0 AND model <> ''",
-    "collapse_guard": f"""WITH {STATE}, a AS (SELECT p_brand, count(*) AS prev_n FROM state GROUP BY p_brand), b AS (SELECT p_brand, count(*) AS next_n FROM seen WHERE p_brand <> 'Brand#21' OR vin % 9 = 0 GROUP BY p_brand)
+    "collapse_guard": f"""WITH {STATE}, a AS (SELECT p_brand, count(*) AS prev_n FROM state GROUP BY p_brand), b AS (SELECT p_brand, count(*) AS next_n FROM seen WHERE p_brand <> 'Brand#21' OR price > 990 GROUP BY p_brand)
         SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, coalesce(prev_n, 0) AS prev_n, coalesce(next_n, 0) AS next_n, coalesce(prev_n, 0) >= 10 AND coalesce(next_n, 0) < coalesce(prev_n, 0) * 0.5 AS refused FROM a FULL JOIN b ON a.p_brand = b.p_brand""",
-    "freshness_guard": f"""WITH {STATE}, a AS (SELECT p_brand, count(*) AS n0, max(vin) AS m0 FROM state GROUP BY p_brand), b AS (SELECT p_brand, count(*) AS n1, max(vin) AS m1 FROM seen WHERE p_brand <> 'Brand#22' OR vin < 500 GROUP BY p_brand),
+    "freshness_guard": f"""WITH {STATE}, a AS (SELECT p_brand, count(*) AS n0, max(vin) AS m0 FROM state GROUP BY p_brand), b AS (SELECT p_brand, count(*) AS n1, max(vin) AS m1 FROM seen WHERE p_brand <> 'Brand#22' OR price < 940 GROUP BY p_brand),
         r AS (SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, CASE WHEN coalesce(n1, 0) = 0 THEN 'empty' WHEN n0 IS NULL THEN 'new' WHEN n1 * 2 < n0 THEN 'halved' WHEN m1 <= m0 THEN 'not_advanced' ELSE 'ok' END AS reason FROM a FULL JOIN b ON a.p_brand = b.p_brand)
         SELECT p_brand, reason IN ('ok', 'new') AS ok, reason FROM r""",
     "k_anonymous_prices": "SELECT p_brand, p_type, count(*) AS n, CASE WHEN count(*) >= 12 THEN max(p_retailprice) END AS top FROM part GROUP BY ALL",

@@ -88,8 +88,8 @@ def brand_spans(spark, sf_dir):
     return rollups.spans(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_size")
 
 
-def unanimous_sizes(spark, sf_dir):
-    return rollups.unanimous(table(spark, sf_dir, "part").where("p_partkey % 11 = 0"), ["p_brand", "p_type"], "p_size")
+def unanimous_statuses(spark, sf_dir):
+    return rollups.unanimous(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus")
 
 
 def having_guard(spark, sf_dir):
@@ -157,7 +157,7 @@ def accrued_charges(spark, sf_dir):
     lines = o.select(F.col("o_orderkey").alias("line_id"), F.col("o_totalprice").cast(MONEY).alias("cost"), F.when(F.col("o_orderkey") % 4 == 0, "USD").otherwise("CAD").alias("currency"))
     fx = spark.createDataFrame([("USD", "1.36"), ("CAD", "1.00")], "currency string, rate string").withColumn("rate", F.col("rate").cast("decimal(6,4)"))
     people = spark.createDataFrame(SHARES, "name string, bps int")
-    charged = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("line_id"), F.lit("Ana").alias("name"))
+    charged = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("line_id"), F.lit("Ana").alias("name"))
     return ledger.accrue(lines, people, charged, fx)
 
 
@@ -174,8 +174,10 @@ def fuzzy_duplicates(spark, sf_dir):
 
 def name_matches(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    reg = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("reg_id"), F.concat("p_name", F.lit(" lot"), "p_partkey", F.lit(" ltd")).alias("reg_name"))
-    probe = part.where("p_partkey % 10 = 0").select("p_partkey", F.concat(F.lit("Lot"), "p_partkey", F.lit("-"), "p_name").alias("name"))
+    lot = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+    place = F.when(F.col("p_size") > 40, " of the north").when(F.col("p_size") > 30, " of").otherwise("")
+    reg = part.select(F.col("p_partkey").alias("reg_id"), F.concat("p_name", F.lit(" lot"), lot, F.lit(" ltd"), place).alias("reg_name"))
+    probe = part.select("p_partkey", F.concat(F.lit("Lot"), lot, F.lit("-"), "p_name").alias("name"))
     return joins.match_names(probe, reg, "p_partkey", "name", "reg_id", "reg_name")
 
 
@@ -193,7 +195,7 @@ def base_models(spark, sf_dir):
 
 def nearest_year_prices(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
-    book = o.where("o_orderstatus = 'F'").groupBy("o_orderpriority", "year").agg(F.max(F.col("o_totalprice").cast(MONEY)).alias("top")).where("year % 2 = 0")
+    book = o.where("o_orderstatus = 'F'").groupBy("o_orderpriority", "year").agg(F.max(F.col("o_totalprice").cast(MONEY)).alias("top")).where("year in (1996, 1998, 2000)")
     return joins.prefer(o.select("o_orderkey", "o_orderpriority", "year"), book, ["o_orderpriority"], "year", "o_orderkey", [F.col("top")]).select("o_orderkey", "rung", "top")
 
 
@@ -201,7 +203,7 @@ PLACED = """SELECT o_orderkey, o_orderpriority, CAST(year(o_orderdate) AS INT) A
 QUERIES = {
     f.__name__: f
     for f in (
-        provider_costs, operation_costs, worst_users, rolling_windows, periods_to_date, type_histogram, latency_table, return_pivot, latest_orders, newest_per_customer, customer_documents, status_sets, brand_spans, unanimous_sizes, having_guard,
+        provider_costs, operation_costs, worst_users, rolling_windows, periods_to_date, type_histogram, latency_table, return_pivot, latest_orders, newest_per_customer, customer_documents, status_sets, brand_spans, unanimous_statuses, having_guard,
         sales_by_segment, delivery_status, stalled_orders, customers_with_returns, customers_without_orders, customer_balances, unsettled_months, profit_split, accrued_charges, true_ups, fuzzy_duplicates, name_matches, nearest_city, base_models,
         nearest_year_prices,
     )
@@ -224,7 +226,7 @@ ORACLE = {
     "customer_documents": "SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, '|' ORDER BY o_orderdate, o_orderkey) AS doc FROM orders WHERE o_totalprice > 200000 GROUP BY o_custkey",
     "status_sets": "SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS priorities, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') AS statuses FROM orders GROUP BY o_custkey",
     "brand_spans": "SELECT p_brand, string_agg(p_type || ':' || lo || '-' || hi, '|' ORDER BY p_type) AS doc FROM (SELECT p_brand, p_type, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY ALL) GROUP BY p_brand",
-    "unanimous_sizes": "SELECT p_brand, p_type, min(p_size) AS p_size, count(*) AS n FROM part WHERE p_partkey % 11 = 0 GROUP BY ALL HAVING count(DISTINCT p_size) = 1 AND count(*) >= 2",
+    "unanimous_statuses": "SELECT o_custkey, o_orderpriority, min(o_orderstatus) AS o_orderstatus, count(*) AS n FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderstatus) = 1 AND count(*) >= 2",
     "having_guard": "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, round(100.0::DOUBLE * count(*) FILTER (o_orderstatus = 'F') / greatest(1, count(*)), 1) AS done_pct FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) >= 12",
     "sales_by_segment": "SELECT n_name, c_mktsegment, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "delivery_status": """SELECT o_orderkey, coalesce(lines, 0) AS lines, CASE WHEN lines IS NULL THEN 'none' WHEN r IS NOT NULL THEN 'returned' WHEN a IS NOT NULL THEN 'accepted' ELSE 'open' END AS status, last_at FROM orders LEFT JOIN (
@@ -237,12 +239,12 @@ ORACLE = {
     "unsettled_months": """SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS DECIMAL(18,2)) AS residual FROM orders GROUP BY ALL HAVING abs(residual) > 0.005""",
     "profit_split": f"""SELECT o_orderkey, name, CAST(part + CASE WHEN rn = 1 THEN net - total ELSE 0 END AS DECIMAL(18,2)) AS share FROM (SELECT *, sum(part) OVER (PARTITION BY o_orderkey) AS total, row_number() OVER (PARTITION BY o_orderkey ORDER BY bps DESC, name) AS rn FROM (
         SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS net, name, bps, CAST(round(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * bps AS DECIMAL(28,6)) / CAST(10000 AS DECIMAL(6,0)) + 0.0000000001, 2) AS DECIMAL(18,2)) AS part FROM orders, {SPLIT}))""",
-    "accrued_charges": f"""SELECT line_id, name, amount FROM (SELECT o_orderkey AS line_id, name, CAST(CAST((CAST(round(o_totalprice * 100) AS BIGINT) * CASE WHEN o_orderkey % 4 = 0 THEN 13600 ELSE 10000 END * bps + 50000000) // 100000000 AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2)) AS amount FROM orders, {SPLIT})
-        WHERE NOT (line_id % 3 = 0 AND name = 'Ana')""",
+    "accrued_charges": f"""SELECT line_id, name, amount FROM (SELECT o_orderkey AS line_id, o_orderpriority, name, CAST(CAST((CAST(round(o_totalprice * 100) AS BIGINT) * CASE WHEN o_orderkey % 4 = 0 THEN 13600 ELSE 10000 END * bps + 50000000) // 100000000 AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2)) AS amount FROM orders, {SPLIT})
+        WHERE NOT (o_orderpriority = '1-URGENT' AND name = 'Ana')""",
     "true_ups": "SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'O') AS DECIMAL(18,2)) AS adjustment FROM orders GROUP BY o_custkey HAVING abs(adjustment) >= 0.01",
     "fuzzy_duplicates": "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE abs(a.p_size - b.p_size) <= 5 AND abs(a.p_retailprice - b.p_retailprice) <= 0.05::DOUBLE * a.p_retailprice",
-    "name_matches": """WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ') || ['lot' || p_partkey]) AS w FROM part WHERE p_partkey % 10 = 0),
-        r AS (SELECT p_partkey AS reg_id, list_distinct(string_split(p_name, ' ') || ['lot' || p_partkey, 'ltd']) AS w FROM part WHERE p_partkey % 2 = 0),
+    "name_matches": """WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ') || ['lot' || lpad(CAST(p_partkey AS VARCHAR), 12, '0')]) AS w FROM part),
+        r AS (SELECT p_partkey AS reg_id, list_distinct(string_split(p_name, ' ') || ['lot' || lpad(CAST(p_partkey AS VARCHAR), 12, '0'), 'ltd'] || CASE WHEN p_size > 40 THEN ['of', 'the', 'north'] WHEN p_size > 30 THEN ['of'] ELSE [] END) AS w FROM part),
         l AS (SELECT p_partkey, w, list_sort(list_transform(w, lambda x: (-length(x), x)))[1] AS top FROM p),
         s AS (SELECT l.p_partkey, reg_id, len(list_intersect(l.w, r.w)) AS k, len(l.w) AS a, len(r.w) AS b FROM l JOIN r ON list_contains(r.w, l.top[2])),
         t AS (SELECT p_partkey, reg_id, round(least(1.0, k::DOUBLE / greatest(a, b) + CASE WHEN k > 0 AND k = least(a, b) THEN 0.15 ELSE 0 END), 6) AS score FROM s),
@@ -254,7 +256,7 @@ ORACLE = {
     "base_models": """WITH p AS (SELECT p_partkey, p_brand || ' ' || p_type || ' ' || p_size AS line, p_brand, p_type, p_size FROM part),
         k AS (SELECT p_brand || ' ' || p_type AS base FROM p WHERE p_size <= 10 UNION SELECT line FROM p WHERE p_size <= 3 UNION SELECT p_brand FROM p)
         SELECT p_partkey, line, arg_max(base, length(base)) AS base FROM p LEFT JOIN k ON line = base OR starts_with(line, base || ' ') GROUP BY ALL""",
-    "nearest_year_prices": f"""WITH o AS ({PLACED}), b AS (SELECT o_orderpriority, CAST(year(o_orderdate) AS INT) AS y, max(CAST(o_totalprice AS DECIMAL(18,2))) AS top FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) % 2 = 0 GROUP BY o_orderpriority, CAST(year(o_orderdate) AS INT))
+    "nearest_year_prices": f"""WITH o AS ({PLACED}), b AS (SELECT o_orderpriority, CAST(year(o_orderdate) AS INT) AS y, max(CAST(o_totalprice AS DECIMAL(18,2))) AS top FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) IN (1996, 1998, 2000) GROUP BY o_orderpriority, CAST(year(o_orderdate) AS INT))
         SELECT o_orderkey, rung, top FROM (SELECT o_orderkey, top, CASE WHEN y = year THEN 0 WHEN y = year - 1 THEN 1 ELSE 2 END AS rung, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN y = year THEN 0 WHEN y = year - 1 THEN 1 ELSE 2 END, top) AS rn
         FROM o JOIN b USING (o_orderpriority) WHERE y BETWEEN year - 1 AND year + 1) WHERE rn = 1""",
 }

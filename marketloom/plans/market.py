@@ -159,11 +159,13 @@ SELECT p_partkey, comp_id, rank FROM (
 
 
 def catalog_trim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer as a shopper of one brand and size class, matched to parts as trims."""
-    part = table(spark, sf_dir, "part")
-    catalog = part.where("p_partkey % 20 = 0").select(F.col("p_brand").alias("make"), F.concat(F.element_at(F.array(*[F.lit(t) for t in ("LE", "XLE Premium", "Sport AWD", "Limited")]), (F.col("p_partkey") / 20 % 4).cast("int") + 1), F.lit(" "), F.col("p_size").cast("string")).alias("trim"), F.col("p_retailprice").alias("msrp"), F.lit(None).cast("string").alias("fuel_type"), F.lit(None).cast("string").alias("drivetrain"))
-    probes = part.where("p_partkey % 20 = 7").select(F.col("p_partkey").alias("listing_id"), F.col("p_brand").alias("make"), F.when(F.col("p_size") % 3 == 0, "XLE").when(F.col("p_size") % 3 == 1, "sport awd").alias("trim"), F.col("p_retailprice").alias("price"), F.lit(None).cast("string").alias("fuel_type"), F.when(F.col("p_size") % 4 == 0, "AWD").alias("drivetrain"))
-    return catalog_match.match_listings(probes, catalog, ["make"]).groupBy("basis").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.round(F.sum("matched_msrp"), 2).alias("msrp"))
+    """All parts as listings, matched to the trims of their make and model."""
+    part = table(spark, sf_dir, "part").withColumnsRenamed({"p_brand": "make", "p_type": "model"})
+    names = F.array(*[F.lit(t) for t in ("LE", "XLE Premium", "Sport AWD", "Limited")])
+    trim = F.concat(F.element_at(names, F.pmod("p_size", F.lit(4)) + 1), F.lit(" "), F.col("p_size").cast("string"))
+    catalog = part.groupBy("make", "model", trim.alias("trim")).agg(F.min("p_retailprice").alias("msrp")).select("*", F.lit(None).cast("string").alias("fuel_type"), F.lit(None).cast("string").alias("drivetrain"))
+    probes = part.select(F.col("p_partkey").alias("listing_id"), "make", "model", F.when(F.col("p_size") % 3 == 0, "XLE").when(F.col("p_size") % 3 == 1, "sport awd").alias("trim"), F.col("p_retailprice").alias("price"), F.lit(None).cast("string").alias("fuel_type"), F.when(F.col("p_size") % 4 == 0, "AWD").alias("drivetrain"))
+    return catalog_match.match_listings(probes, catalog, ["make", "model"]).groupBy("basis").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.round(F.sum("matched_msrp"), 2).alias("msrp"))
 
 
 QUERIES = {

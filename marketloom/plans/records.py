@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from marketloom.functions import columns as C
-from marketloom.operators import finance, joins, scores
+from marketloom.operators import finance, scores
 from marketloom.session import table
 
 
 def financing_grid(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 25 = 0").select("p_partkey", "p_retailprice", (F.col("p_size") % 12).cast("double").alias("apr"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_size") % 12).cast("double").alias("apr"))
     return finance.payment_grid(p, "p_partkey", "p_retailprice", "apr")
 
 
@@ -22,15 +22,15 @@ def rate_tiers(spark, sf_dir):
 
 def picked_rates(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    rates = p.where("p_size <= 12").select(F.col("p_brand").alias("make"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("model"), (F.col("p_size") * 12).alias("term"), (F.col("p_partkey") % 9).cast("double").alias("apr"), (F.col("p_size") % 3 == 0).alias("promo"))
-    return finance.rate_pick(p.where("p_partkey % 4 = 0"), rates, "p_partkey", "p_brand", "p_type", 48).select("p_partkey", "term", "apr", "level")
+    rates = p.where("p_size <= 12").select(F.col("p_brand").alias("make"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("model"), (F.col("p_size") * 12).alias("term"), (F.col("p_partkey") % 9).cast("double").alias("apr"), (F.col("p_size") % 3 == 0).alias("promo")).groupBy("make", "model", "term", "promo").agg(F.min("apr").alias("apr"))
+    return finance.rate_pick(p, rates, "p_partkey", "p_brand", "p_type", 48).select("p_partkey", "term", "apr", "level")
 
 
 def price_ladder(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    known = p.where("p_partkey % 3 = 0").select("p_brand", "p_type", "p_size", F.col("p_retailprice").alias("price"))
-    rungs = [("exact", known, ["p_brand", "p_type", "p_size"]), ("type", known.drop("p_size"), ["p_brand", "p_type"]), ("brand", known.drop("p_size", "p_type"), ["p_brand"])]
-    return finance.ladder(p.where("p_partkey % 3 = 1").select("p_partkey", "p_brand", "p_type", "p_size"), rungs, "p_partkey", [F.col("price")], "price")
+    known = p.where("p_size <= 30 and p_type <> 'PROMO'").withColumnRenamed("p_retailprice", "price")
+    rungs = [(name, known.groupBy(*keys).agg(F.min("price").alias("price")), keys) for name, keys in (("exact", ["p_brand", "p_type", "p_size"]), ("type", ["p_brand", "p_type"]), ("brand", ["p_brand"]))]
+    return finance.ladder(p.select("p_partkey", "p_brand", "p_type", "p_size"), rungs, "p_partkey", [F.col("price")], "price")
 
 
 def lot_days(spark, sf_dir):
@@ -94,8 +94,8 @@ def order_checkpoints(spark, sf_dir):
 
 def cross_checked(spark, sf_dir):
     """What several lines of one part and dealer say about its price."""
-    line = table(spark, sf_dir, "lineitem").where("l_quantity <= 10")
-    r = line.select((F.col("l_partkey") % 500).alias("part"), F.col("l_returnflag").alias("source"), F.floor("l_extendedprice").alias("price"), F.col("l_linestatus").alias("field"))
+    line = table(spark, sf_dir, "lineitem")
+    r = line.select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("source"), F.floor("l_extendedprice").alias("price"), F.col("l_linestatus").alias("field"))
     one = r.groupBy("part", "field", "source").agg(F.min("price").alias("price"))
     return scores.consensus(one, "part", "field", "price", 20000)
 
@@ -115,12 +115,12 @@ def model_costs(spark, sf_dir):
 
 
 def powertrain_twins(spark, sf_dir):
-    """Pairs of neighbouring parts whose drive and fuel words agree."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 400")
+    """Each part with the next one of its brand whose drive and fuel words agree."""
+    p = table(spark, sf_dir, "part")
     text = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, "AWD hybrid").when(F.col("p_size") % 3 == 1, "front-wheel plug-in").otherwise("diesel 4x4"))
     f = p.select("p_partkey", "p_brand", C.drive(text).alias("drive"), C.fuel(text).alias("fuel"))
-    g = f.select(F.col("p_partkey").alias("other"), F.col("p_brand"), "drive", "fuel")
-    return joins.top_per_group(f.join(g, ["p_brand", "drive", "fuel"]).where("other > p_partkey"), ["p_partkey"], [F.col("other")]).select("p_partkey", "other", "drive", "fuel")
+    twin = F.lead("p_partkey").over(Window.partitionBy("p_brand", "drive", "fuel").orderBy("p_partkey"))
+    return f.select("p_partkey", twin.alias("other"), "drive", "fuel").where("other is not null")
 
 
 QUERIES = {
@@ -133,11 +133,11 @@ QUERIES = {
 LABELS = " ".join(f"WHEN regexp_matches(s, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for p, n in C.FEE_LABELS)
 ORACLE = {
     "financing_grid": """SELECT p_partkey, months, down, round(CASE WHEN apr = 0 THEN principal / months ELSE principal * (apr / 1200.0::DOUBLE) * pow(1 + apr / 1200.0::DOUBLE, months) / (pow(1 + apr / 1200.0::DOUBLE, months) - 1) END, 2) AS monthly FROM (
-        SELECT p_partkey, months, down, p_retailprice * (1 - down) AS principal, CAST(p_size % 12 AS DOUBLE) AS apr FROM part, (VALUES (36), (48), (60), (72), (84), (96)) t(months), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) d(down) WHERE p_partkey % 25 = 0)""",
+        SELECT p_partkey, months, down, p_retailprice * (1 - down) AS principal, CAST(p_size % 12 AS DOUBLE) AS apr FROM part, (VALUES (36), (48), (60), (72), (84), (96)) t(months), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) d(down))""",
     "rate_tiers": "SELECT CASE WHEN t <= 4.99 THEN 'low' WHEN t <= 7.99 THEN 'middle' ELSE 'high' END AS tier, count(*) AS n, min(l_tax) AS lo, max(l_tax) AS hi FROM (SELECT *, round(l_tax * 100, 2) AS t FROM lineitem) GROUP BY 1",
     "picked_rates": """SELECT p_partkey, term, apr, CASE WHEN model IS NULL THEN 'make' ELSE 'model' END AS level FROM (SELECT a.p_partkey, r.*, row_number() OVER (PARTITION BY a.p_partkey ORDER BY model IS NULL, promo, term <> 48, term, apr) AS rn FROM part a JOIN
-        (SELECT p_brand AS make, CASE WHEN p_size % 2 = 0 THEN p_type END AS model, p_size * 12 AS term, CAST(p_partkey % 9 AS DOUBLE) AS apr, p_size % 3 = 0 AS promo FROM part WHERE p_size <= 12) r ON a.p_brand = r.make AND (model IS NULL OR model = a.p_type) WHERE a.p_partkey % 4 = 0) WHERE rn = 1""",
-    "price_ladder": """WITH f AS (SELECT * FROM part WHERE p_partkey % 3 = 1), k AS (SELECT * FROM part WHERE p_partkey % 3 = 0), h AS (
+        (SELECT p_brand AS make, CASE WHEN p_size % 2 = 0 THEN p_type END AS model, p_size * 12 AS term, CAST(p_partkey % 9 AS DOUBLE) AS apr, p_size % 3 = 0 AS promo FROM part WHERE p_size <= 12) r ON a.p_brand = r.make AND (model IS NULL OR model = a.p_type)) WHERE rn = 1""",
+    "price_ladder": """WITH f AS (SELECT * FROM part), k AS (SELECT * FROM part WHERE p_size <= 30 AND p_type <> 'PROMO'), h AS (
         SELECT f.p_partkey, 0 AS r, 'exact' AS rung, k.p_retailprice AS price FROM f JOIN k USING (p_brand, p_type, p_size) UNION ALL SELECT f.p_partkey, 1, 'type', k.p_retailprice FROM f JOIN k USING (p_brand, p_type) UNION ALL SELECT f.p_partkey, 2, 'brand', k.p_retailprice FROM f JOIN k USING (p_brand))
         SELECT p_partkey, price, rung FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY r, price) AS rn FROM h) WHERE rn = 1""",
     "lot_days": """WITH g AS (SELECT l_orderkey, CAST(max(l_quantity) FILTER (l_linenumber = 1) AS INT) AS feed, CAST(min(l_shipdate) FILTER (l_returnflag = 'A') AS DATE) AS seen, CAST(min(l_shipdate) AS DATE) AS page FROM lineitem GROUP BY l_orderkey),
@@ -156,10 +156,10 @@ ORACLE = {
         SELECT concat_ws(',', CASE WHEN x THEN 'most_off' END, CASE WHEN y THEN 'bulk_off' END, CASE WHEN z THEN 'price' END) AS repairs, count(*) AS n, min(off) AS lo, max(off) AS hi, min(price) AS least FROM d WHERE x OR y OR z GROUP BY 1""",
     "order_checkpoints": """SELECT checkpoint, outcome, count(*) AS n FROM (SELECT 'status' AS checkpoint, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'open' END AS outcome FROM orders UNION ALL SELECT 'value', CASE WHEN o_totalprice > 300000 THEN 'flag' ELSE 'pass' END FROM orders
         UNION ALL SELECT 'rush', CASE WHEN o_orderpriority = '1-URGENT' THEN 'flag' END FROM orders) WHERE outcome IS NOT NULL GROUP BY ALL""",
-    "cross_checked": """WITH r AS (SELECT l_partkey % 500 AS part, l_linestatus AS field, l_returnflag AS source, min(CAST(floor(l_extendedprice) AS BIGINT)) AS price FROM lineitem WHERE l_quantity <= 10 GROUP BY ALL)
+    "cross_checked": """WITH r AS (SELECT l_partkey AS part, l_linestatus AS field, l_returnflag AS source, min(CAST(floor(l_extendedprice) AS BIGINT)) AS price FROM lineitem GROUP BY ALL)
         SELECT part, field, CASE WHEN max(price) - min(price) <= 20000 THEN min(price) END AS value, count(*) AS n, CASE WHEN count(*) = 1 THEN 'structured' WHEN max(price) - min(price) <= 20000 THEN 'cross' ELSE 'conflict' END AS kind FROM r GROUP BY part, field""",
     "live_states": "SELECT CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 'unavailable' WHEN ts >= TIMESTAMP '2024-01-18' THEN 'live' ELSE 'aged' END AS state, count(*) AS n FROM events GROUP BY 1",
     "model_costs": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT) * CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 15 ELSE 12 END) AS BIGINT) AS micros FROM events GROUP BY event_type",
-    "powertrain_twins": """WITH f AS (SELECT p_partkey, p_brand, p_size % 3 AS k FROM part WHERE p_partkey < 400) SELECT a.p_partkey, min(b.p_partkey) AS other, CASE a.k WHEN 1 THEN 'FWD' ELSE 'AWD' END AS drive, CASE a.k WHEN 0 THEN 'hybrid' WHEN 1 THEN 'phev' ELSE 'diesel' END AS fuel
+    "powertrain_twins": """WITH f AS (SELECT p_partkey, p_brand, p_size % 3 AS k FROM part) SELECT a.p_partkey, min(b.p_partkey) AS other, CASE a.k WHEN 1 THEN 'FWD' ELSE 'AWD' END AS drive, CASE a.k WHEN 0 THEN 'hybrid' WHEN 1 THEN 'phev' ELSE 'diesel' END AS fuel
         FROM f a JOIN f b ON a.p_brand = b.p_brand AND a.k = b.k AND b.p_partkey > a.p_partkey GROUP BY a.p_partkey, a.k""",
 }

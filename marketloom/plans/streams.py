@@ -33,7 +33,7 @@ def batch_cooldowns(spark, sf_dir):
 
 def stream_attached(spark, sf_dir):
     """A stream joined with a table of parents, counted by whether the parent is known."""
-    parents = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("parent_id"), "c_mktsegment")
+    parents = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal >= 0").select(F.col("c_custkey").alias("parent_id"), "c_mktsegment")
     joined = E.attached(E.event_stream(spark, sf_dir), parents).groupBy(F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(F.count("*").alias("n"))
     return E.drain(joined, "complete")
 
@@ -46,5 +46,5 @@ ORACLE = {
     "stream_seen": "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS seen FROM events GROUP BY user_id",
     "stream_cooldowns": COOL,
     "batch_cooldowns": COOL,
-    "stream_attached": "SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS n FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON user_id = c_custkey GROUP BY 1",
+    "stream_attached": "SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS n FROM events LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON user_id = c_custkey GROUP BY 1",
 }
