@@ -29,7 +29,7 @@ def payment(principal: Column, apr: Column, months: Column) -> Column:
     """Monthly amortised payment to the cent; a rate of zero spreads the principal evenly."""
     rate = apr / 1200.0
     growth = F.pow(1 + rate, months)
-    return F.round(F.when(apr == 0, principal / months).otherwise(principal * rate * growth / F.nullif(growth - 1, F.lit(0.0))), 2)
+    return half_up(F.when(apr == 0, principal / months).otherwise(principal * rate * growth / F.nullif(growth - 1, F.lit(0.0))), 2)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -132,7 +132,7 @@ QUERIES = {
 }
 LABELS = " ".join(f"WHEN regexp_matches(s, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for p, n in C.FEE_LABELS)
 ORACLE = {
-    "financing_grid": """SELECT p_partkey, months, down, round(CASE WHEN apr = 0 THEN principal / months ELSE principal * (apr / 1200.0::DOUBLE) * pow(1 + apr / 1200.0::DOUBLE, months) / (pow(1 + apr / 1200.0::DOUBLE, months) - 1) END, 2) AS monthly FROM (
+    "financing_grid": """SELECT p_partkey, months, down, floor(100 * (CASE WHEN apr = 0 THEN principal / months ELSE principal * (apr / 1200.0::DOUBLE) * pow(1 + apr / 1200.0::DOUBLE, months) / (pow(1 + apr / 1200.0::DOUBLE, months) - 1) END) + 0.5) / 100 AS monthly FROM (
         SELECT p_partkey, months, down, p_retailprice * (1 - down) AS principal, CAST(p_size % 12 AS DOUBLE) AS apr FROM part, (VALUES (36), (48), (60), (72), (84), (96)) t(months), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) d(down))""",
     "rate_tiers": "SELECT CASE WHEN t <= 4.99 THEN 'low' WHEN t <= 7.99 THEN 'middle' ELSE 'high' END AS tier, count(*) AS n, min(l_tax) AS lo, max(l_tax) AS hi FROM (SELECT *, round(l_tax * 100, 2) AS t FROM lineitem) GROUP BY 1",
     "picked_rates": """SELECT p_partkey, term, apr, CASE WHEN model IS NULL THEN 'make' ELSE 'model' END AS level FROM (SELECT a.p_partkey, r.*, row_number() OVER (PARTITION BY a.p_partkey ORDER BY model IS NULL, promo, term <> 48, term, apr) AS rn FROM part a JOIN

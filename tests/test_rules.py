@@ -137,3 +137,24 @@ def test_longest_prefix(spark):
     facts = spark.createDataFrame([("rav 4 prime xse",), ("rav 40",), ("civic",)], "t string")
     known = spark.createDataFrame([("rav",), ("rav 4",), ("rav 4 prime",)], "p string")
     assert {r["t"]: r["p"] for r in joins.longest_prefix(facts, known, "t", "p").collect()} == {"rav 4 prime xse": "rav 4 prime", "rav 40": "rav", "civic": None}
+
+
+def test_verdicts_on_odd_values(spark):
+    from marketloom.functions import verdicts as V
+
+    rows = [(1, None, None, None), (2, 30000.0, 28000.0, True), (3, 28100.0, 28000.0, True), (4, None, 28000.0, False), (5, 30000.0, 28000.0, False), (6, 0.0, 28000.0, True)]
+    got = spark.createDataFrame(rows, "id int, s double, r double, e boolean").select("id", V.msrp_authority(F.col("s"), F.col("r"), F.col("e")).alias("v")).select("id", "v.*").orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == [(0.0, "dealer_stated", "listing", None), (28000.0, "exact", "catalog", 2000.0), (28000.0, "exact", "catalog", None), (28000.0, "starting_at", "catalog", None), (30000.0, "dealer_stated", "listing", None), (28000.0, "exact", "catalog", None)]
+    lines = [("Freight", None, None, "fee"), ("Paint shield", 5.0, "good", "addon"), ("?", -1.0, None, "discount"), (None, 9.0, "standard", "fee"), ("Loyalty cash", None, None, "discount"), ("Loyalty fee", 3.0, None, "addon")]
+    df = spark.createDataFrame(lines, "n string, p double, v string, want string")
+    assert df.where(V.line_class(F.col("n"), F.col("p"), F.col("v")) != F.col("want")).count() == 0
+    covers = spark.createDataFrame([("3-year/60,000 km",), ("6 Year/Unlimited km",), ("none",), (None,)], "t string").select(V.coverage(F.col("t")).alias("c")).collect()
+    assert [tuple(r["c"]) if r["c"] else None for r in covers] == [(3, 60000), (6, None), None, None]
+    trap = spark.range(1).select(V.financing_trap(F.lit(1000.0), F.lit(7.99), F.lit(0.0), F.lit(60), F.lit(30000.0)).alias("t"), V.financing_trap(F.lit(0.0), F.lit(7.99), F.lit(0.0), F.lit(60), F.lit(1.0)).alias("none")).first()
+    assert trap["t"]["mode"] == "quantified" and trap["t"]["is_trap"] and trap["t"]["extra_interest"] == 6489 and trap["none"] is None
+    traces = spark.createDataFrame([([],), (None,), (["HTTP 429", "HTTP 404"],), (["AbortError"],), (["HTTP 404"],)], "t array<string>").select(V.miss_class(F.col("t")).alias("k")).collect()
+    assert [r["k"] for r in traces] == ["no-trace", "no-trace", "blocked", "timeout", "responded-no-feed"]
+    gates = spark.createDataFrame([(None, "AB"), ("ca", " ab "), ("CA", "ON"), ("US", "TX")], "c string, r string").select(V.region_gate(F.col("c"), F.col("r"), [("CA", "AB")]).alias("g")).collect()
+    assert [r["g"]["reason"] for r in gates] == ["unknown", "served", "other_province", "other_country"]
+    empty = V.grade_summary(V.graded(spark.createDataFrame([], "id int, g string"), "id", "g")).first()
+    assert tuple(empty) == (0, 0, 0, 0, None, None)
