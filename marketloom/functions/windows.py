@@ -7,17 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """For each group the observed values at places floor((n - 1) * p + 0.5), one column a point.
+def _same(a: list[str], b: list[str]):
+    """Null-safe equality of two lists of columns."""
+    out = F.lit(True)
+    for x, y in zip(a, b):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
 
-    Values are counted per group first, so a group's places come from running counts over distinct values rather than
-    from one row a value; nulls are left out.
+
+def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], cells: int = 32) -> DataFrame:
+    """For each group the observed values at places floor((n - 1) * p + 0.5), one column a point; nulls are left out.
+
+    Values are counted per group first. A group's values are then cut into cells by rough quantiles; the cells' totals
+    say which cell holds a place, and only such cells are put in order, each on its own. So no task sorts a large group,
+    and the result doesn't depend on how rough the quantiles are.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    full = Window.partitionBy(*keys)
-    placed = counted.withColumn("__to", F.sum("__n").over(run)).withColumn("__all", F.sum("__n").over(full))
-    at = {name: F.floor((F.col("__all") - 1) * F.lit(float(p)) + 0.5) for name, p in points.items()}
-    hits = [F.min(F.when(F.col("__to") > place, F.col(value))).alias(name) for name, place in at.items()]
-    return placed.groupBy(*keys).agg(*hits)
+    others = [f"__{k}" for k in keys]
+    away = dict(zip(keys, others))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    bounds = counted.groupBy(*keys).agg(F.percentile_approx("__v", [i / cells for i in range(1, cells)]).alias("__b"), F.sum("__n").alias("__all")).withColumnsRenamed(away)
+    placed = counted.join(bounds, _same(keys, others)).select(*keys, "__v", "__n", "__all", F.size(F.filter("__b", lambda b: b < F.col("__v"))).alias("__cell"))
+    ahead = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__m"), F.first("__all").alias("__all")).withColumn("__before", F.coalesce(F.sum("__m").over(ahead), F.lit(0)))
+    asked = F.arrays_zip(F.lit(list(points)).alias("name"), F.lit([float(p) for p in points.values()]).alias("p"))
+    places = F.transform(asked, lambda x: F.struct(x["name"].alias("name"), F.floor((F.col("__all") - 1) * x["p"] + 0.5).alias("at")))
+    inside = F.filter(places, lambda x: (x["at"] >= F.col("__before")) & (x["at"] < F.col("__before") + F.col("__m")))
+    wanted = totals.withColumn("__p", inside).where(F.size("__p") > 0).select(*keys, F.col("__cell").alias("__in"), "__before", "__p").withColumnsRenamed(away)
+    run = Window.partitionBy(*keys, "__cell").orderBy("__v")
+    ordered = placed.join(wanted, _same([*keys, "__cell"], [*others, "__in"])).withColumn("__to", F.col("__before") + F.sum("__n").over(run))
+    hit = F.filter("__p", lambda x: (x["at"] >= F.col("__to") - F.col("__n")) & (x["at"] < F.col("__to")))
+    found = ordered.select(*keys, "__v", hit.alias("__hit")).where(F.size("__hit") > 0).select(*keys, "__v", F.explode("__hit.name").alias("__name"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in points])

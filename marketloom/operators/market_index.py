@@ -37,12 +37,19 @@ def province_read(calls: DataFrame, as_of: dt.datetime, *, min_listings: int = P
         F.count_if("exact").alias("all_in_n"), F.count_if(F.col("stated_msrp") > 0).alias("sticker_stated_n"), F.count("infl_floor_pct").alias("sticker_inflated_n"),
         F.min("updated_at").alias("min_updated_at"), F.max("updated_at").alias("max_updated_at"),
     )
-    told = nearest_ranks(calls.where(directional), [key], "floor_pct", {"median_pct": 0.5, "p25_pct": 0.25, "p75_pct": 0.75} | {f"c{i:02d}": i / 20 for i in range(21)})
-    under = nearest_ranks(calls.where("dir = 'under'"), [key], "floor_pct", {"median_discount_pct": 0.5})
-    sticker = nearest_ranks(calls.where("stated_msrp > 0"), [key], "infl_floor_pct", {"sticker_inflated_median_pct": 0.5})
+    # three series of values in one pass: all directional calls, those below, and inflated stickers
+    series = F.array(
+        F.struct(F.lit("told").alias("series"), F.when(directional, F.col("floor_pct")).alias("v")), F.struct(F.lit("under").alias("series"), F.when(F.col("dir") == "under", F.col("floor_pct")).alias("v")),
+        F.struct(F.lit("sticker").alias("series"), F.when(F.col("stated_msrp") > 0, F.col("infl_floor_pct")).alias("v")),
+    )
+    values = calls.select(key, F.explode(F.filter(series, lambda x: x["v"].isNotNull())).alias("s")).select(key, "s.series", "s.v")
+    quarters = {"p25_pct": 0.25, "median_pct": 0.5, "p75_pct": 0.75}
+    ranks = nearest_ranks(values, [key, "series"], "v", quarters | {f"c{i:02d}": i / 20 for i in range(21)})
+    of = lambda name, column, alias: F.max(F.when(F.col("series") == name, F.col(column))).alias(alias)
+    told = ranks.groupBy(key).agg(*[of("told", c, c) for c in [*quarters, *[f"c{i:02d}" for i in range(21)]]], of("under", "median_pct", "median_discount_pct"), of("sticker", "median_pct", "sticker_inflated_median_pct"))
     curve = F.when(F.col("n_directional") >= 2, F.array_join(F.array(*[F.round(f"c{i:02d}", 1).cast("string") for i in range(21)]), "|"))
     publish = (F.col("n_directional") >= min_listings) & _fresh(F.col("max_updated_at"), as_of, stale_days)
-    out = facts.join(told, key, "left").join(under, key, "left").join(sticker, key, "left").withColumn("curve", curve).withColumn("is_publishable", publish)
+    out = facts.join(told, key, "left").withColumn("curve", curve).withColumn("is_publishable", publish)
     for c in ("median_pct", "p25_pct", "p75_pct", "median_discount_pct", "sticker_inflated_median_pct"):
         out = out.withColumn(c, F.round(c, 2))
     return out.drop(*[f"c{i:02d}" for i in range(21)])

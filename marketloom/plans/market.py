@@ -52,16 +52,15 @@ FROM a
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live listings with their deviation and a city: the dealer's nation."""
-    city = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("dealer_id"), F.initcap("n_name").alias("city"))
+    """Live listings with their deviation and the key of a city: the dealer's nation."""
+    city = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("dealer_id"), C.city_key(F.initcap("n_name")).alias("city"))
     rows = listings(spark, sf_dir).where("delisted_on is null and list_price > 0 and msrp > 0")
     dollars = F.col("list_price") - F.col("msrp")
     return rows.join(city, "dealer_id").select("city", "dealer_id", (100.0 * dollars / F.col("msrp")).alias("deviation_pct"), dollars.alias("deviation_dollars"), "updated_at")
 
 
 def city_price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _matched(spark, sf_dir).withColumn("city", C.city_key(F.col("city")))
-    out = market_index.city_index(rows, AS_OF, stale_days=60)
+    out = market_index.city_index(_matched(spark, sf_dir), AS_OF, stale_days=60)
     return out.select("city", "n_dealers", "n_listings", *[F.round(c, 4).alias(c) for c in ("index_pct", "p25_pct", "p75_pct")], "avg_deviation_dollars", "max_updated_at", "is_publishable")
 
 
@@ -83,7 +82,8 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = C.effective_price(F.col("sale_price"), F.col("list_price"))
     basis = F.when(F.col("p_size") % 3 == 0, "incl_freight").otherwise("excl_freight")
     window = C.reference_window(F.col("msrp"), F.when(F.col("p_size") % 5 == 0, F.col("msrp") + 400.0), basis)
-    called = rows.withColumn("w", window).withColumn("call", C.direction(price, F.col("w"))).where("call is not null")
+    # exploding one-element arrays keeps filters on their parts from computing the nested expressions anew
+    called = rows.select("*", F.explode(F.array(window)).alias("w")).select("*", F.explode(F.array(C.direction(price, F.col("w")))).alias("call")).where("call is not null")
     stated = F.when(F.col("l_tax") > 0.02, F.col("list_price"))
     return called.join(region, "dealer_id").select("province", "dealer_id", "call.dir", "call.floor_pct", F.col("w.exact").alias("exact"), stated.alias("stated_msrp"), C.inflation_floor(stated, F.col("w")).alias("infl_floor_pct"), "updated_at")
 
