@@ -15,8 +15,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of least doc_id; documents without an id can't be linked."""
-    joined = prefix_tree.join_documents(docs)
+    """Of each component of linked documents the one of least doc_id; documents without an id can't be linked.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    joined = prefix_tree.join_documents(docs, size=5, link=(80, 100))
     leads = joined.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(leads, docs["doc_id"].cast("long") == leads["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

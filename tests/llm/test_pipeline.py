@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 from marketloom.llm import queries
@@ -21,3 +23,24 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 def test_every_operator_has_a_query():
     assert [f"op{n}_" for n in range(1, 11)] == sorted({q.split("_")[0] + "_" for q in queries.QUERIES if q.startswith("op")}, key=lambda q: int(q[2:-1]))
+
+
+def test_join_stage_against_brute_force_at_five_words(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(8):
+        base = [f"b{i}x{k}" for k in range(200)]
+        for j, edits in enumerate((0, 3, 4, 5, 7)):
+            text = list(base)
+            for k in range(edits):
+                text[20 + 25 * k] = f"e{rng.random()}"
+            rows.append((10 * i + j, " ".join(text)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    up = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((up[a], up[b]))
+                up = {i: low if u == high else u for i, u in up.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_linked(spark, df, SF).collect()} == set(up.values())
