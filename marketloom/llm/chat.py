@@ -1,7 +1,7 @@
 """Operator 9, chat formatting: whole conversations rendered, encoded once, loss masks aligned by offsets.
 
 A turn is <|im_start|>role, a line feed, the text, <|im_end|> and a line feed. The two markers are tokens of their own,
-so no token straddles the start of a text; inside roles and texts the bar of anything that could read as a marker is
+and the header is parted from the text before either is encoded, so no token straddles an end of a text; inside roles and texts the bar of anything that could read as a marker is
 escaped, and unescaping gives the input back.
 """
 
@@ -47,6 +47,8 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
 ROLE = re.compile(r"\\(\\|n)")
+#: What is left of a header once the markers are taken out: a role and its line feed.
+HEAD = r"\A[^\n]*\n"
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -73,12 +75,15 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 @functools.cache
 def tokenizer(vocabulary: str):
-    """The vocabulary with the two markers as tokens of their own, read once a worker process."""
+    """The vocabulary with the two markers as tokens of their own and headers cut from texts, read once a worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import AddedToken, Tokenizer
+    from tokenizers import AddedToken, Regex, Tokenizer, pre_tokenizers
 
     coder = Tokenizer.from_file(vocabulary)
     coder.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, END)])
+    # line feeds at the start of a text would else make one token with the header's
+    parted = pre_tokenizers.Split(Regex(HEAD), "isolated")
+    coder.pre_tokenizer = pre_tokenizers.Sequence([parted, coder.pre_tokenizer]) if coder.pre_tokenizer else parted
     return coder
 
 

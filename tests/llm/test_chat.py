@@ -45,3 +45,15 @@ def test_whole_table(spark):
     for r in out.collect():
         assert len(r["token_ids"]) == len(r["loss_tokens"]) and r["n_turns"] == len(r["turns"])
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_texts_that_start_with_blanks(spark):
+    texts = ["\n", "\n\n", "\n\nfoo", "\r\n\n x", "\n" * 9 + "y\n\n", "  z", "\t\n", "\u00a0\n", "a\n\nb", ""]
+    rows = [(k, n, role, t) for k, text in enumerate(texts) for n, (role, t) in enumerate([("user", "\n\nq\n"), ("assistant", text), ("odd\n\nrole", "\n\n"), ("assistant", text)])]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat.digests(out).collect()}
+    for k, text in enumerate(texts):
+        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (2 * len(text), hashlib.sha256((2 * text).encode()).hexdigest())
+    coder = chat.tokenizer(chat.VOCABULARY)
+    for r in out.collect():
+        assert coder.decode(r["token_ids"], skip_special_tokens=False) == r["formatted"]
