@@ -26,10 +26,10 @@ def keep_one_of_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the paragraphs that an earlier document has; a document that consists of such goes."""
+    """Texts without the paragraphs and passages that an earlier document has; a document that consists of such goes."""
     cut = paragraphs.dedup_paragraphs(docs)
-    left = (F.size("removed") == 0) | (F.regexp_count("text", F.lit(mixing.WORD)) > 0)
-    n_chars = [F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
+    left = (F.col("removed_words") == 0) | (F.regexp_count("text", F.lit(mixing.WORD)) > 0)
+    n_chars = [F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
     return cut.where(left).select(*[c for c in docs.columns if c != "n_chars"], *n_chars).select(*docs.columns)
 
 

@@ -6,10 +6,15 @@
 2. Paragraphs that collide, directly or in turn, make up a group, cut into blocks whose pairs are verified by exact
    Jaccard similarity.
 3. Links and equal names make components; each keeps its first paragraph in order of (doc_id, place), all others go.
+4. Passages are found wherever lines begin and end: any PASSAGE words in a row that an earlier document has go too. The
+   least hash of all runs of GRAM words within PASSAGE words is an anchor that equal passages share, so anchors take part
+   in step 1 with the document as their name; documents that meet another one there compare all their windows of
+   PASSAGE words by hash, dealt out by anchor.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +30,18 @@ from marketloom.llm.shingles import mixed, shingle_hashes, shingle_set, word_has
 
 SHINGLE, LINK = 5, (80, 100)
 MIN_WORDS = 25
+#: Words that make a repeated passage, and words of the runs that anchors are chosen from.
+PASSAGE, GRAM = 51, 20
 HASHES, RECALL = 64, 0.999
 SHARD_BYTES = 4 << 20
 #: Text for each bucket of band hashes.
 BUCKET_BYTES = 64 << 20
+#: Text of the documents that share an anchor, for each bucket of windows.
+WINDOW_BYTES = 8 << 20
+#: As bytes.split() parts words.
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def tuned(hashes: int = HASHES, threshold: float = LINK[0] / LINK[1], recall: float = RECALL) -> tuple[int, int]:
@@ -66,14 +79,44 @@ def split(text: bytes, min_words: int) -> Iterator[tuple[int, list[bytes]]]:
             yield i, words
 
 
-SCANNED = "to int, bucket int, shard long, doc_id long, doc_key long, places array<int>, sizes array<int>, names array<long>, lines int, at int, packed binary"
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
-def _scan(docs: DataFrame, buckets: int, size: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """Rows of documents with their paragraphs (bucket -1), and a shard's band hashes for each bucket."""
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` words in a row, equal wherever they stand: sums of powers, modulo 2 ** 64."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(words * _powers(_STEP, len(words)), dtype=np.uint64)]
+    return mixed((total[size:] - total[:-size]) * _powers(_BACK, len(words) - size + 1))
+
+
+def window_anchors(words: np.ndarray, passage: int, gram: int) -> np.ndarray:
+    """For each `passage` words in a row the least hash of the `gram` words in a row among them."""
+    least = run_hashes(words, gram)
+    if len(words) < passage:
+        return least[:0]
+    width, have = passage - gram + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least
+
+
+SCANNED = "to int, bucket int, shard long, doc_id long, doc_key long, places array<int>, sizes array<int>, names array<long>, lines int, at int, row int, packed binary"
+
+
+def _scan(docs: DataFrame, buckets: int, size: int, min_words: int, bands: int, rows: int, passage: int, gram: int) -> DataFrame:
+    """Rows of documents with their paragraphs (bucket -1), and a shard's band hashes and anchors for each bucket.
+
+    Behind the shard's paragraphs its documents are numbered on, as what their anchors belong to.
+    """
     columns = [x.split()[0] for x in SCANNED.split(", ")]
     schema = T.StructType.fromDDL(SCANNED)
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -96,16 +139,20 @@ def _scan(docs: DataFrame, buckets: int, size: int, min_words: int, bands: int,
             keys = [xxhash.xxh3_64_intdigest(t) for t in as_bytes(shard.column("text"))]
             own = [
                 np.arange(n) % buckets, np.full(n, -1), np.full(n, name), shard.column("doc_id").combine_chunks(), np.array(keys, np.uint64).astype(np.int64), found, [sizes[a:b] for a, b in zip(at, at[1:])],
-                [names[a:b].astype(np.int64) for a, b in zip(at, at[1:])], lines, at[:-1], [None] * n,
+                [names[a:b].astype(np.int64) for a, b in zip(at, at[1:])], lines, at[:-1], np.arange(n), [None] * n,
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(own, kinds)], columns)
-            if not texts:
-                continue
-            # one row a distinct paragraph of the shard
-            _, lead = np.unique(names, return_index=True)
-            lead.sort()
-            keyed = band_hashes(min_hashes([shingle_hashes(words[i], size) for i in lead], bands * rows), bands, rows).ravel()
-            owner = np.repeat(lead, bands)
+            # a document is named by its id and text: copies of a text under other ids are other documents
+            called = mixed(np.asarray(shard.column("doc_id")).astype(np.int64).view(np.uint64) ^ mixed(np.array(keys, np.uint64)))
+            anchors = [np.unique(window_anchors(w, passage, gram)) for w in word_hashes(as_bytes(shard.column("text")))]
+            owner = len(texts) + np.repeat(np.arange(n), [len(a) for a in anchors])
+            keyed, names = np.concatenate(anchors), np.r_[names, called]
+            if texts:
+                # one row a distinct paragraph of the shard
+                _, lead = np.unique(names[: len(texts)], return_index=True)
+                lead.sort()
+                banded = band_hashes(min_hashes([shingle_hashes(words[i], size) for i in lead], bands * rows), bands, rows).ravel()
+                owner, keyed = np.r_[np.repeat(lead, bands), owner], np.r_[banded, keyed]
             bucket = (keyed % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -114,13 +161,13 @@ def _scan(docs: DataFrame, buckets: int, size: int, min_words: int, bands: int,
                 if len(mine):
                     short, who = (keyed[mine] >> np.uint64(32)).astype("<u4"), owner[mine]
                     packed = short.tobytes() + (names[who] >> np.uint64(32)).astype("<u4").tobytes() + np.diff(np.r_[0, who]).astype("<i4").tobytes()
-                    row = [b, b, name, None, None, None, None, None, None, None, packed]
+                    row = [b, b, name, None, None, None, None, None, None, None, None, packed]
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], columns)
 
     return docs.mapInArrow(run, schema)
 
 
-JUDGED = "shard long, doc_id long, doc_key long, places array<int>, sizes array<int>, names array<long>, lines int, at int, met binary"
+JUDGED = "shard long, doc_id long, doc_key long, places array<int>, sizes array<int>, names array<long>, lines int, at int, row int, met binary"
 
 
 def _judge(scanned: DataFrame, buckets: int) -> DataFrame:
@@ -128,7 +175,7 @@ def _judge(scanned: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [x.split()[0] for x in JUDGED.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
         def judged(held: list[tuple]) -> pa.RecordBatch:
             parts = [np.frombuffer(x[1], "<u4").reshape(3, -1) for x in held]
@@ -167,23 +214,26 @@ def _judge(scanned: DataFrame, buckets: int) -> DataFrame:
 
 
 def _paragraph_rows(judged: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, lines, place, words, name, met), one row a paragraph; place -1 for documents without any."""
+    """(doc_id, doc_key, lines, place, words, name, met, shares), one row a paragraph; place -1 for documents without any.
+
+    `shares` tells that one of the document's anchors is met by another document.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         docs = rows.filter(pc.is_valid(rows.column("doc_key"))).sort_by("at")
         n = sum(len(x) for x in docs.column("places").to_pylist())
-        met = np.zeros(n, bool)
+        met = np.zeros(n + docs.num_rows, bool)
         for x in rows.column("met").drop_null().to_pylist():
             met[np.frombuffer(x, "<i4")] = True
-        out = {c: [] for c in ("doc_id", "doc_key", "lines", "place", "words", "name", "met")}
-        for i, key, places, sizes, names, lines, at in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "doc_key", "places", "sizes", "names", "lines", "at"))):
+        out = {c: [] for c in ("doc_id", "doc_key", "lines", "place", "words", "name", "met", "shares")}
+        for i, key, places, sizes, names, lines, at, row in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "doc_key", "places", "sizes", "names", "lines", "at", "row"))):
             for j, (p, s, name) in enumerate(zip(places, sizes, names) if places else [(-1, 0, 0)]):
-                for c, v in zip(out, (i, key, lines, p, s, name, bool(places) and bool(met[at + j]))):
+                for c, v in zip(out, (i, key, lines, p, s, name, bool(places) and bool(met[at + j]), bool(met[n + row]))):
                     out[c].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
-    return judged.groupBy("shard").applyInArrow(run, "doc_id long, doc_key long, lines int, place int, words int, name long, met boolean")
+    return judged.groupBy("shard").applyInArrow(run, "doc_id long, doc_key long, lines int, place int, words int, name long, met boolean, shares boolean")
 
 
 def _met_sets(docs: DataFrame, rows: DataFrame, size: int, min_words: int, bands: int, rows_a_band: int) -> DataFrame:
@@ -208,21 +258,179 @@ def _met_sets(docs: DataFrame, rows: DataFrame, size: int, min_words: int, bands
     return docs.join(wanted, "doc_id").mapInArrow(run, "cls long, tokens binary, bands array<long>").dropDuplicates(["cls"])
 
 
+WINDOWS = "to int, bucket int, doc_id binary, doc_key binary, starts binary, sizes binary, hashes binary, sources binary"
+
+
+def _unlike(a: np.ndarray) -> np.ndarray:
+    return np.r_[True, a[1:] != a[:-1]]
+
+
+def _told(doc: np.ndarray, start: np.ndarray, source: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict[str, list]:
+    """A row a document: where its repeated windows start and the documents that had them first."""
+    order = np.lexsort((start, doc))
+    doc, start, source = doc[order], start[order], source[order]
+    at = np.flatnonzero(_unlike(doc)) if len(doc) else np.zeros(0, np.int64)
+    cut = list(zip(at.tolist(), np.r_[at[1:], len(doc)].tolist()))
+    lead = doc[at]
+    return {"doc_id": ids[lead].tolist(), "doc_key": keys[lead].tolist(), "starts": [start[a:b].astype("<i4").tobytes() for a, b in cut], "sources": [np.unique(source[a:b]).astype("<i8").tobytes() for a, b in cut]}
+
+
+def _windows(texts: DataFrame, buckets: int, passage: int, gram: int) -> DataFrame:
+    """A shard's windows for each bucket of their anchors, those of a kind of its first document alone; those that a document of the
+    shard repeats from an earlier one are told at once (bucket -1), so a passage that is everywhere goes once a shard.
+    """
+    columns = [x.split()[0] for x in WINDOWS.split(", ")]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in in_shards(batches, SHARD_BYTES):
+            raw = as_bytes(shard.column("text"))
+            keys = np.array([xxhash.xxh3_64_intdigest(t) for t in raw], np.uint64).astype(np.int64)
+            own = np.flatnonzero(keys == np.asarray(shard.column("doc_key")))
+            if not len(own):
+                continue
+            ids, keys = np.asarray(shard.column("doc_id")).astype(np.int64)[own], keys[own]
+            order = np.lexsort((keys, ids))
+            ids, keys = ids[order], keys[order]
+            order = order[_unlike(ids) | _unlike(keys)]
+            ids, keys = (x[_unlike(ids) | _unlike(keys)] for x in (ids, keys))
+            words = word_hashes([raw[own[i]] for i in order])
+            hashes = [run_hashes(w, passage) for w in words]
+            many = np.array([len(h) for h in hashes])
+            doc, start = np.repeat(np.arange(len(ids)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            anchor, hashes = np.concatenate([window_anchors(w, passage, gram) for w in words]), np.concatenate(hashes)
+            if not len(hashes):
+                continue
+            # documents are in order, so the first window of a kind is the earliest document's
+            _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+            source = doc[first][kind]
+            later = source != doc
+            told = _told(doc[later], start[later], ids[source[later]], ids, keys)
+            n = len(told["doc_id"])
+            rows = {"to": (np.arange(n) % buckets).tolist(), "bucket": [-1] * n, "sizes": [None] * n, "hashes": [None] * n} | told
+            for c in ("doc_id", "doc_key"):
+                rows[c] = [np.array([x], "<i8").tobytes() for x in rows[c]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(columns, kinds)], columns)
+            doc, start, anchor, hashes = doc[~later], start[~later], anchor[~later], hashes[~later]
+            # stretches of windows of one document and anchor
+            cut = np.flatnonzero(_unlike(doc) | _unlike(anchor) | np.r_[True, start[1:] != start[:-1] + 1])
+            sizes = np.diff(np.r_[cut, len(doc)])
+            bucket = (anchor[cut] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            wide = np.argsort(np.repeat(bucket, sizes), kind="stable")
+            wide_ends = np.r_[0, np.cumsum(np.bincount(bucket, sizes, buckets).astype(np.int64))]
+            out = []
+            for b in range(buckets):
+                mine = order[ends[b] : ends[b + 1]]
+                if len(mine):
+                    at = cut[mine]
+                    out.append((b, b, ids[doc[at]].astype("<i8").tobytes(), keys[doc[at]].astype("<i8").tobytes(), start[at].astype("<i4").tobytes(), sizes[mine].astype("<i4").tobytes(), hashes[wide[wide_ends[b] : wide_ends[b + 1]]].astype("<u8").tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], columns)
+
+    return texts.mapInArrow(run, WINDOWS)
+
+
+def _passages(windows: DataFrame, buckets: int, passage: int) -> DataFrame:
+    """(doc_id, doc_key, passages, passages_of): the words, as bounds of stretches, that an earlier document has."""
+    columns = ["doc_id", "doc_key", "starts", "sources"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(held: list[tuple]) -> pa.RecordBatch:
+            ids, keys, start, sizes, hashes = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate(("<i8", "<i8", "<i4", "<i4", "<u8")))
+            order = np.lexsort((keys, ids))
+            fresh = _unlike(ids[order]) | _unlike(keys[order])
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.cumsum(fresh) - 1
+            ids, keys = ids[order][fresh], keys[order][fresh]
+            doc = np.repeat(rank, sizes)
+            start = np.repeat(start, sizes) + np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(hashes)
+            at = np.flatnonzero(_unlike(hashes[order]))
+            source = np.empty(len(doc), np.int64)
+            source[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.r_[at, len(doc)]))
+            later = source != doc
+            told = _told(doc[later], start[later], ids[source[later]], ids, keys)
+            return pa.RecordBatch.from_arrays([pa.array(told[c], t) for c, t in zip(columns, kinds)], columns)
+
+        held, last = [], None
+        for b in batches:
+            own = b.filter(pc.equal(b.column("bucket"), -1))
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array([int(np.frombuffer(x, "<i8")[0]) for x in own.column(c).to_pylist()], pa.int64()) for c in columns[:2]), own.column("starts"), own.column("sources")], columns)
+            rest = b.filter(pc.not_equal(b.column("bucket"), -1))
+            for bucket, *row in zip(*(rest.column(c).to_pylist() for c in ("bucket", "doc_id", "doc_key", "starts", "sizes", "hashes"))):
+                if bucket != last and held:
+                    yield judged(held)
+                    held = []
+                last = bucket
+                held.append(tuple(row))
+        if held:
+            yield judged(held)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bounds, sources = [], []
+            for starts, of in zip(b.column("starts").to_pylist(), b.column("sources").to_pylist()):
+                at = np.unique(np.frombuffer(b"".join(starts), "<i4"))
+                cut = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + passage])
+                bounds.append(np.stack([at[cut], np.r_[at[cut[1:] - 1], at[-1]] + passage], axis=1).ravel().tolist())
+                sources.append(np.unique(np.frombuffer(b"".join(of), "<i8")).tolist())
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "doc_key": b.column("doc_key"), "passages": pa.array(bounds, pa.list_(pa.int32())), "passages_of": pa.array(sources, pa.list_(pa.int64()))})
+
+    told = windows.repartition(buckets, "to").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, doc_key long, starts binary, sources binary")
+    return told.groupBy("doc_id", "doc_key").agg(F.collect_list("starts").alias("starts"), F.collect_list("sources").alias("sources")).mapInArrow(joined, "doc_id long, doc_key long, passages array<int>, passages_of array<long>")
+
+
+def cut_text(text: str, removed: set[int], passages: list[int]) -> tuple[str, int]:
+    """The text without lines and passages, and how many words are gone. A line with nothing left goes as a whole."""
+    last = max(passages, default=0)
+    gone = bytearray(last)
+    for a, b in zip(passages[::2], passages[1::2]):
+        gone[a:b] = b"\1" * (b - a)
+    out, at, n = [], 0, 0
+    for i, line in enumerate(text.encode().split(b"\n")):
+        spans = [m.span() for m in WORD.finditer(line)]
+        hit = [k for k in range(len(spans)) if at + k < last and gone[at + k]]
+        at += len(spans)
+        if i in removed:
+            n += len(spans)
+            continue
+        if hit:
+            n += len(hit)
+            parts, done = [], 0
+            for k in hit:
+                parts.append(line[done : spans[k][0]])
+                done = spans[k + 1][0] if k + 1 < len(spans) else len(line)
+            line = b"".join([*parts, line[done:]])
+            if not line.strip():
+                continue
+        out.append(line)
+    return b"\n".join(out).decode(), n
+
+
 def removals(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, link: tuple[int, int] = LINK, min_words: int = MIN_WORDS, hashes: int = HASHES, recall: float = RECALL, block: int = BLOCK
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, link: tuple[int, int] = LINK, min_words: int = MIN_WORDS, hashes: int = HASHES, recall: float = RECALL, block: int = BLOCK,
+    passage: int = PASSAGE, gram: int = GRAM,
 ) -> DataFrame:
-    """(doc_id, doc_key, n_lines, n_paragraphs, removed, removed_words, copies_of), one row a distinct (id, text).
+    """(doc_id, doc_key, n_lines, n_paragraphs, removed, passages, copies_of), one row a distinct (id, text).
 
-    `removed` holds the line numbers (from 0) that repeat a paragraph of an earlier (doc_id, line), `copies_of` the
-    documents with the kept ones. Lines of fewer than min_words words are never removed; null and empty texts have no
-    lines; rows that repeat an id with its text are one document; a missing id leaves a row out.
+    `removed` holds the line numbers (from 0) that repeat a paragraph of an earlier (doc_id, line), `passages` the bounds
+    (from, to) of all stretches of words in whose every place stand `passage` words in a row that an earlier document's
+    text has, wherever lines begin or end; `copies_of` the documents with the kept ones. Lines of fewer than min_words
+    words are no paragraphs; null and empty texts have no lines; rows that repeat an id with its text are one document; a
+    missing id leaves a row out.
     """
     bands, rows_a_band = tuned(hashes, link[0] / link[1], recall)
     volume = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()["b"]
     buckets = max(8, int(volume // BUCKET_BYTES) + 1)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    judged = written(_judge(_scan(texts, buckets, size, min_words, bands, rows_a_band), buckets), "bands")
+    judged = written(_judge(_scan(texts, buckets, size, min_words, bands, rows_a_band, passage, gram), buckets), "bands")
     rows = written(_paragraph_rows(judged).dropDuplicates(["doc_id", "doc_key", "place"]), "paragraphs")
+    sharing = rows.where("shares").select("doc_id", "doc_key").distinct()
+    windows = max(8, int(texts.join(sharing.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // WINDOW_BYTES) + 1)
+    repeated = written(_passages(_windows(texts.join(sharing, "doc_id"), windows, passage, gram), windows, passage), "passages")
     met = written(_met_sets(texts, rows, size, min_words, bands, rows_a_band), "colliding")
     keyed = met.select("cls", F.explode("bands").alias("band"))
     first = keyed.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
@@ -232,23 +440,25 @@ def removals(
     held = written(held, "components")
     keeper = held.groupBy("component").agg(F.min(F.struct("doc_id", "doc_key", "place")).alias("keep"), F.count("*").alias("k")).where("k > 1")
     gone = held.join(keeper, "component").where(F.struct("doc_id", "doc_key", "place") != F.col("keep"))
-    by_doc = gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list("place")).alias("removed"), F.sum("words").cast("long").alias("removed_words"), F.array_sort(F.collect_set("keep.doc_id")).alias("copies_of"))
+    by_doc = gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list("place")).alias("removed"), F.collect_set("keep.doc_id").alias("lines_of"))
     facts = rows.groupBy("doc_id", "doc_key").agg(F.first("lines").alias("n_lines"), F.count_if(F.col("place") >= 0).alias("n_paragraphs"))
-    none = F.expr("cast(array() as array<int>)")
-    return facts.join(by_doc, ["doc_id", "doc_key"], "left").select("doc_id", "doc_key", "n_lines", "n_paragraphs", F.coalesce("removed", none).alias("removed"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), F.coalesce("copies_of", F.expr("cast(array() as array<long>)")).alias("copies_of"))
+    none, nobody = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<long>)")
+    found = facts.join(by_doc, ["doc_id", "doc_key"], "left").join(repeated, ["doc_id", "doc_key"], "left")
+    copies = F.array_sort(F.array_union(F.coalesce("lines_of", nobody), F.coalesce("passages_of", nobody))).alias("copies_of")
+    return found.select("doc_id", "doc_key", "n_lines", "n_paragraphs", F.coalesce("removed", none).alias("removed"), F.coalesce("passages", none).alias("passages"), copies)
 
 
 def dedup_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of docs with repeated paragraphs cut out of the text column, and n_lines, n_paragraphs, removed, removed_words
-    and copies_of of removals() added or replaced. A text without removals stays as it is, null too; rows without an id
+    """Rows of docs with repeated paragraphs and passages cut out of the text column, and n_lines, n_paragraphs, removed,
+    passages and copies_of of removals() and the number of words cut out, removed_words, added or replaced. A text without removals stays as it is, null too; rows without an id
     stay untouched, with no lines. Rows that repeat an id with its text come out alike, as one document would.
     """
-    added = ["n_lines", "n_paragraphs", "removed", "removed_words", "copies_of"]
+    added = ["n_lines", "n_paragraphs", "removed", "passages", "removed_words", "copies_of"]
     base = docs.select(*[c for c in docs.columns if c not in added])
     found = removals(docs, id_col=id_col, text_col=text_col, **options).withColumnsRenamed({"doc_id": "__id", "doc_key": "__key"})
     # several texts under one id are told apart by their keys below
-    by_id = found.groupBy("__id").agg(F.collect_list(F.struct("__key", *added)).alias("__found"))
-    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("n_lines int, n_paragraphs long, removed array<int>, removed_words long, copies_of array<long>").fields])
+    by_id = found.groupBy("__id").agg(F.collect_list(F.struct("__key", *[c for c in added if c != "removed_words"])).alias("__found"))
+    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("n_lines int, n_paragraphs long, removed array<int>, passages array<int>, removed_words long, copies_of array<long>").fields])
 
     names = base.columns
 
@@ -258,21 +468,21 @@ def dedup_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             texts = []
             for text, found in zip(b.column(text_col).to_pylist(), b.column("__found").to_pylist()):
                 key = np.uint64(xxhash.xxh3_64_intdigest((text or "").encode())).astype(np.int64)
-                own = next((f for f in found or () if f["__key"] == key), {"n_lines": 0, "n_paragraphs": 0, "removed": [], "removed_words": 0, "copies_of": []})
-                gone = set(own["removed"])
-                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+                own = next((f for f in found or () if f["__key"] == key), {"n_lines": 0, "n_paragraphs": 0, "removed": [], "passages": [], "copies_of": []})
+                left, n = cut_text(text, set(own["removed"]), own["passages"]) if own["removed"] or own["passages"] else (text, 0)
+                texts.append(left)
                 for c in added:
-                    out[c].append(own[c])
+                    out[c].append(n if c == "removed_words" else own[c])
             arrays = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()))
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(out[c], t) for c, t in zip(added, kinds))], [*names, *added])
 
     return base.join(by_id, base[id_col].cast("long") == by_id["__id"], "left").drop("__id").mapInArrow(run, schema)
 
 
 def digests(deduped: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_paragraphs, n_removed, removed_words, n_chars, kept_sha256, copies_of)."""
+    """(doc_id, n_lines, n_paragraphs, n_removed, n_passages, removed_words, n_chars, kept_sha256, copies_of)."""
     text = F.coalesce("text", F.lit(""))
-    return deduped.select("doc_id", "n_lines", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), "removed_words", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"), "copies_of")
+    return deduped.select("doc_id", "n_lines", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), F.expr("size(passages) div 2").alias("n_passages"), "removed_words", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"), "copies_of")
 
 

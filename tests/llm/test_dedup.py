@@ -147,3 +147,42 @@ def test_paragraphs_odd_rows(spark, no_docs):
     rows = [(2, para), (2, para), (1, f"x\n{para}\ny"), (None, para), (7, None)]
     got = sorted(((r["doc_id"] or -1, r["text"]) for r in paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(2, ""), (2, ""), (1, f"x\n{para}\ny"), (-1, para), (7, None)], key=str)
+
+
+def brute_passages(rows, least=51):
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        w = (t or "").encode().lower().split()
+        runs = [tuple(w[k : k + least]) for k in range(len(w) - least + 1)]
+        gone = {p for k, r in enumerate(runs) if r in seen for p in range(k, k + least)}
+        out[i] = (b" ".join(x for p, x in enumerate(w) if p not in gone), len(gone))
+        for r in runs:
+            seen.setdefault(r, i)
+    return out
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    fresh = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    one, two, three = fresh(51), fresh(51), fresh(90)
+    short = "\n".join(" ".join(fresh(7)) for _ in range(20))
+    lines = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    rows = [(1, " ".join(fresh(40) + one + fresh(70))), (2, " ".join(fresh(200) + one + fresh(90)))]  # in longer lines
+    rows += [(3, " ".join(fresh(30)) + "\n" + lines(two, 6)), (4, lines(two, 9) + "\n\n" + lines(fresh(60), 10))]  # over short lines
+    rows += [(5, lines(three, 8)), (6, " ".join(fresh(100) + three + fresh(100) + three[:60])), (7, " ".join(fresh(10) + [x.upper() for x in three] + one[:50] + fresh(9)))]
+    rows += [(8, short), (9, short), (10, "x " * 300), (11, "x " * 120 + "y"), (12, " ".join(two[:50])), (13, None), (14, ""), (15, lines(one[1:] + fresh(3), 5))]
+    monkeypatch.setattr(paragraphs, "SHARD_BYTES", 2000)
+    got = {r["doc_id"]: r for r in paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=10**6).collect()}
+    exp = brute_passages(rows)
+    assert {i: (b" ".join((r["text"] or "").encode().lower().split()), r["removed_words"]) for i, r in got.items()} == exp
+    assert [exp[i][1] for i in (2, 4, 6, 9, 11, 12, 15)] == [51, 51, 150, 140, 120, 0, 0]
+    assert got[9]["text"] == "" and got[2]["copies_of"] == [1] and got[4]["text"].count("\n") == 6 and got[13]["text"] is None
+
+
+def test_passages_beside_lines(spark):
+    rng = random.Random(9)
+    para, more = " ".join(f"p{rng.random()}" for _ in range(60)), " ".join(f"q{rng.random()}" for _ in range(55))
+    rest = " ".join(f"r{rng.random()}" for _ in range(80))
+    rows = [(1, f"{para}\nend {more} {rest}"), (2, f"a\n{para}\n  b {more}  c\n"), (2, f"a\n{para}\n  b {more}  c\n")]
+    got = [r for r in paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 2]
+    assert [(r["text"], r["removed"], r["removed_words"], r["copies_of"]) for r in got] == [("a\n  b c\n", [1], 115, [1])] * 2
