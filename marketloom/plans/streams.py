@@ -24,7 +24,7 @@ def stream_seen(spark, sf_dir):
 
 
 def stream_cooldowns(spark, sf_dir):
-    return _plain(E.drain(E.cooldowns(E.event_stream(spark, sf_dir).where("event_type = 'error'")), "update"), "last_at", "blocked_until")
+    return _plain(E.drain(E.cooldowns(E.event_stream(spark, sf_dir).where("event_type = 'error'")), "update", keys=["user_id"]), "last_at", "blocked_until")
 
 
 def batch_cooldowns(spark, sf_dir):

@@ -6,11 +6,12 @@ and returns the sink's rows.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -77,13 +78,35 @@ def attached(events: DataFrame, parents: DataFrame) -> DataFrame:
     return events.join(parents, events["user_id"] == parents["parent_id"], "left")
 
 
-def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is available and return the rows of its sink."""
-    spark, name = df.sparkSession, f"s{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is available and return the rows of its sink, a table in the shared folder.
+
+    In append mode these are the rows of all batches, in complete mode those of the last batch; in update mode the last
+    row of each of `keys`, or all updates if none are given. Each batch is a folder of its own, so a batch that is run
+    again replaces what it wrote. A checkpoint's sink lies beside it, so a later run goes on where the last one ended.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketloom-")
+    sink = f"{checkpoint.rstrip('/')}-sink" if checkpoint else f"{shared}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{sink}/batch_id={batch_id}")
+
+    query = df.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(keep).option("checkpointLocation", checkpoint or f"{sink}-checkpoint").start()
     query.awaitTermination()
-    return spark.table(name)
+    try:
+        rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(sink)
+    except Exception as missing:  # a stream without input has no batch
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        last = rows.agg(F.max("batch_id").alias("b")).first()["b"]
+        rows = rows.where(F.col("batch_id") == last)
+    elif mode == "update" and keys:
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch_id").alias("r"))
+        return latest.select("r.*")
+    return rows.select(*df.columns)
 
 
 def new_only(batch: DataFrame, known_path: str, keys: list[str], batch_id: int) -> DataFrame:

@@ -68,3 +68,15 @@ def test_new_only(spark, tmp_path):
     assert events.new_only(df, path, ["id"], 0).count() == 2
     for _ in range(2):  # a batch that is run again
         assert [r["id"] for r in events.new_only(more, path, ["id"], 1).collect()] == [3]
+
+
+@pytest.mark.parametrize("mode,keys,exp", [("complete", None, [(1, 3), (2, 1)]), ("update", ["user_id"], [(1, 3), (2, 1)]), ("update", None, [(1, 1), (1, 3), (2, 1)])])
+def test_drain_keeps_rows_out_of_the_driver(spark, tmp_path, mode, keys, exp):
+    for k, ids in enumerate([[1], [1, 1, 2]]):
+        spark.createDataFrame([(i,) for i in ids], "user_id long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("user_id long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").groupBy("user_id").agg(F.count("*").alias("n"))
+    out = events.drain(stream, mode, keys=keys)
+    assert out.columns == ["user_id", "n"] and sorted(tuple(r) for r in out.collect()) == exp
+    assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
+    empty = spark.readStream.schema("user_id long").parquet(f"file://{tmp_path}/none*")
+    assert events.drain(empty).count() == 0
