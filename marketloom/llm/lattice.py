@@ -15,7 +15,6 @@ import numpy as np
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONGEST = 12
 
 
 def read_pieces(path: str = VOCABULARY) -> list[tuple[bytes, bool, float]]:
@@ -35,7 +34,7 @@ def read_pieces(path: str = VOCABULARY) -> list[tuple[bytes, bool, float]]:
         piece = reader.id_to_piece(i)
         start, letters = piece.startswith(MARK), piece.removeprefix(MARK)
         raw = letters.encode()
-        if MARK in letters or len(raw) > LONGEST or any(65 <= b <= 90 or b in b" \t\n\r\x0b\x0c" for b in raw):
+        if MARK in letters or any(65 <= b <= 90 or b in b" \t\n\r\x0b\x0c" for b in raw):
             continue
         weight = -np.log(2.0 - s) if ranked else s
         key = (raw, start)

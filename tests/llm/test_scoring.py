@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from marketloom.llm import scoring
-from marketloom.llm.lattice import Lattice, batches_by_length
+from marketloom.llm.lattice import Lattice, batches_by_length, read_pieces
 
 
 def toks(t):
@@ -78,3 +78,9 @@ def test_no_rows_and_nothing_to_learn(spark, no_docs, docs, held):
     if held:
         got = scoring.score_documents(docs.limit(4), held_out=F.lit(True)).collect()
         assert len(got) == 4 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] < 0 for r in got)
+
+
+def test_long_pieces_are_kept():
+    pieces = read_pieces()
+    assert {(b"international", True), (b"understanding", True)} <= {p[:2] for p in pieces}
+    assert Lattice(pieces).width == max(len(p[0]) for p in pieces) > 12
