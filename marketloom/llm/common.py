@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Upper-case ASCII to lower case, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -21,10 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: joined() broadcasts keys with more than one in HOT_KEYS of all rows, so never more keys than this.
+HOT_KEYS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own where the session names none (tests)."""
+    """The folder that driver and executors share; on one machine a folder of our own where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -38,11 +44,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to facts, which has one row a key and the number of the key's rows as k.
+
+    All rows of a key would meet in one task. So keys with more than total / HOT_KEYS rows, which can't be more than
+    HOT_KEYS, are sent to where their rows are; the rest is joined by key.
+    """
+    most = total // HOT_KEYS
+    hot = F.broadcast(facts.where(F.col("k") > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col("k") <= most), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()
 
 
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of hashes as a column of lists of int64."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)))
+
+
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """The other way round: each list as an array of uint64."""
+    flat, ends = np.asarray(column.values).view(np.uint64), np.asarray(column.offsets)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def in_shards(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "text") -> Iterator[pa.Table]:
     """Consecutive rows gathered to tables of about most_bytes of text (at least one row); a text is never cut."""
     held: list[pa.RecordBatch] = []

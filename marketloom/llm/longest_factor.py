@@ -3,12 +3,16 @@
 1. Texts are compared as UTF-8 bytes. Of equal texts the first stays in the search; later ones go whole if they are long
    enough to hold a window.
 2. Each window of `length` bytes has an anchor, the leftmost of its k-grams with the least hash. Equal windows have
-   equal anchors, so windows need to be compared only where anchors' hashes meet. Hashes are dealt out in packed rows;
-   those of one text only are dropped. What is left goes on with the bytes that the anchor's windows cover.
-3. The windows' starts are put into suffix order by prefix doubling, suffixes that agree on `length` bytes by their place
-   in the corpus. There the previous smaller position gives a start its longest previous factor, cut at `length`; where
-   it reaches `length`, the window is a later copy.
-4. Windows of later copies become byte spans, merged per document and cut out.
+   equal anchors, so windows need to be compared only where anchors meet. Anchors are rows of (hash, document), counted
+   with map-side combination; those of one text only are dropped. What is left goes on with the bytes that the anchor's
+   windows cover: its context.
+3. A task gets all contexts of an anchor. An anchor of more than MANY documents is split: its windows go by their least
+   k-gram that is no such anchor, on which equal windows agree too. Contexts that are equal in every byte are told apart
+   before, once a shard and once more where they meet.
+4. The windows of a task's contexts are put into suffix order with the common prefixes of neighbours. The nearest
+   suffixes before and behind that start earlier in the corpus give each window its longest previous factor; windows
+   with a factor of `length` bytes are later copies.
+5. Windows of later copies become byte spans, merged per document and cut out.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from marketloom.llm.common import as_bytes, in_shards, written
+from marketloom.llm.common import as_bytes, in_shards, joined, written
 from marketloom.llm.shingles import mixed
 
 LENGTH, GRAM = 100, 24
 SHARD_BYTES = 2 << 20
-#: Text for each bucket of anchors; flagged text for each bucket of contexts.
-BUCKET_BYTES, CONTEXT_BYTES = 64 << 20, 6 << 20
+#: Text with shared anchors for each bucket of contexts.
+CONTEXT_BYTES = 6 << 20
 #: Bytes that are put into suffix order at a time.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
+#: Documents of an anchor from which on its windows are split further.
+MANY = 5_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -51,16 +57,21 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first window, last window) of each anchor in texts laid end to end; windows never cross an end."""
+def anchors(h: np.ndarray, ends: np.ndarray, length: int, gram: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window) of each anchor in texts laid end to end; windows never cross an end.
+
+    h holds the hashes of all k-grams; grams with a hash in `but` are anchors only of windows without any other.
+    """
     none = np.zeros(0, np.int64)
-    h = gram_hashes(data, gram)
     span = length - gram + 1
     n = len(h) - span + 1
     if n <= 0:
-        return none, none.astype(np.uint64), none, none
+        return none, none, none
+    high = h >> np.uint64(32)
+    if but is not None:
+        high = np.where(np.isin(h, but), np.uint64(0xFFFFFFFF), high)
     # hash and place in one number, so that the least is the leftmost of equals
-    key = ((h >> np.uint64(32)) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    key = (high << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
     # least of each window from the suffix minima of one block and the prefix minima of the next
     full = np.r_[key, np.full(-len(key) % span, ~np.uint64(0))].reshape(-1, span)
     prefix = np.minimum.accumulate(full, axis=1).ravel()
@@ -70,33 +81,74 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     inside = start + length <= ends[np.searchsorted(ends, start, side="right")]
     start = start[inside]
     if not len(start):
-        return none, none.astype(np.uint64), none, none
+        return none, none, none
     place = (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     last = np.r_[first[1:], len(place)] - 1
-    place = place[first]
-    return place, h[place], start[first], start[last]
+    return place[first], start[first], start[last]
 
 
-def equal_starts(flat: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each start by its first `length` bytes, by prefix doubling over all places of flat."""
+def suffix_order(flat: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (by number) in order of their first `length` bytes, those that agree by place, and how many bytes each has
+    in common with the one before, at most `length`. Bytes are ranked by prefix doubling."""
     n = len(flat)
     padded = np.r_[flat, np.zeros(8, np.uint8)]
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    width = 8
+    width, ranks = 8, []
     while True:
         order = np.argsort(key)
         s = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]]).astype(np.uint64)
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]]).astype(np.uint32)
+        ranks.append((width, rank))
         if width >= length:
-            return rank[starts]
+            break
         step = min(width, length - width)
-        behind = np.r_[rank[step:] + np.uint64(1), np.zeros(step, np.uint64)]
-        key = (rank << np.uint64(32)) | behind
+        behind = np.r_[rank[step:].astype(np.uint64) + np.uint64(1), np.zeros(step, np.uint64)]
+        key = (rank.astype(np.uint64) << np.uint64(32)) | behind
         width += step
+    own = rank[starts]
+    order = np.lexsort((place, own))
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:] = np.where(own[order][1:] == own[order][:-1], length, 0)
+    apart = np.flatnonzero(lcp[1:] == 0) + 1
+    a, b = starts[order[apart - 1]], starts[order[apart]]
+    at = np.zeros(len(apart), np.int64)
+    for width, rank in [r for r in reversed(ranks) if r[0] & (r[0] - 1) == 0]:
+        near = np.minimum(np.maximum(a, b) + at, n - 1) - np.maximum(a, b)
+        at += np.where((near == at) & (rank[a + near] == rank[b + near]), width, 0)
+    open_ = np.flatnonzero(at < length)
+    for _ in range(7):
+        open_ = open_[padded[a[open_] + at[open_]] == padded[b[open_] + at[open_]]]
+        at[open_] += 1
+        open_ = open_[at[open_] < length]
+    # what is apart within `length` bytes can't have them all in common
+    lcp[apart] = np.minimum(at, length - 1)
+    return order, lcp
+
+
+def longest_previous(place: np.ndarray, lcp: np.ndarray, enough: int = 1) -> np.ndarray:
+    """For suffixes in suffix order the longest prefix that each shares with one of smaller place.
+
+    It is shared with the nearest smaller place before or behind. Each suffix steps from its neighbour over all that are
+    known to be greater, taking the least common prefix along, until it meets a smaller place; what shares less than
+    `enough` isn't followed further, its length is then only an upper bound below `enough`.
+    """
+    found = np.zeros(len(place), np.int64)
+    for back in (False, True):
+        p, low = (place[::-1], np.r_[0, lcp[:0:-1]]) if back else (place, lcp.copy())
+        near = np.arange(len(p)) - 1
+        open_ = np.flatnonzero((near >= 0) & (p[near] > p) & (low >= enough))
+        while len(open_):
+            c = near[open_]
+            low[open_], near[open_] = np.minimum(low[open_], low[c]), near[c]
+            open_ = open_[(near[open_] >= 0) & (p[near[open_]] > p[open_]) & (low[open_] >= enough)]
+        low[near < 0] = 0
+        low = np.where((near >= 0) & (p[near] > p), np.minimum(low, enough - 1), low)
+        found = np.maximum(found, low[::-1] if back else low)
+    return found
 
 
 def later_copies(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, offset: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,10 +157,7 @@ def later_copies(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, offset:
     A context holds the bytes of an anchor's windows, the first of which starts at `first`; contexts with one hash are
     compared.
     """
-    number: dict[tuple, int] = {}
-    lead = np.empty(len(texts), np.int64)  # the first context with the same hash, anchor offset and bytes
-    for i, k in enumerate(zip(hashes.tolist(), offset.tolist(), texts)):
-        lead[i] = number.setdefault(k, i)
+    lead = leads(hashes, offset, texts)
     copies = np.flatnonzero(lead != np.arange(len(texts)))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     out = [(copies, np.zeros(len(copies), np.int64), sizes[copies] - length)]
@@ -127,7 +176,7 @@ def later_copies(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, offset:
         to = int(cut[k]) if k >= 0 and cut[k] > at else (int(cut[k + 1]) if k + 1 < len(cut) else len(heads))
         if to <= at or to > len(heads) or (k + 1 >= len(cut) and total[-1] - total[at] <= SORT_BYTES):
             to = len(heads)
-        part = heads[at:to]
+        part = np.sort(heads[at:to])  # contexts are numbered in corpus order
         at = to
         flat = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
         size = sizes[part]
@@ -135,12 +184,11 @@ def later_copies(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, offset:
         windows = size - length + 1
         owner = np.repeat(np.arange(len(part)), windows)
         window = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        rank = equal_starts(flat, begin[owner] + window, length)
-        # suffix order; suffixes that agree to the full length by place: contexts are numbered in corpus order
-        place = np.lexsort((first[part][owner] + window, doc[part][owner], rank))
-        r = rank[place]
-        later = place[1:][r[1:] == r[:-1]]
-        later.sort()
+        # a document's contexts follow each other by first window, but further ones may start before one ends
+        place = np.empty(len(owner), np.int64)
+        place[np.lexsort((first[part][owner] + window, doc[part][owner]))] = np.arange(len(owner))
+        order, lcp = suffix_order(flat, begin[owner] + window, place, length)
+        later = np.sort(order[longest_previous(place[order], lcp, length) >= length])
         if len(later):
             o, w = owner[later], window[later]
             new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (w[1:] != w[:-1] + 1)])
@@ -149,146 +197,111 @@ def later_copies(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, offset:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-SCANNED = "to int, bucket int, shard long, doc_id long, row int, n_bytes long, key binary, counts binary, names binary, hashes binary"
+def leads(hashes: np.ndarray, offset: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """For each context the first one with the same hash, place of the anchor and bytes."""
+    number: dict[tuple, int] = {}
+    return np.fromiter((number.setdefault(k, i) for i, k in enumerate(zip(hashes.tolist(), offset.tolist(), texts))), np.int64, len(texts))
 
 
-def _scan(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Rows of documents (bucket -1), and for each bucket a shard's anchor hashes: how many of each text, and which."""
-    columns = [x.split()[0] for x in SCANNED.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, n_bytes, key, anchors, again): each text's digest, anchor hashes, and those that it has twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
-            name, texts = (part << 32) | k, as_bytes(shard.column("text"))
-            n = len(texts)
-            keys = [hashlib.sha256(t).digest() for t in texts]
-            sizes = np.fromiter(map(len, texts), np.int64, n)
+        for shard in in_shards(batches, SHARD_BYTES):
+            texts = as_bytes(shard.column("text"))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             ends = np.cumsum(sizes)
-            rows = [np.arange(n) % buckets, np.full(n, -1), np.full(n, name), shard.column("doc_id").combine_chunks(), np.arange(n), sizes, keys, [None] * n, [None] * n, [None] * n]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(rows, kinds)], columns)
-            place, h, _, _ = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
-            doc, bucket = np.searchsorted(ends, place, side="right"), (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names = b"".join(x[:8] for x in keys)
-            for b in range(buckets):
-                mine = order[cut[b] : cut[b + 1]]
-                if len(mine):
-                    packed = (h[mine] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    row = [b, b, name, None, n, None, None, np.bincount(doc[mine], minlength=n).astype("<u4").tobytes(), names, packed]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], columns)
-
-    return docs.mapInArrow(run, SCANNED)
-
-
-def _flag(scanned: DataFrame, buckets: int) -> DataFrame:
-    """Document rows as they are; for each shard and bucket a bit for each anchor: is its hash met in another text too,
-    or twice in its own?"""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(bucket: int, held: list[tuple]) -> pa.RecordBatch:
-            hashes, docs, sizes = [], [], []
-            for i, (_, rows, counts, names, packed) in enumerate(held):
-                wide = np.zeros((len(packed) // 5, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-                hashes.append(wide.view("<u8")[:, 0])
-                counts = np.frombuffer(counts, "<u4").astype(np.int64)
-                docs.append((np.repeat(np.frombuffer(names, "<u8"), counts), np.repeat(np.arange(rows) + (i << 32), counts)))
-                sizes.append(len(wide))
-            h, text, doc = np.concatenate(hashes), np.concatenate([d[0] for d in docs]), np.concatenate([d[1] for d in docs])
-            order = np.lexsort((doc, text, h))
-            a, b = order[:-1], order[1:]
-            # equal neighbours in one text count if they are of one document; else they are a copy's
-            same = h[a] == h[b]
-            other = same & ((text[a] != text[b]) | (doc[a] == doc[b]))
-            group = np.cumsum(np.r_[True, ~same]) - 1
-            met = np.zeros(group[-1] + 1, bool)
-            met[group[1:][other]] = True
-            flag = np.empty(len(h), bool)
-            flag[order] = met[group]
-            out, at = [], 0
-            for n in sizes:
-                out.append(np.packbits(flag[at : at + n]).tobytes())
-                at += n
-            m = len(held)
-            return pa.RecordBatch.from_pydict(
-                {"shard": pa.array([x[0] for x in held], pa.int64()), "bucket": pa.array([bucket] * m, pa.int32()), "doc_id": pa.nulls(m, pa.int64()), "row": pa.nulls(m, pa.int32()), "n_bytes": pa.nulls(m, pa.int64()), "key": pa.nulls(m, pa.binary()), "counts": pa.array([x[2] for x in held], pa.binary()), "flags": pa.array(out, pa.binary())}
-            )
+            h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), gram)
+            place, _, _ = anchors(h, ends, length, gram)
+            doc, h = np.searchsorted(ends, place, side="right"), h[place]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order].astype(np.int64)
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)]
+            twice = ~new & np.r_[False, new[:-1]][: len(h)]
+            arrays = []
+            for some in (new, twice):
+                cuts = np.r_[0, np.cumsum(np.bincount(doc[some], minlength=len(texts)))].astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[some])))
+            yield pa.RecordBatch.from_arrays([shard.column("doc_id").combine_chunks(), pa.array(sizes), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), *arrays], ["doc_id", "n_bytes", "key", "anchors", "again"])
 
-        held, last = [], None
-        for b in batches:
-            own = b.filter(pc.equal(b.column("bucket"), -1))
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("shard", "bucket", "doc_id", "row", "n_bytes", "key")), pa.nulls(own.num_rows, pa.binary()), pa.nulls(own.num_rows, pa.binary())], ["shard", "bucket", "doc_id", "row", "n_bytes", "key", "counts", "flags"])
-            rest = b.filter(pc.not_equal(b.column("bucket"), -1))
-            for bucket, *row in zip(*(rest.column(c).to_pylist() for c in ("bucket", "shard", "row", "counts", "names", "hashes"))):
-                if bucket != last and held:
-                    yield judged(last, held)
-                    held = []
-                last = bucket
-                held.append(tuple(row))
-        if held:
-            yield judged(last, held)
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, key binary, anchors array<long>, again array<long>")
 
-    return scanned.repartition(buckets, "to").sortWithinPartitions("bucket").mapInArrow(run, "shard long, bucket int, doc_id long, row int, n_bytes long, key binary, counts binary, flags binary")
 
+def _shared(scanned: DataFrame, many: int) -> DataFrame:
+    """(doc_id, met, split): anchors that another text has too, or the text itself twice; those of more than `many` texts."""
+    named = scanned.select(F.xxhash64("key").alias("text"), "doc_id", "anchors", "again")
+    both = named.select("text", F.explode("anchors").alias("h"), F.lit(0).alias("t")).unionByName(named.select("text", F.explode("again").alias("h"), F.lit(1).alias("t")))
+    facts = both.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("z"), F.max("t").alias("t"), F.count("*").alias("k")).where("a <> z or t = 1").select("h", "k")
+    total = scanned.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)).alias("n")).first()["n"]
+    met = joined(named.select("doc_id", F.explode("anchors").alias("h")), facts, "h", total)
+    return met.groupBy("doc_id").agg(F.collect_list("h").alias("met"), F.collect_list(F.when(F.col("k") > many, F.col("h"))).alias("split"))
 
-def _facts(flagged: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, key, flags): per document the bits of its anchors in order of bucket and place; null if none is set."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        docs = rows.filter(pc.equal(rows.column("bucket"), -1)).sort_by("row")
-        parts: list[list[np.ndarray]] = [[] for _ in range(docs.num_rows)]
-        for counts, flags in zip(*(rows.filter(pc.greater_equal(rows.column("bucket"), 0)).sort_by("bucket").column(c).to_pylist() for c in ("counts", "flags"))):
-            counts = np.frombuffer(counts, "<u4").astype(np.int64)
-            bits = np.unpackbits(np.frombuffer(flags, np.uint8))
-            ends = np.cumsum(counts)
-            for d in np.flatnonzero(counts).tolist():
-                parts[d].append(bits[ends[d] - counts[d] : ends[d]])
-        found = [np.concatenate(x) if x else np.zeros(0, np.uint8) for x in parts]
-        return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "key": docs.column("key"), "flags": pa.array([np.packbits(x).tobytes() if x.any() else None for x in found], pa.binary())})
+CONTEXTS = "bucket int, hashes binary, docs binary, first binary, shift binary, sizes binary, bytes binary"
 
-    return flagged.groupBy("shard").applyInArrow(run, "doc_id long, n_bytes long, key binary, flags binary")
 
+def _contexts(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """Packed rows, one a bucket and shard, of shared anchors with the bytes that their windows cover.
 
-def _contexts(texts: DataFrame, anchor_buckets: int, buckets: int, length: int, gram: int) -> DataFrame:
-    """Packed rows, one a bucket and shard, of flagged anchors with the bytes that their windows cover."""
+    Of contexts of a shard that are equal in every byte only the first goes on; the others are told at once, in rows of
+    bucket -1 without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in in_shards(batches, SHARD_BYTES):
-            texts, ids, flags = as_bytes(shard.column("text")), shard.column("doc_id").to_pylist(), shard.column("flags").to_pylist()
-            ends = np.cumsum([len(t) for t in texts])
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            place, h, first, last = anchors(data, ends, length, gram)
+            ids = np.asarray(shard.column("doc_id")).astype(np.int64)
+            shard = shard.take(pa.array(np.argsort(ids, kind="stable")))
+            ids.sort()
+            texts = as_bytes(shard.column("text"))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            ends = np.cumsum(sizes)
+            raw = b"".join(texts)
+            h = gram_hashes(np.frombuffer(raw, np.uint8), gram)
+            place, first, last = anchors(h, ends, length, gram)
+            doc, name = np.searchsorted(ends, place, side="right"), h[place]
+            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+            chosen = np.zeros(len(place), bool)
+            for i, met in enumerate(shard.column("met").to_pylist()):
+                chosen[cuts[i] : cuts[i + 1]] = np.isin(name[cuts[i] : cuts[i + 1]], np.array(met, np.int64).astype(np.uint64))
+            place, first, last, name = place[chosen], first[chosen], last[chosen], name[chosen]
+            split = np.unique(np.array([x for s in shard.column("split").to_pylist() for x in s], np.int64)).astype(np.uint64)
+            if len(split):
+                # windows of a hot anchor go by their least other gram as well
+                other, begin, _ = anchors(h, ends, length, gram, split)
+                hot = np.isin(name, split)
+                at = begin[np.isin(np.searchsorted(first, begin, side="right") - 1, np.flatnonzero(hot))]
+                starts = np.unique(np.r_[first, at])
+                run_ = np.searchsorted(first, starts, side="right") - 1
+                inside = starts <= last[run_]
+                starts, run_ = starts[inside], run_[inside]
+                next_ = np.r_[starts[1:], len(h) + 1]
+                last = np.minimum(last[run_], next_ - 1)
+                place, name, hot, first = place[run_], name[run_], hot[run_], starts
+                second = h[other[np.searchsorted(begin, starts, side="right") - 1]]
+                name = np.where(hot, mixed(name ^ mixed(second)), name)
+            if not len(place):
+                continue
             doc = np.searchsorted(ends, place, side="right")
-            order = np.lexsort((place, h % np.uint64(anchor_buckets), doc))
-            many = np.bincount(doc, minlength=len(texts))
-            bits = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:m] for f, m in zip(flags, many)])
-            chosen = np.sort(order[bits.astype(bool)])
-            bucket = (mixed(h[chosen]) % np.uint64(buckets)).astype(np.int64)
-            begin = ends - np.array([len(t) for t in texts])
-            raw = data.tobytes()
-            for b in np.unique(bucket).tolist():
-                mine = chosen[bucket == b]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array([b], pa.int32()), "hashes": [h[mine].astype("<u8").tobytes()], "docs": [np.array(ids, np.int64)[doc[mine]].tobytes()], "first": [(first[mine] - begin[doc[mine]]).astype("<i8").tobytes()],
-                        "shift": [(place[mine] - first[mine]).astype("<i8").tobytes()], "sizes": [(last[mine] - first[mine] + length).astype("<i8").tobytes()], "bytes": [b"".join(raw[x:y] for x, y in zip(first[mine].tolist(), (last[mine] + length).tolist()))],
-                    }
-                )
-
-    return texts.mapInArrow(run, "bucket int, hashes binary, docs binary, first binary, shift binary, sizes binary, bytes binary")
+            begin = (ends - sizes)[doc]
+            bytes_ = [raw[x:y] for x, y in zip(first.tolist(), (last + length).tolist())]
+            lead = leads(name, place - first, bytes_)
+            bucket = np.where(lead == np.arange(len(lead)), (mixed(name) % np.uint64(buckets)).astype(np.int64), -1)
+            order = np.argsort(bucket, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                b = int(bucket[mine[0]])
+                columns = (name[mine].astype("<u8"), ids[doc[mine]], first[mine] - begin[mine], place[mine] - first[mine], last[mine] - first[mine] + length)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("hashes", "docs", "first", "shift", "sizes"), columns)}, "bytes": pa.array([b"" if b < 0 else b"".join(bytes_[i] for i in mine)], pa.binary())})
+
+    return texts.mapInArrow(run, CONTEXTS)
 
 
 def _spans(contexts: DataFrame, buckets: int, length: int) -> DataFrame:
     """(doc_id, s, e): byte spans of later copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(held: list[tuple]) -> pa.RecordBatch:
+        def work(bucket: int, held: list[tuple]) -> pa.RecordBatch:
             h, doc, first, shift, sizes = (np.concatenate([np.frombuffer(x[i], "<u8" if i == 0 else "<i8") for x in held]) for i in range(5))
+            if bucket < 0:
+                return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "s": pa.array(first, pa.int64()), "e": pa.array(first + sizes, pa.int64())})
             texts = []
             for x in held:
                 ends = np.cumsum(np.frombuffer(x[4], "<i8"))
@@ -305,14 +318,15 @@ def _spans(contexts: DataFrame, buckets: int, length: int) -> DataFrame:
         for b in batches:
             for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "hashes", "docs", "first", "shift", "sizes", "bytes"))):
                 if bucket != last and held:
-                    yield work(held)
+                    yield work(last, held)
                     held = []
                 last = bucket
                 held.append(tuple(row))
         if held:
-            yield work(held)
+            yield work(last, held)
 
-    return contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, s long, e long")
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("docs", "first")).otherwise(F.col("bucket"))
+    return contexts.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, s long, e long")
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -324,18 +338,20 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     without an id are left out, no rows give no rows, and other columns are not read.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    buckets = max(8, int(volume // BUCKET_BYTES) + 1)
-    flagged = written(_flag(_scan(rows, buckets, length, gram), buckets), "anchor-flags")
-    facts = written(_facts(flagged).groupBy("doc_id", "key").agg(F.count("*").alias("m"), F.first("n_bytes").alias("n_bytes"), F.first("flags").alias("flags")), "texts")
-    first = facts.groupBy("key").agg(F.min("doc_id").alias("lead"))
-    told = written(facts.join(first, "key").withColumn("is_first", F.col("doc_id") == F.col("lead")).drop("lead"), "firsts")
-    search = told.where("is_first and flags is not null").select("doc_id", "flags", "key", "n_bytes")
-    texts = rows.join(search, "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("key")).dropDuplicates(["doc_id"])
-    texts = written(texts, "flagged-texts")
+    scanned = written(_scan(rows, length, gram), "anchors")
+    facts = scanned.groupBy("doc_id", "key").agg(F.count("*").alias("m"), F.first("n_bytes").alias("n_bytes"))
+    first = facts.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("k"))
+    told = joined(facts, first, "key", scanned.count()).withColumn("is_first", F.col("doc_id") == F.col("lead")).drop("lead", "k")
+    shared = written(_shared(scanned, MANY), "shared-anchors")
+    told = written(told.join(shared.select("doc_id", F.lit(True).alias("shares")), "doc_id", "left"), "texts")
+    search = told.where("is_first and shares").select("doc_id", "key", "n_bytes").join(shared, "doc_id")
+    texts = rows.join(search, "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("key"))
+    # rows that repeat an id with its text are one text
+    repeats = told.where("m > 1").select("doc_id").limit(1).count()
+    texts = written(texts.dropDuplicates(["doc_id"]) if repeats else texts, "shared-texts")
     found = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
     parts = max(6, int(found // CONTEXT_BYTES) + 1)
-    spans = _spans(_contexts(texts.select("doc_id", "text", "flags"), buckets, parts, length, gram), parts, length)
+    spans = _spans(_contexts(texts.select("doc_id", "text", "met", "split"), parts, length, gram), parts, length)
     held = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>"
 
@@ -372,7 +388,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.lower(F.hex("key"))).alias("kept_sha256"),
         F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))).otherwise(none).alias("spans"),
     )
-    clean = told.where("is_first and flags is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("key")).alias("kept_sha256"), none.alias("spans"))
+    clean = told.where("is_first and shares is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("key")).alias("kept_sha256"), none.alias("spans"))
     return searched.unionByName(copies).unionByName(clean)
 
 

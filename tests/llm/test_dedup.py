@@ -98,6 +98,38 @@ def test_substrings_against_brute_force(spark, docs, corpus, length, gram):
     assert got == cut_windows([(i, t) for i, t, *_ in corpus], length)
 
 
+@pytest.mark.parametrize("seed,length", [(0, 20), (1, 100), (2, 37), (3, 8)])
+def test_longest_previous_factors_against_brute_force(seed, length):
+    rng = np.random.default_rng(seed)
+    flat = np.concatenate([rng.integers(97, 99, 150), np.tile(rng.integers(97, 122, 45), 6), rng.integers(97, 100, 150)]).astype(np.uint8)
+    flat = np.r_[flat, flat[40:300]]
+    starts = np.arange(len(flat) - length + 1)
+    place = rng.permutation(len(starts))
+    order, lcp = longest_factor.suffix_order(flat, starts, place, length)
+    got = np.empty(len(starts), np.int64)
+    got[order] = longest_factor.longest_previous(place[order], lcp)
+    text = flat.tobytes()
+
+    def common(i, j):
+        return next((k for k in range(length) if text[i + k] != text[j + k]), length)
+
+    exp = [max((common(i, j) for j in starts if place[j] < place[i]), default=0) for i in starts]
+    assert got.tolist() == exp
+    # the shorter search agrees on what is long enough
+    quick = np.empty(len(starts), np.int64)
+    quick[order] = longest_factor.longest_previous(place[order], lcp, length)
+    assert ((quick >= length) == (got >= length)).all()
+
+
+def test_hot_anchors_are_split(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(longest_factor, "MANY", 2)
+    monkeypatch.setattr(paragraphs, "MANY", 2)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in longest_factor.dedup_substrings(docs, length=40, gram=9).collect()}
+    assert got == cut_windows([(i, t) for i, t, *_ in corpus], 40)
+    got = {r["doc_id"]: (b" ".join((r["text"] or "").encode().lower().split()), r["removed_words"]) for r in paragraphs.dedup_paragraphs(docs, min_words=10**6).collect()}
+    assert got == brute_passages([(i, t) for i, t, *_ in corpus])
+
+
 def test_substrings_odd_rows(spark, no_docs, monkeypatch):
     assert longest_factor.dedup_substrings(no_docs).count() == 0
     long_ = "".join(random.Random(1).choices("abcdef", k=700))
