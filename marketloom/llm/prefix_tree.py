@@ -1,31 +1,33 @@
 """Operator 7, n-gram Jaccard join: exact links between sets of word shingles, and their components.
 
-1. Every text's shingles are hashed, dealt out by hash and counted over all documents. A document can only be linked to
-   another if at least the threshold's share of its shingles occurs elsewhere, which clears nearly all documents.
+1. Every text's shingles are hashed; those hashes that lie in the lowest quarter of the range, the same ones wherever they
+   occur, are rows (hash, document), counted with map-side combination. A linked document lacks at most a known number of
+   a document's shingles, so at least the rest of its sample occurs elsewhere; this clears nearly all documents.
 2. Equal sets become one class. Shingles are ordered by how many classes have them, rarest first, then by hash; classes
    that may be linked meet at a shingle of both their prefixes (the part of a set that any similar set must touch).
-3. Classes that meet, directly or in turn, make up a candidate group. A group is cut into blocks, and each pair of blocks
-   is one piece of work: a prefix tree of the one's ordered sets is traversed with each set of the other.
+3. Classes that meet, directly or in turn, make up a candidate group. A group is cut by set size into bands so that linked
+   sets lie in one band or in neighbouring ones, and bands into blocks. Each pair of blocks of these is one piece of work:
+   a prefix tree of the one's ordered sets is traversed with each set of the other.
 4. Links found join classes to components; copies of a set share its class. No link is missed and none is guessed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from marketloom.llm.common import as_bytes, in_shards, written
+from marketloom.llm.common import arrays, as_bytes, in_shards, joined, lists, written
 from marketloom.llm.graph import components
 from marketloom.llm.shingles import set_key, shingle_set, word_hashes
 
 SHINGLE, LINK = 4, (85, 100)
 SHARD_BYTES = 8 << 20
-#: Hashes that one task counts at a time.
-BUCKET_TOKENS = 2_000_000
+#: Of the 64-bit hashes those below this bound are sampled.
+SAMPLED = np.uint64(1 << 62)
 #: Classes in a block of a candidate group.
 BLOCK = 256
 
@@ -145,199 +147,82 @@ class Joined:
         return i != j
 
 
-def _scan(docs: DataFrame, buckets: int, size: int) -> DataFrame:
-    """Rows of documents (bucket -1: row number in the shard, key, set size) and of shards' hashes for each bucket."""
+def _scan(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, key, sample): set size, name and sampled hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
-            name = (part << 32) | k
+        for shard in in_shards(batches, SHARD_BYTES):
             sets = [shingle_set(w, size) for w in word_hashes(as_bytes(shard.column("text")))]
-            n = len(sets)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "to": pa.array(np.arange(n) % buckets, pa.int32()), "bucket": pa.array(np.full(n, -1), pa.int32()), "shard": pa.array(np.full(n, name), pa.int64()), "doc_id": shard.column("doc_id").combine_chunks(),
-                    "row": pa.array(np.arange(n), pa.int32()), "n": pa.array(sizes), "key": pa.array([set_key(s) for s in sets], pa.binary()), "counts": pa.nulls(n, pa.binary()), "tokens": pa.nulls(n, pa.binary()),
-                }
-            )
-            flat = np.concatenate(sets)
-            doc = np.repeat(np.arange(n), sizes)
-            bucket = (flat % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")  # by bucket, then document
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            counts = [np.bincount(doc[order[cut[b] : cut[b + 1]]], minlength=n).astype("<u4" if sizes.max() > 65535 else "<u2").tobytes() for b in rows]
-            # 32 bits a hash: a chance meeting in a bucket merely keeps a document in the candidates
-            tokens = [(flat[order[cut[b] : cut[b + 1]]] >> np.uint64(32)).astype("<u4").tobytes() for b in rows]
-            m = len(rows)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "to": pa.array(rows, pa.int32()), "bucket": pa.array(rows, pa.int32()), "shard": pa.array(np.full(m, name), pa.int64()), "doc_id": pa.nulls(m, pa.int64()),
-                    "row": pa.array(np.full(m, n), pa.int32()), "n": pa.nulls(m, pa.int64()), "key": pa.nulls(m, pa.binary()), "counts": pa.array(counts, pa.binary()), "tokens": pa.array(tokens, pa.binary()),
-                }
-            )
-
-    return docs.mapInArrow(run, "to int, bucket int, shard long, doc_id long, row int, n long, key binary, counts binary, tokens binary")
-
-
-def _shared_counts(scanned: DataFrame, buckets: int) -> DataFrame:
-    """Document rows as they are; and for each shard and bucket how many of each document's hashes occur twice or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(held: list[tuple]) -> pa.RecordBatch:
-            parts, docs = [], []
-            for _, rows, counts, tokens in held:
-                parts.append(np.frombuffer(tokens, "<u4"))
-                docs.append(np.frombuffer(counts, "<u4" if len(counts) == 4 * rows else "<u2").astype(np.int64))
-            flat = np.concatenate(parts)
-            order = np.argsort(flat)
-            s = flat[order]
-            same = s[1:] == s[:-1]
-            twice = np.zeros(len(flat), np.int64)
-            twice[order] = np.r_[same, False] | np.r_[False, same]
-            out, at = [], 0
-            for d in docs:
-                total = np.r_[0, np.cumsum(twice[at : at + d.sum()])]
-                ends = np.cumsum(d)
-                out.append((total[ends] - total[ends - d]).astype("<u4").tobytes())
-                at += int(d.sum())
-            m = len(held)
-            return pa.RecordBatch.from_pydict(
-                {"shard": pa.array([h[0] for h in held], pa.int64()), "doc_id": pa.nulls(m, pa.int64()), "row": pa.array([-1] * m, pa.int32()), "n": pa.nulls(m, pa.int64()), "key": pa.nulls(m, pa.binary()), "shared": pa.array(out, pa.binary())}
-            )
+            sample = [s[: np.searchsorted(s, SAMPLED)] for s in sets]
+            yield pa.RecordBatch.from_arrays([shard.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), lists(sample)], ["doc_id", "n", "key", "sample"])
 
-        held, last = [], None
-        for b in batches:
-            own = b.filter(pc.equal(b.column("bucket"), -1))
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("shard", "doc_id", "row", "n", "key")), pa.nulls(own.num_rows, pa.binary())], ["shard", "doc_id", "row", "n", "key", "shared"])
-            rest = b.filter(pc.not_equal(b.column("bucket"), -1))
-            for row in zip(*(rest.column(c).to_pylist() for c in ("bucket", "shard", "row", "counts", "tokens"))):
-                if row[0] != last and held:
-                    yield judged(held)
-                    held = []
-                last = row[0]
-                held.append(row[1:])
-        if held:
-            yield judged(held)
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, sample array<long>")
 
-    return scanned.repartition(buckets, "to").sortWithinPartitions("bucket").mapInArrow(run, "shard long, doc_id long, row int, n long, key binary, shared binary")
 
-
-def _with_shared(judged: DataFrame) -> DataFrame:
-    """(doc_id, n, key, shared): each document with the number of its shingles that occur elsewhere."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        docs = rows.filter(pc.greater_equal(rows.column("row"), 0)).sort_by("row")
-        sums = np.zeros(docs.num_rows, np.int64)
-        for x in rows.column("shared").drop_null().to_pylist():
-            sums += np.frombuffer(x, "<u4")
-        return pa.table({"doc_id": docs.column("doc_id"), "n": docs.column("n"), "key": docs.column("key"), "shared": pa.array(sums)})
-
-    return judged.groupBy("shard").applyInArrow(run, "doc_id long, n long, key binary, shared long")
-
-
-PACKED = "batch long, cls binary, n binary, tokens binary"
+def _candidates(scanned: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """(doc_id, n, key) of documents that may be linked: of their samples enough occurs twice in the corpus."""
+    rows = scanned.select("doc_id", F.explode("sample").alias("token"))
+    facts = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    total = scanned.agg(F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("n")).first()["n"]
+    met = joined(rows, facts, "token", total).groupBy("doc_id").agg(F.count("*").alias("met"))
+    lacks = f"n - (n * {link[0]} + {link[1] - 1}) div {link[1]}"
+    return scanned.where("n > 0").select("doc_id", "n", "key", F.size("sample").alias("own")).join(met, "doc_id", "left").where(f"coalesce(met, 0) >= own - ({lacks})").select("doc_id", "n", "key")
 
 
 def _candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
-    """PACKED rows of distinct sets of the candidates; cls is the least doc_id that has the set."""
+    """(cls, n, tokens): the distinct sets of the candidates; cls is the least doc_id that has the set."""
     chosen = candidates.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
+        for shard in in_shards(batches, SHARD_BYTES):
             sets = [shingle_set(w, size) for w in word_hashes(as_bytes(shard.column("text")))]
+            # several texts may stand under the id
             same = [i for i, (s, key) in enumerate(zip(sets, shard.column("key").to_pylist())) if set_key(s) == key]
-            if same:
-                cls = np.array(shard.column("doc_id").to_pylist(), "<i8")[same]
-                yield pa.RecordBatch.from_pydict({"batch": [(part << 32) | k], "cls": [cls.tobytes()], "n": [np.array([len(sets[i]) for i in same], "<i8").tobytes()], "tokens": [np.concatenate([sets[i] for i in same]).astype("<u8").tobytes()]})
+            sets = [sets[i] for i in same]
+            yield pa.RecordBatch.from_arrays([shard.column("doc_id").combine_chunks().take(pa.array(same, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), lists(sets)], ["cls", "n", "tokens"])
 
-    return docs.join(chosen, "doc_id").dropDuplicates(["doc_id", "key", "text"]).mapInArrow(run, PACKED)
+    return docs.join(chosen, "doc_id").mapInArrow(run, "cls long, n long, tokens array<long>")
 
 
-def _heads(packed: DataFrame, buckets: int, link: tuple[int, int]) -> DataFrame:
+def _heads(sets: DataFrame, link: tuple[int, int]) -> DataFrame:
     """(cls, token): the prefix of each class, shingles in order of how many classes have them, then of hash.
 
     Shingles of one class come first and can't be met, so they are counted but not returned."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, raw in zip(b.column("batch").to_pylist(), b.column("tokens").to_pylist()):
-                tokens = np.frombuffer(raw, "<u8")
-                bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [x for x in range(buckets) if cut[x] < cut[x + 1]]
-                short = (tokens >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows, pa.int32()), "to": pa.array([name] * len(rows), pa.int64()), "short": pa.array([short[order[cut[x] : cut[x + 1]]].tobytes() for x in rows], pa.binary())})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(bucket: int, held: list[tuple]) -> pa.RecordBatch:
-            parts = [np.frombuffer(x[1], "<u4") for x in held]
-            _, place, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            found = np.minimum(many, 65535).astype("<u2")[place]
-            cuts = np.cumsum([len(p) for p in parts])[:-1]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * len(held), pa.int32()), "to": pa.array([x[0] for x in held], pa.int64()), "many": pa.array([x.tobytes() for x in np.split(found, cuts)], pa.binary())})
-
-        held, last = [], None
-        for b in batches:
-            for bucket, to, short in zip(*(b.column(c).to_pylist() for c in ("bucket", "to", "short"))):
-                if bucket != last and held:
-                    yield counted(last, held)
-                    held = []
-                last = bucket
-                held.append((to, short))
-        if held:
-            yield counted(last, held)
-
-    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens, n = np.frombuffer(left.column("tokens")[0].as_py(), "<u8"), np.frombuffer(left.column("n")[0].as_py(), "<i8")
-        cls = np.frombuffer(left.column("cls")[0].as_py(), "<i8")
-        order = np.argsort((tokens % np.uint64(buckets)).astype(np.int64), kind="stable")
-        many = np.empty(len(tokens), np.int64)
-        many[order] = np.frombuffer(b"".join(right.sort_by("bucket").column("many").to_pylist()), "<u2")
-        owner = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((tokens, many, owner))
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-        head = (place <= n[owner] - least_overlap(n, link)[owner]) & (many[order] > 1)
-        return pa.table({"cls": pa.array(cls[owner[head]], pa.int64()), "token": pa.array(tokens[order[head]].astype(np.int64))})
-
-    dealt = packed.select("batch", "tokens").mapInArrow(deal, "bucket int, to long, short binary")
-    answers = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, to long, many binary")
-    return packed.groupBy("batch").cogroup(answers.groupBy("to")).applyInArrow(choose, "cls long, token long")
+    rows = sets.select("cls", "n", F.explode("tokens").alias("token"))
+    facts = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    shared = joined(rows, facts, "token", total).groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "token"))).alias("s"))
+    length = F.expr(f"cast(greatest(0, n - (n * {link[0]} + {link[1] - 1}) div {link[1]} + 1 - (n - size(s))) as int)")
+    return shared.select("cls", F.explode(F.slice("s", F.lit(1), length)).alias("x")).select("cls", "x.token")
 
 
 def _meetings(heads: DataFrame) -> DataFrame:
     """Edges (a, b) between classes that share a shingle of both prefixes: each class with the least one at the shingle."""
     first = heads.groupBy("token").agg(F.min("cls").alias("a"), F.count("*").alias("k")).where("k > 1")
-    return heads.join(first, "token").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    return joined(heads, first, "token", heads.count()).where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
 
 
-def _unpacked(packed: DataFrame) -> DataFrame:
-    """(cls, tokens), one row a class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cls, n, raw in zip(*(b.column(c).to_pylist() for c in ("cls", "n", "tokens"))):
-                ends = 8 * np.cumsum(np.frombuffer(n, "<i8"))
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(np.frombuffer(cls, "<i8")), "tokens": pa.array([raw[x:y] for x, y in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())], pa.binary())})
+def _blocks(classes: DataFrame, groups: DataFrame, block: int, link: tuple[int, int]) -> DataFrame:
+    """(grp, i, j, own, cls, tokens): each class once for each pair of blocks that holds its block; a pair lies in one size
+    band or in neighbouring ones, as sizes of linked sets differ by less than a band."""
+    width = math.log(link[1] / link[0]) * 1.000001
+    held = classes.join(groups.select(F.col("id").alias("cls"), F.col("component").alias("grp")), "cls").withColumn("band", F.floor(F.log(F.col("n")) / width).cast("int"))
+    count = held.groupBy("grp", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    count = count.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))
+    dealt = held.join(count, "grp").withColumn("part", F.pmod(F.xxhash64("cls"), F.element_at("parts", F.col("band"))).cast("int"))
 
-    return packed.mapInArrow(run, "cls long, tokens binary")
+    def name(band, part):
+        return band.cast("long") * (1 << 32) + part
 
+    def parts(band):
+        n = F.coalesce(F.try_element_at("parts", band), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
-def _blocks(classes: DataFrame, groups: DataFrame, block: int) -> DataFrame:
-    """(grp, i, j, side, cls, tokens): each class once for each pair of blocks of its group that holds its block."""
-    held = classes.join(groups.select(F.col("id").alias("cls"), F.col("component").alias("grp")), "cls")
-    count = held.groupBy("grp").agg(F.count("*").alias("k")).withColumn("parts", F.ceil(F.col("k") / block).cast("int")).select("grp", "parts")
-    dealt = held.join(count, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    return dealt.withColumn("p", F.explode(pairs)).select("grp", "p.i", "p.j", "own", "cls", "tokens")
+    band, part = F.col("band"), F.col("part")
+    same = F.transform(parts(band), lambda o: F.struct(name(band, F.least(o, part)).alias("i"), name(band, F.greatest(o, part)).alias("j")))
+    above = F.transform(parts(band + 1), lambda o: F.struct(name(band, part).alias("i"), name(band + 1, o).alias("j")))
+    below = F.transform(parts(band - 1), lambda o: F.struct(name(band - 1, o).alias("i"), name(band, part).alias("j")))
+    return dealt.withColumn("p", F.explode(F.concat(same, above, below))).select("grp", "p.i", "p.j", name(band, part).alias("own"), "cls", "tokens")
 
 
 def _links(blocks: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -346,7 +231,7 @@ def _links(blocks: DataFrame, link: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch:
             rows.sort(key=lambda r: r[1])
-            sets = [np.frombuffer(r[2], "<u8") for r in rows]
+            sets = [r[2] for r in rows]
             tree_side = [x for x, r in enumerate(rows) if r[0] == j]
             tree = PrefixTree([sets[x] for x in tree_side])
             joined, found = Joined(len(rows)), []
@@ -360,7 +245,7 @@ def _links(blocks: DataFrame, link: tuple[int, int]) -> DataFrame:
 
         held, last = [], None
         for b in batches:
-            for g, i, j, own, cls, raw in zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "own", "cls", "tokens"))):
+            for g, i, j, own, cls, raw in zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "own", "cls")), arrays(b.column("tokens"))):
                 if (g, i, j) != last and held:
                     yield work(last[1], last[2], held)
                     held = []
@@ -381,21 +266,20 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     left out, an empty table gives no rows, and other columns are not read.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    buckets = max(8, int(volume // 6 // BUCKET_TOKENS) + 1)
-    judged = written(_shared_counts(_scan(rows, buckets, size), buckets), "shared-counts")
-    facts = written(_with_shared(judged), "set-facts")
-    candidates = facts.where(f"n > 0 and shared * {link[1]} >= n * {link[0]}")
-    packed = written(_candidate_sets(rows, candidates, size), "classes")
-    volume = candidates.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    heads = written(_heads(packed, max(6, int(volume // BUCKET_TOKENS) + 1), link), "heads")
-    groups = components(_meetings(heads))
-    linked = components(_links(_blocks(_unpacked(packed), groups, block), link))
+    scanned = written(_scan(rows, size), "samples")
+    candidates = written(_candidates(scanned, link), "candidates")
+    sets = _candidate_sets(rows, candidates, size)
+    if not candidates.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["cls", "tokens"])  # rows that repeat an id with its text
+    sets = written(sets, "classes")
+    groups = components(_meetings(written(_heads(sets, link), "heads")))
+    linked = components(_links(_blocks(sets, groups, block, link), link))
     # a class is named by its least doc_id, so a component's least class is its least document
-    least = candidates.groupBy("key").agg(F.min("doc_id").alias("cls"))
-    named = least.join(linked.select(F.col("id").alias("cls"), F.col("component").alias("far")), "cls", "left").select("key", F.coalesce("far", "cls").alias("component"))
-    alone = facts.where(f"n = 0 or shared * {link[1]} < n * {link[0]}").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return alone.unionByName(candidates.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
+    named = candidates.groupBy("key").agg(F.min("doc_id").alias("cls"), F.count("*").alias("k")).join(linked.select(F.col("id").alias("cls"), F.col("component").alias("far")), "cls", "left")
+    named = named.select("key", "k", F.coalesce("far", "cls").alias("component"))
+    both = joined(candidates, named, "key", candidates.count()).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = scanned.join(candidates.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
+    return alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(both)
 
 
 #: Links by a join on shingle strings, components by a recursive walk.
