@@ -1,16 +1,15 @@
 """Operator 2, paragraph dedup by MinHash bands, exact Jaccard and components.
 
 1. Each paragraph (line) of at least MIN_WORDS words gets a name, the hash of its words, and MinHash values of its word
-   shingles, cut into bands that are tuned to the wanted recall. Band hashes are dealt out in packed rows; a paragraph
-   goes on if one of its bands is met by a paragraph of another name. Equal paragraphs need no bands: they share a name.
+   shingles, cut into bands that are tuned to the wanted recall. Bands are rows (hash, name), counted with map-side
+   combination; a paragraph goes on if one of its bands is met by another name. Equal paragraphs need no bands: they share
+   a name.
 2. Paragraphs that collide, directly or in turn, make up a group, cut into blocks whose pairs are verified by exact
    Jaccard similarity.
 3. Links and equal names make components; each keeps its first paragraph in order of (doc_id, place), all others go.
-4. Passages are found wherever lines begin and end: any PASSAGE words in a row that an earlier document has go too. The
-   least hash of all runs of GRAM words within PASSAGE words is an anchor that equal passages share, so anchors take part
-   in step 1 with the document as their name; documents that meet another one there compare all their windows of
-   PASSAGE words by hash, dealt out by anchor.
-"""
+4. Every PASSAGE words in a row are a paragraph too, wherever lines begin and end. These have one band of one value, the
+   least hash of all runs of GRAM words among them, so equal ones collide for certain. Those that collide with another
+   document's are verified by the hash of all their words, and all but the first document's go."""
 
 from __future__ import annotations
 
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from marketloom.llm.common import LOWER, as_bytes, in_shards, written
+from marketloom.llm.common import LOWER, arrays, as_bytes, in_shards, joined, lists, written
 from marketloom.llm.graph import components
 from marketloom.llm.prefix_tree import BLOCK, _blocks, _links
 from marketloom.llm.shingles import mixed, shingle_hashes, shingle_set, word_hashes
@@ -32,12 +31,12 @@ SHINGLE, LINK = 5, (80, 100)
 MIN_WORDS = 25
 #: Words that make a repeated passage, and words of the runs that anchors are chosen from.
 PASSAGE, GRAM = 51, 20
-HASHES, RECALL = 64, 0.999
+HASHES, RECALL = 30, 0.999
 SHARD_BYTES = 4 << 20
-#: Text for each bucket of band hashes.
-BUCKET_BYTES = 64 << 20
 #: Text of the documents that share an anchor, for each bucket of windows.
 WINDOW_BYTES = 8 << 20
+#: Documents of an anchor from which on its windows are dealt out one by one.
+MANY = 5_000
 #: As bytes.split() parts words.
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 _STEP = 0x9E3779B97F4A7C15
@@ -106,140 +105,58 @@ def window_anchors(words: np.ndarray, passage: int, gram: int) -> np.ndarray:
     return least
 
 
-SCANNED = "to int, bucket int, shard long, doc_id long, doc_key long, places array<int>, sizes array<int>, names array<long>, lines int, at int, row int, packed binary"
-
-
-def _scan(docs: DataFrame, buckets: int, size: int, min_words: int, bands: int, rows: int, passage: int, gram: int) -> DataFrame:
-    """Rows of documents with their paragraphs (bucket -1), and a shard's band hashes and anchors for each bucket.
-
-    Behind the shard's paragraphs its documents are numbered on, as what their anchors belong to.
-    """
-    columns = [x.split()[0] for x in SCANNED.split(", ")]
-    schema = T.StructType.fromDDL(SCANNED)
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+def _scan(docs: DataFrame, size: int, min_words: int, bands: int, rows: int, passage: int, gram: int) -> DataFrame:
+    """(doc_id, doc_key, lines, places, sizes, names, banded, bands, anchors): a document's paragraphs; `bands` hashes for each
+    name of `banded` (a name of many paragraphs of a shard is banded once); and the anchors of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
-            name = (part << 32) | k
-            found, texts, lines = [], [], []
-            for t in as_bytes(shard.column("text")):
-                own = list(split(t, min_words))
-                found.append([i for i, _ in own])
-                lines.append(t.count(b"\n") + 1 if t else 0)
-                texts += [b" ".join(w) for _, w in own]
-            names = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
-            words = word_hashes(texts)
+        for shard in in_shards(batches, SHARD_BYTES):
+            raw = as_bytes(shard.column("text"))
+            found = [list(split(t, min_words)) for t in raw]
             many = [len(f) for f in found]
-            at = np.cumsum([0, *many])
-            n = shard.num_rows
-            sizes = [len(w) for w in words]
-            keys = [xxhash.xxh3_64_intdigest(t) for t in as_bytes(shard.column("text"))]
-            own = [
-                np.arange(n) % buckets, np.full(n, -1), np.full(n, name), shard.column("doc_id").combine_chunks(), np.array(keys, np.uint64).astype(np.int64), found, [sizes[a:b] for a, b in zip(at, at[1:])],
-                [names[a:b].astype(np.int64) for a, b in zip(at, at[1:])], lines, at[:-1], np.arange(n), [None] * n,
-            ]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(own, kinds)], columns)
-            # a document is named by its id and text: copies of a text under other ids are other documents
-            called = mixed(np.asarray(shard.column("doc_id")).astype(np.int64).view(np.uint64) ^ mixed(np.array(keys, np.uint64)))
-            anchors = [np.unique(window_anchors(w, passage, gram)) for w in word_hashes(as_bytes(shard.column("text")))]
-            owner = len(texts) + np.repeat(np.arange(n), [len(a) for a in anchors])
-            keyed, names = np.concatenate(anchors), np.r_[names, called]
+            texts = [b" ".join(w) for f in found for _, w in f]
+            cuts = np.cumsum([0, *many])
+            names = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in raw), np.uint64, len(raw))
+            lead, banded = np.zeros(0, np.int64), np.zeros((0, bands), np.uint64)
             if texts:
-                # one row a distinct paragraph of the shard
-                _, lead = np.unique(names[: len(texts)], return_index=True)
+                _, lead = np.unique(names, return_index=True)
                 lead.sort()
-                banded = band_hashes(min_hashes([shingle_hashes(words[i], size) for i in lead], bands * rows), bands, rows).ravel()
-                owner, keyed = np.r_[np.repeat(lead, bands), owner], np.r_[banded, keyed]
-            bucket = (keyed % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                mine = order[cut[b] : cut[b + 1]]
-                if len(mine):
-                    short, who = (keyed[mine] >> np.uint64(32)).astype("<u4"), owner[mine]
-                    packed = short.tobytes() + (names[who] >> np.uint64(32)).astype("<u4").tobytes() + np.diff(np.r_[0, who]).astype("<i4").tobytes()
-                    row = [b, b, name, None, None, None, None, None, None, None, None, packed]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], columns)
-
-    return docs.mapInArrow(run, schema)
-
-
-JUDGED = "shard long, doc_id long, doc_key long, places array<int>, sizes array<int>, names array<long>, lines int, at int, row int, met binary"
-
-
-def _judge(scanned: DataFrame, buckets: int) -> DataFrame:
-    """Document rows as they are; and for each shard and bucket the paragraphs that meet another name in a band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [x.split()[0] for x in JUDGED.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-
-        def judged(held: list[tuple]) -> pa.RecordBatch:
-            parts = [np.frombuffer(x[1], "<u4").reshape(3, -1) for x in held]
-            band, name = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            order = np.lexsort((name, band))
-            same = band[order][1:] == band[order][:-1]
-            group = np.cumsum(np.r_[True, ~same]) - 1
-            other = same & (name[order][1:] != name[order][:-1])
-            met = np.zeros(group[-1] + 1, bool)
-            met[group[1:][other]] = True
-            flag = np.empty(len(band), bool)
-            flag[order] = met[group]
-            out, at = [], 0
-            for p in parts:
-                who = np.cumsum(p[2].view("<i4"))
-                out.append(np.unique(who[flag[at : at + len(who)]]).astype("<i4").tobytes())
-                at += len(who)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), *(pa.nulls(len(held), t) for t in kinds[1:-1]), pa.array(out, pa.binary())], columns)
-
-        held, last = [], None
-        for b in batches:
-            own = b.filter(pc.equal(b.column("bucket"), -1))
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in columns[:-1]), pa.nulls(own.num_rows, pa.binary())], columns)
-            rest = b.filter(pc.not_equal(b.column("bucket"), -1))
-            for bucket, *row in zip(*(rest.column(c).to_pylist() for c in ("bucket", "shard", "packed"))):
-                if bucket != last and held:
-                    yield judged(held)
-                    held = []
-                last = bucket
-                held.append(tuple(row))
-        if held:
-            yield judged(held)
-
-    return scanned.repartition(buckets, "to").sortWithinPartitions("bucket").mapInArrow(run, JUDGED)
-
-
-def _paragraph_rows(judged: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, lines, place, words, name, met, shares), one row a paragraph; place -1 for documents without any.
-
-    `shares` tells that one of the document's anchors is met by another document.
-    """
-
-    def run(rows: pa.Table) -> pa.Table:
-        docs = rows.filter(pc.is_valid(rows.column("doc_key"))).sort_by("at")
-        n = sum(len(x) for x in docs.column("places").to_pylist())
-        met = np.zeros(n + docs.num_rows, bool)
-        for x in rows.column("met").drop_null().to_pylist():
-            met[np.frombuffer(x, "<i4")] = True
-        out = {c: [] for c in ("doc_id", "doc_key", "lines", "place", "words", "name", "met", "shares")}
-        for i, key, places, sizes, names, lines, at, row in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "doc_key", "places", "sizes", "names", "lines", "at", "row"))):
-            for j, (p, s, name) in enumerate(zip(places, sizes, names) if places else [(-1, 0, 0)]):
-                for c, v in zip(out, (i, key, lines, p, s, name, bool(places) and bool(met[at + j]), bool(met[n + row]))):
-                    out[c].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_())
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
-
-    return judged.groupBy("shard").applyInArrow(run, "doc_id long, doc_key long, lines int, place int, words int, name long, met boolean, shares boolean")
-
-
-def _met_sets(docs: DataFrame, rows: DataFrame, size: int, min_words: int, bands: int, rows_a_band: int) -> DataFrame:
-    """(cls, tokens, bands): the shingle set and band hashes of each name that met another one."""
-    # the same paragraph may lie in a third of all documents; its first place stands for all
-    first = rows.where("met").groupBy("name").agg(F.min(F.struct("doc_id", "doc_key", "place")).alias("p"))
+                banded = band_hashes(min_hashes([shingle_hashes(w, size) for w in word_hashes([texts[i] for i in lead])], bands * rows), bands, rows)
+            at = np.searchsorted(lead, cuts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    shard.column("doc_id").combine_chunks(), pa.array(keys.astype(np.int64)), pa.array([t.count(b"\n") + 1 if t else 0 for t in raw], pa.int32()), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())),
+                    pa.array([[len(w) for _, w in f] for f in found], pa.list_(pa.int32())), lists([names[a:b] for a, b in zip(cuts, cuts[1:])]), lists([names[lead[a:b]] for a, b in zip(at, at[1:])]), lists([banded[a:b].ravel() for a, b in zip(at, at[1:])]),
+                    lists([np.unique(window_anchors(w, passage, gram)) for w in word_hashes(raw)]),
+                ],
+                SCANNED,
+            )
+
+    SCANNED = ["doc_id", "doc_key", "lines", "places", "sizes", "names", "banded", "bands", "anchors"]
+    return docs.mapInArrow(run, "doc_id long, doc_key long, lines int, places array<int>, sizes array<int>, names array<long>, banded array<long>, bands array<long>, anchors array<long>")
+
+
+def _colliding(scanned: DataFrame, bands: int) -> DataFrame:
+    """(name): paragraphs that meet another name in a band."""
+    rows = scanned.select("banded", F.posexplode("bands").alias("at", "band")).select("band", F.expr(f"banded[at div {bands}]").alias("name"))
+    facts = rows.groupBy("band").agg(F.min("name").alias("a"), F.max("name").alias("z"), F.count("*").alias("k")).where("a <> z").select("band", "k")
+    total = scanned.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0)).alias("n")).first()["n"]
+    return joined(rows, facts, "band", total).select("name").distinct()
+
+
+def _sharing(scanned: DataFrame, many: int) -> DataFrame:
+    """(doc_id, doc_key, met, split): the anchors that another document has too, and those of more than `many` documents."""
+    # a document is named by its id and text: copies of a text under other ids are other documents
+    rows = scanned.select("doc_id", "doc_key", F.explode("anchors").alias("anchor"))
+    called = F.xxhash64("doc_id", "doc_key")
+    facts = rows.groupBy("anchor").agg(F.min(called).alias("a"), F.max(called).alias("z"), F.count("*").alias("k")).where("a <> z").select("anchor", "k")
+    total = scanned.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)).alias("n")).first()["n"]
+    return joined(rows, facts, "anchor", total).groupBy("doc_id", "doc_key").agg(F.collect_set("anchor").alias("met"), F.collect_set(F.when(F.col("k") > many, F.col("anchor"))).alias("split"))
+
+
+def _met_sets(docs: DataFrame, first: DataFrame, size: int, min_words: int, bands: int, rows_a_band: int) -> DataFrame:
+    """(cls, n, tokens, bands): the shingle set and band hashes of each name of `first` (name, p: its first place)."""
     wanted = first.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.doc_key").alias("doc_key")).agg(F.collect_list("p.place").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +170,10 @@ def _met_sets(docs: DataFrame, rows: DataFrame, size: int, min_words: int, bands
                 words = word_hashes(texts)
                 keyed = band_hashes(min_hashes([shingle_hashes(w, size) for w in words], bands * rows_a_band), bands, rows_a_band)
                 names = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(names), "tokens": pa.array([shingle_set(w, size).astype("<u8").tobytes() for w in words], pa.binary()), "bands": pa.array(list(keyed.astype(np.int64)), pa.list_(pa.int64()))})
+                sets = [shingle_set(w, size) for w in words]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(s) for s in sets], pa.int64()), lists(sets), lists(list(keyed))], ["cls", "n", "tokens", "bands"])
 
-    return docs.join(wanted, "doc_id").mapInArrow(run, "cls long, tokens binary, bands array<long>").dropDuplicates(["cls"])
+    return docs.join(wanted, "doc_id").mapInArrow(run, "cls long, n long, tokens array<long>, bands array<long>").dropDuplicates(["cls"])
 
 
 WINDOWS = "to int, bucket int, doc_id binary, doc_key binary, starts binary, sizes binary, hashes binary, sources binary"
@@ -297,10 +215,14 @@ def _windows(texts: DataFrame, buckets: int, passage: int, gram: int) -> DataFra
             words = word_hashes([raw[own[i]] for i in order])
             hashes = [run_hashes(w, passage) for w in words]
             many = np.array([len(h) for h in hashes])
+            met, split = ([x for x, i in zip(shard.column(c).take(pa.array(own)).to_pylist(), range(len(own)))] for c in ("met", "split"))
             doc, start = np.repeat(np.arange(len(ids)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            anchor, hashes = np.concatenate([window_anchors(w, passage, gram) for w in words]), np.concatenate(hashes)
+            anchor = [window_anchors(w, passage, gram) for w in words]
+            keep = np.concatenate([np.isin(a, np.array(met[i], np.int64).astype(np.uint64)) for a, i in zip(anchor, order)])
+            doc, start, anchor, hashes = doc[keep], start[keep], np.concatenate(anchor)[keep], np.concatenate(hashes)[keep]
             if not len(hashes):
                 continue
+            hot = np.isin(anchor, np.array([x for s in split for x in s], np.int64).astype(np.uint64))
             # documents are in order, so the first window of a kind is the earliest document's
             _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
             source = doc[first][kind]
@@ -311,21 +233,17 @@ def _windows(texts: DataFrame, buckets: int, passage: int, gram: int) -> DataFra
             for c in ("doc_id", "doc_key"):
                 rows[c] = [np.array([x], "<i8").tobytes() for x in rows[c]]
             yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(columns, kinds)], columns)
-            doc, start, anchor, hashes = doc[~later], start[~later], anchor[~later], hashes[~later]
-            # stretches of windows of one document and anchor
-            cut = np.flatnonzero(_unlike(doc) | _unlike(anchor) | np.r_[True, start[1:] != start[:-1] + 1])
+            doc, start, anchor, hashes, hot = doc[~later], start[~later], anchor[~later], hashes[~later], hot[~later]
+            # stretches of windows of one document and anchor; windows of a hot anchor go one by one, by their own hash
+            cut = np.flatnonzero(_unlike(doc) | _unlike(anchor) | np.r_[True, start[1:] != start[:-1] + 1] | hot)
             sizes = np.diff(np.r_[cut, len(doc)])
-            bucket = (anchor[cut] % np.uint64(buckets)).astype(np.int64)
+            bucket = (np.where(hot[cut], hashes[cut], anchor[cut]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            wide = np.argsort(np.repeat(bucket, sizes), kind="stable")
-            wide_ends = np.r_[0, np.cumsum(np.bincount(bucket, sizes, buckets).astype(np.int64))]
+            wide = np.split(np.argsort(np.repeat(bucket, sizes), kind="stable"), np.cumsum(np.bincount(bucket, sizes).astype(np.int64)[np.unique(bucket)])[:-1])
             out = []
-            for b in range(buckets):
-                mine = order[ends[b] : ends[b + 1]]
-                if len(mine):
-                    at = cut[mine]
-                    out.append((b, b, ids[doc[at]].astype("<i8").tobytes(), keys[doc[at]].astype("<i8").tobytes(), start[at].astype("<i4").tobytes(), sizes[mine].astype("<i4").tobytes(), hashes[wide[wide_ends[b] : wide_ends[b + 1]]].astype("<u8").tobytes(), None))
+            for mine, all_ in zip(np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1), wide):
+                b, at = int(bucket[mine[0]]), cut[mine]
+                out.append((b, b, ids[doc[at]].astype("<i8").tobytes(), keys[doc[at]].astype("<i8").tobytes(), start[at].astype("<i4").tobytes(), sizes[mine].astype("<i4").tobytes(), hashes[all_].astype("<u8").tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], columns)
 
     return texts.mapInArrow(run, WINDOWS)
@@ -423,25 +341,26 @@ def removals(
     missing id leaves a row out.
     """
     bands, rows_a_band = tuned(hashes, link[0] / link[1], recall)
-    volume = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()["b"]
-    buckets = max(8, int(volume // BUCKET_BYTES) + 1)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    judged = written(_judge(_scan(texts, buckets, size, min_words, bands, rows_a_band, passage, gram), buckets), "bands")
-    rows = written(_paragraph_rows(judged).dropDuplicates(["doc_id", "doc_key", "place"]), "paragraphs")
-    sharing = rows.where("shares").select("doc_id", "doc_key").distinct()
+    scanned = written(_scan(texts, size, min_words, bands, rows_a_band, passage, gram), "signatures")
+    rows = scanned.select("doc_id", "doc_key", F.explode(F.arrays_zip("places", "names")).alias("p")).select("doc_id", "doc_key", F.col("p.places").alias("place"), F.col("p.names").alias("name"))
+    rows = written(rows.dropDuplicates(["doc_id", "doc_key", "place"]), "paragraphs")
+    sharing = written(_sharing(scanned, MANY), "shared-anchors")
     windows = max(8, int(texts.join(sharing.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // WINDOW_BYTES) + 1)
     repeated = written(_passages(_windows(texts.join(sharing, "doc_id"), windows, passage, gram), windows, passage), "passages")
-    met = written(_met_sets(texts, rows, size, min_words, bands, rows_a_band), "colliding")
+    # the same paragraph may lie in a third of all documents; its first place stands for all
+    names = written(rows.groupBy("name").agg(F.min(F.struct("doc_id", "doc_key", "place")).alias("p"), F.count("*").alias("k")), "names")
+    met = written(_met_sets(texts, names.join(_colliding(scanned, bands), "name", "left_semi"), size, min_words, bands, rows_a_band), "colliding")
     keyed = met.select("cls", F.explode("bands").alias("band"))
-    first = keyed.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
-    groups = components(keyed.join(first, "band").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
-    linked = components(_links(_blocks(met.select("cls", "tokens"), groups, block), link))
-    held = rows.where("place >= 0").join(linked.select(F.col("id").alias("name"), F.col("component").alias("far")), "name", "left").withColumn("component", F.coalesce("far", "name")).drop("far")
-    held = written(held, "components")
-    keeper = held.groupBy("component").agg(F.min(F.struct("doc_id", "doc_key", "place")).alias("keep"), F.count("*").alias("k")).where("k > 1")
-    gone = held.join(keeper, "component").where(F.struct("doc_id", "doc_key", "place") != F.col("keep"))
+    first = keyed.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("k")).where("a <> z")
+    groups = components(joined(keyed, first, "band", bands * met.count()).where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    linked = components(_links(_blocks(met.select("cls", "n", "tokens"), groups, block, link), link))
+    held = names.join(linked.select(F.col("id").alias("name"), F.col("component").alias("far")), "name", "left").withColumn("component", F.coalesce("far", "name")).drop("far").withColumnRenamed("k", "uses")
+    keeper = held.groupBy("component").agg(F.min("p").alias("keep"), F.sum("uses").alias("all"), F.count("*").alias("k")).where("all > 1").drop("all")
+    fate = written(joined(held, keeper, "component", names.count()).select("name", F.col("uses").alias("k"), "keep"), "fates")
+    gone = joined(rows, fate, "name", rows.count()).where(F.struct("doc_id", "doc_key", "place") != F.col("keep"))
     by_doc = gone.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_list("place")).alias("removed"), F.collect_set("keep.doc_id").alias("lines_of"))
-    facts = rows.groupBy("doc_id", "doc_key").agg(F.first("lines").alias("n_lines"), F.count_if(F.col("place") >= 0).alias("n_paragraphs"))
+    facts = scanned.select("doc_id", "doc_key", F.col("lines").alias("n_lines"), F.size("places").cast("long").alias("n_paragraphs")).distinct()
     none, nobody = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<long>)")
     found = facts.join(by_doc, ["doc_id", "doc_key"], "left").join(repeated, ["doc_id", "doc_key"], "left")
     copies = F.array_sort(F.array_union(F.coalesce("lines_of", nobody), F.coalesce("passages_of", nobody))).alias("copies_of")
