@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from marketloom.llm import compression
@@ -43,3 +45,23 @@ def test_odd_rows(spark, docs, no_docs, corpus):
     alone = compression.fit(own, labels.where("quality = 1"))
     assert not alone.weights and {r["score"] for r in compression.score(docs, alone).collect()} == {alone.prior}
     assert compression.fit(no_docs, labels.limit(0)).prior == 0.5
+
+
+def test_scores_against_sizes_taken_apart(spark, docs):
+    """Each score anew from the two packed sizes, with the model's calibration; it rises with both differences."""
+    own, labels = _labelled(spark, 300)
+    model = compression.fit(own, labels)
+    bad, good = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False) for d in model.dictionaries)
+
+    def size(c, text, n):
+        return [len(c.compress(text[i : i + n])) for i in range(0, max(1, len(text)), n)]
+
+    for r in compression.score(docs, model).collect():
+        t = (r["text"] or "").encode()
+        x, y = sum(size(bad, t, 128)), sum(size(good, t, 128))
+        blocks = [(b - g) / (b + g) for b, g in zip(size(bad, t, 512), size(good, t, 512))]
+        if len(t) > 512 and len(t) % 512 and len(t) % 512 <= 256:
+            blocks.pop()
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], ((x - y) / (x + y), min(blocks)), model.mean, model.scale))
+        assert abs(r["score"] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+    assert len(model.weights) == 3 and min(model.weights[1:]) >= 0
