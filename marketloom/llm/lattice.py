@@ -2,9 +2,7 @@
 
 Every word is spelt by pieces of an existing vocabulary: a first piece that carries the word mark, then further pieces.
 A forward recursion in log space over the letters sums all segmentations, so a word's probability is marginal over
-them. The vocabulary's scores are the starting weights; expected counts over the corpus's words refine the weights, the
-pieces stay. The marginal is the base measure of a Dirichlet word model: a word seen c times among N tokens has
-(c + a * lattice) / (N + a), so a whole word that was learnt acts as one more piece.
+them; a document's is the product over its words. The pieces and their weights are the vocabulary's and stay as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +11,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from marketloom.llm.common import LOWER
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 
@@ -33,12 +33,13 @@ def read_pieces(path: str = VOCABULARY) -> list[tuple[bytes, bool, float]]:
             continue
         piece = reader.id_to_piece(i)
         start, letters = piece.startswith(MARK), piece.removeprefix(MARK)
-        raw = letters.encode()
-        if MARK in letters or any(65 <= b <= 90 or b in b" \t\n\r\x0b\x0c" for b in raw):
+        raw = letters.encode().translate(LOWER)
+        if MARK in letters or any(b in b" \t\n\r\x0b\x0c" for b in raw):
             continue
+        # pieces that differ by A-Z alone are one piece with their weights added
         weight = -np.log(2.0 - s) if ranked else s
         key = (raw, start)
-        out[key] = max(out.get(key, -np.inf), weight)
+        out[key] = np.logaddexp(out.get(key, -np.inf), weight)
     floor = min(out.values(), default=0.0) - 2
     for b in range(256):
         out.setdefault((bytes([b]), False), floor)
@@ -110,32 +111,15 @@ class Lattice:
                     if fits.any():
                         yield (-1 if start else i), j + 1, rows[fits], piece[fits]
 
-    def forward(self, letters: np.ndarray, weights: np.ndarray, keep: bool = False):
-        """Natural log probability of each word (rows of bytes of one length) under each row of weights."""
+    def forward(self, letters: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Natural log probability of each word (rows of bytes of one length)."""
         n, size = letters.shape
-        # column 0 is before the word mark, column k + 1 after k letters
-        alpha = np.full((size + 2, n, len(weights)), -np.inf)
+        # row 0 is before the word mark, row k + 1 after k letters
+        alpha = np.full((size + 2, n), -np.inf)
         alpha[0] = 0
-        by_piece = np.ascontiguousarray(weights.T)
-        edges = list(self._edges(letters)) if keep else self._edges(letters)
-        for a, b, rows, piece in edges:
-            alpha[b + 1, rows] = np.logaddexp(alpha[b + 1, rows], alpha[a + 1, rows] + by_piece[piece])
-        total = alpha[size + 1] + by_piece[-1]
-        return (total, alpha, edges) if keep else total
-
-    def expected(self, letters: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words under one row of weights."""
-        n, size = letters.shape
-        total, alpha, edges = self.forward(letters, weights[None], keep=True)
-        total, alpha = total[:, 0], alpha[:, :, 0]
-        beta = np.full((size + 2, n), -np.inf)
-        beta[size + 1] = weights[-1]
-        out = np.zeros(len(weights) - 1)
-        for a, b, rows, piece in sorted(edges, key=lambda e: (-e[0], -e[1])):
-            step = weights[piece] + beta[b + 1, rows]
-            beta[a + 1, rows] = np.logaddexp(beta[a + 1, rows], step)
-            out += np.bincount(piece, np.exp(alpha[a + 1, rows] + step - total[rows]), minlength=len(out))
-        return out
+        for a, b, rows, piece in self._edges(letters):
+            alpha[b + 1, rows] = np.logaddexp(alpha[b + 1, rows], alpha[a + 1, rows] + weights[piece])
+        return alpha[size + 1] + weights[-1]
 
 
 LIMIT = 64

@@ -1,32 +1,25 @@
-"""Operator 1 on Spark: corpus counts, lattice weights and document scores.
+"""Operator 1 on Spark: lattice scores of all words of a corpus, corpus counts and document scores.
 
-One pass turns shards of whole documents into their distinct words and postings. A shard's words are dealt out by hash in
-packed rows, one a bucket; a bucket counts its words over all shards. The lattice runs once per distinct word of the
-corpus, not per use. Word scores go back to the shards that hold the word, where the postings add them up. Nothing that
-grows with the corpus is broadcast or collected: the driver sees as many weights as the vocabulary has pieces.
+One pass turns shards of whole documents into their distinct words and postings. A shard's words are rows (word, uses),
+added up over the corpus with map-side combination, so rows grow with the text and not with shards times buckets. The
+lattice runs once per distinct word of the corpus, not per use. Word scores go back to the shards that hold the word,
+where the postings add them up. Nothing that grows with the corpus is broadcast or collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketloom.llm.common import LOWER, as_bytes, in_shards, written
+from marketloom.llm.common import LOWER, as_bytes, in_shards, joined, written
 from marketloom.llm.lattice import VOCABULARY, Lattice, batches_by_length, read_pieces
 
 SHARD_BYTES = 16 << 20
-#: Text for each bucket of words.
-BUCKET_BYTES = 48 << 20
-#: Most frequent values of the class column with word weights of their own; the rest share one more class.
-CLASSES = 6
-ROUNDS = 2
+#: Of what is kept for unseen tokens, the end's part.
 END_SHARE = 0.01
-#: Words in a row of the vocabulary table.
-ROW_WORDS = 50_000
 
 
 class _Numbered(dict):
@@ -35,249 +28,107 @@ class _Numbered(dict):
         return n
 
 
-def _one(x, kind) -> pa.Array:
-    return pa.array([x], kind)
+INDEX = "shard long, words array<string>, learnt array<long>, postings binary, ids array<long>, held array<boolean>"
 
 
-INDEX = "bucket int, shard long, words binary, learnt binary, cuts binary, postings binary, ids array<long>, held array<boolean>"
-
-
-def index_shards(docs: DataFrame, classes: int, buckets: int) -> DataFrame:
-    """INDEX rows. Bucket -1: a shard's postings (its words numbered by bucket, `cuts` where buckets start) and documents.
-
-    Other rows: the shard's words of one bucket, a line each, and as int32 triples (word, class, uses) what is learnt.
-    """
+def index_shards(docs: DataFrame) -> DataFrame:
+    """INDEX rows, one a shard: its distinct words with the uses that are learnt, and postings: for each word the documents
+    that have it and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
-            name = (part << 32) | k
             number = _Numbered()
             ids = [np.fromiter(map(number.__getitem__, t.translate(LOWER).split()), np.int32) for t in as_bytes(shard.column("text"))]
             sizes = np.array([len(x) for x in ids], np.int64)
-            words = list(number)
-            of = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
             pairs = np.concatenate(ids).astype(np.int64)
             del ids
-            pairs = (rank[pairs] << 32) | np.repeat(np.arange(len(sizes)), sizes)
+            pairs = (pairs << 32) | np.repeat(np.arange(len(sizes)), sizes)
             pairs.sort()
             first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
             uses = np.diff(np.r_[first, len(pairs)])
             word, doc = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
             del pairs
             held = np.asarray(shard.column("held")).astype(bool)
-            kind = np.asarray(shard.column("kind")).astype(np.int64)
-            learnt = np.flatnonzero(~held[doc])
-            key = word[learnt] * classes + kind[doc[learnt]]
-            total = np.bincount(key, uses[learnt], minlength=1) if len(key) else np.zeros(0)
-            key = np.flatnonzero(total)
-            triples = np.stack([key // classes, key % classes, total[key]], axis=1).astype(np.int64)
-            at = np.searchsorted(triples[:, 0], cuts)
-            for b in range(buckets):
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo < hi:
-                    mine = triples[at[b] : at[b + 1]] - [lo, 0, 0]
-                    yield pa.RecordBatch.from_arrays(
-                        [_one(b, pa.int32()), _one(name, pa.int64()), _one(b"\n".join(words[i] for i in order[lo:hi]), pa.binary()), _one(mine.astype("<i4").tobytes(), pa.binary()), *(pa.nulls(1, t) for t in (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())))],
-                        names,
-                    )
-            lengths = np.bincount(word, minlength=len(words))
-            packed = b"".join(x.astype("<i4").tobytes() for x in (np.array([len(words), len(doc)]), lengths, doc, uses, sizes))
-            yield pa.RecordBatch.from_arrays(
-                [_one(-1, pa.int32()), _one(name, pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(2)), _one(cuts.astype("<i4").tobytes(), pa.binary()), _one(packed, pa.binary()), _one(shard.column("doc_id").to_pylist(), pa.list_(pa.int64())), _one(held.tolist(), pa.list_(pa.bool_()))],
-                names,
-            )
+            learnt = np.bincount(word, np.where(held[doc], 0, uses), minlength=len(number)).astype(np.int64)
+            lengths = np.bincount(word, minlength=len(number))
+            packed = b"".join(x.astype("<i4").tobytes() for x in (np.array([len(number), len(doc)]), lengths, doc, uses, sizes))
+            words = pa.array(list(number), pa.binary()).cast(pa.string())
+            one = [pa.array([(part << 32) | k], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), pa.array(learnt))]
+            yield pa.RecordBatch.from_arrays([*one, pa.array([packed], pa.binary()), pa.array([shard.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_()))], [x.split()[0] for x in INDEX.split(", ")])
 
-    names = [x.split()[0] for x in INDEX.split(", ")]
     return docs.mapInArrow(run, INDEX)
 
 
-WORDS = "bucket int, part int, shard long, words binary, counts binary, uses binary"
-
-
-def count_words(indexed: DataFrame, classes: int, buckets: int) -> DataFrame:
-    """WORDS rows. Without a shard: words of a bucket, a line each, with int64 counts by class. With one: the numbers
-    that the shard's words of the bucket have in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(bucket: int, number: dict, triples: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros((len(number), classes), np.int64)
-            for t in triples:
-                np.add.at(table, (t[:, 0], t[:, 1]), t[:, 2])
-            words = list(number)
-            for k in range(0, len(words), ROW_WORDS):
-                yield pa.RecordBatch.from_arrays([_one(bucket, pa.int32()), _one(k // ROW_WORDS, pa.int32()), _one(None, pa.int64()), _one(b"\n".join(words[k : k + ROW_WORDS]), pa.binary()), _one(table[k : k + ROW_WORDS].tobytes(), pa.binary()), _one(None, pa.binary())], names)
-
-        number, triples, last = _Numbered(), [], None
-        for b in batches:
-            for bucket, shard, words, learnt in zip(*(b.column(c).to_pylist() for c in ("bucket", "shard", "words", "learnt"))):
-                if bucket != last and last is not None:
-                    yield from counted(last, number, triples)
-                    number, triples = _Numbered(), []
-                last = bucket
-                ids = np.array([number[w] for w in words.split(b"\n")], np.int32)
-                t = np.frombuffer(learnt, "<i4").reshape(-1, 3).astype(np.int64)
-                t[:, 0] = ids[t[:, 0]]
-                triples.append(t)
-                yield pa.RecordBatch.from_arrays([_one(bucket, pa.int32()), _one(1 << 30, pa.int32()), _one(shard, pa.int64()), _one(None, pa.binary()), _one(None, pa.binary()), _one(ids.astype("<i4").tobytes(), pa.binary())], names)
-        if last is not None:
-            yield from counted(last, number, triples)
-
-    names = [x.split()[0] for x in WORDS.split(", ")]
-    rows = indexed.where("bucket >= 0").select("bucket", "shard", "words", "learnt")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, WORDS)
-
-
-def vocabulary_facts(counted: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Uses by class, words used once by class, and the number of words that are learnt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(2 * classes + 1, np.int64)
-        for b in batches:
-            for raw in b.column("counts").to_pylist():
-                t = np.frombuffer(raw, np.int64).reshape(-1, classes)
-                out += np.r_[t.sum(axis=0), (t == 1).sum(axis=0), (t.sum(axis=1) > 0).sum()]
-        yield pa.RecordBatch.from_pydict({f"x{i}": pa.array([int(v)], pa.int64()) for i, v in enumerate(out)})
-
-    columns = [f"x{i}" for i in range(2 * classes + 1)]
-    rows = counted.where("shard is null").select("counts").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
-    got = np.array([v or 0 for v in rows.agg(*[F.sum(c).alias(c) for c in columns]).first()], np.int64)
-    return got[:classes], got[classes : 2 * classes], int(got[-1])
-
-
-def refine(counted: DataFrame, lattice_var, weights: np.ndarray, classes: int) -> np.ndarray:
-    """One round: expected uses of the pieces in the distinct words that each class has learnt."""
-    spark = counted.sparkSession
-    held = spark.sparkContext.broadcast(weights)
+def spelt(words: DataFrame, lattice_var) -> DataFrame:
+    """Rows of words (word, c, k) with the natural log of the word's marginal probability, `spelling`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, w = lattice_var.value, held.value
-        out = np.zeros((classes, w.shape[1]))
-        for b in batches:
-            for text, raw in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
-                words, counts = text.split(b"\n"), np.frombuffer(raw, np.int64).reshape(-1, classes)
-                for k in range(classes):
-                    mine = [words[i] for i in np.flatnonzero(counts[:, k])]
-                    out[k, -1] += len(mine)
-                    for _, letters in batches_by_length(mine):
-                        out[k, :-1] += lattice.expected(letters, w[k])
-        yield pa.RecordBatch.from_pydict({"x": pa.array([out.astype("<f8").tobytes()], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        lattice = lattice_var.value
+        weights = lattice.first_weights()
         for b in batches:
-            for x in b.column("x").to_pylist():
-                x = np.frombuffer(x, "<f8")
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"x": pa.array([total.tobytes()], pa.binary())})
+            out = np.empty(b.num_rows)
+            for at, letters in batches_by_length(as_bytes(b.column("word"))):
+                out[at] = lattice.forward(letters, weights)
+            yield b.append_column("spelling", pa.array(out))
 
-    # tasks' sums meet in a few tasks first: the driver gets at most eight
-    parts = counted.where("shard is null").select("words", "counts").mapInArrow(run, "x binary").repartition(8).mapInArrow(add, "x binary").collect()
-    total = sum((np.frombuffer(bytes(r["x"]), "<f8").reshape(classes, -1) for r in parts), np.zeros((classes, weights.shape[1])))
-    # a pinch of the shared weights keeps every piece possible in every class
-    everywhere = total.sum(axis=0)
-    out = []
-    for k in range(classes):
-        mixed = total[k] + 0.01 * (everywhere + 1) * (total[k, -1] + 1) / (everywhere[-1] + 1)
-        out.append(lattice_var.value.weights(mixed[:-1], mixed[-1]))
-    return np.array(out)
+    return words.mapInArrow(run, "word string, c long, k long, spelling double")
 
 
-def score_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out=None, vocabulary: str = VOCABULARY, classes: int = CLASSES, rounds: int = ROUNDS
-) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score), one row per row of docs.
 
     `held_out` is a boolean column of docs' rows that are scored but not learnt from (default: crc32 of the id as text
-    mod 5 is 1). `score` is the log10 probability of the text's words and its end under a mixture of one word model a
-    class; the class column only sorts the texts learnt from, a text is scored under all classes. `base_score` adds half
-    a count to every word. Null and empty texts have one token, the end. Repeated rows count and are scored as often as
-    they occur; without rows to learn from all counts are 0 and the lattice's own weights remain; no rows give no rows.
-    Only the named columns are read.
+    mod 5 is 1). `lattice_score` is the log10 of the text's marginal probability under the vocabulary's fixed weights
+    alone, each word with all its segmentations and a constant for the end. `score` is the log10 probability of the same
+    tokens with that marginal interpolated into the words learnt: (uses + a * marginal) / (tokens + a), a being the words
+    used once plus one. `base_score` adds half a count to every word. Null and empty texts have one token, the end.
+    Repeated rows count and are scored as often as they occur; without rows to learn from all counts are 0 and the
+    marginal remains; no rows give no rows. Only the named columns are read.
     """
     spark = docs.sparkSession
     held = F.crc32(F.col(id_col).cast("string")) % 5 == 1 if held_out is None else held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"), (F.col(class_col) if class_col else F.lit(None).cast("string")).alias("label"))
-    names = []
-    if class_col:
-        common = rows.where("not held and label is not null").groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes)
-        names = [r[0] for r in common.collect()]
-    kind = F.lit(len(names))
-    for k, name in enumerate(names):
-        kind = F.when(F.col("label") == name, k).otherwise(kind)
-    n_classes = len(names) + 1
-    ends, volume = np.zeros(n_classes), 0
-    for r in rows.groupBy(kind.alias("k")).agg(F.count_if(~F.col("held")).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).collect():
-        ends[r["k"]], volume = r["n"], volume + r["b"]
-    buckets = max(6, int(volume // BUCKET_BYTES) + 1)
-    indexed = written(index_shards(rows.select("doc_id", "text", "held", kind.cast("int").alias("kind")), n_classes, buckets), "postings")
-    counted = written(count_words(indexed, n_classes, buckets), "vocabulary")
-
-    uses_of, once, distinct = vocabulary_facts(counted, n_classes)
-    total, distinct = int(uses_of.sum() + ends.sum()), distinct + int(ends.sum() > 0)
-    n_class = uses_of + ends
-    added = once + 1.0  # as much as was seen once stands for what wasn't seen
-    share = np.log10((ends + 1) / (ends + 1).sum())
-
-    lattice = Lattice(read_pieces(vocabulary))
-    lattice_var = spark.sparkContext.broadcast(lattice)
-    weights = np.repeat(lattice.first_weights()[None], n_classes, axis=0)
-    for _ in range(rounds):
-        weights = refine(counted, lattice_var, weights, n_classes)
-    weights_var = spark.sparkContext.broadcast(weights)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a bucket's words come first, in order, then the shards that use them
-        c, p, last = [], [], None
-        for b in batches:
-            for bucket, shard, text, raw, uses in zip(*(b.column(n).to_pylist() for n in ("bucket", "shard", "words", "counts", "uses"))):
-                if bucket != last:
-                    c, p, last = [], [], bucket
-                if shard is None:
-                    words, counts = text.split(b"\n"), np.frombuffer(raw, np.int64).reshape(-1, n_classes)
-                    base = np.empty((len(words), n_classes))
-                    for at, letters in batches_by_length(words):
-                        base[at] = lattice_var.value.forward(letters, weights_var.value)
-                    # logaddexp keeps a long word's tiny lattice probability from becoming 0
-                    with np.errstate(divide="ignore"):
-                        seen = np.log(counts)
-                    p.append(((np.logaddexp(seen, np.log(added * (1 - END_SHARE)) + base) - np.log(n_class + added)) / np.log(10)).astype("<f4"))
-                    c.append(counts.sum(axis=1))
-                    continue
-                if len(c) > 1:
-                    c, p = [np.concatenate(c)], [np.concatenate(p)]
-                ids = np.frombuffer(uses, "<i4")
-                yield pa.RecordBatch.from_pydict({"to": _one(shard, pa.int64()), "bucket": _one(bucket, pa.int32()), "c": _one(c[0][ids].astype("<i8").tobytes(), pa.binary()), "p": _one(p[0][ids].tobytes(), pa.binary())})
-
-    scored = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part").mapInArrow(answer, "to long, bucket int, c binary, p binary")
-    end_score = np.log10((ends + added * END_SHARE) / (n_class + added))
-    ends_seen = int(ends.sum())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    indexed = written(index_shards(rows), "postings")
+    uses = indexed.select("shard", F.posexplode(F.arrays_zip("words", "learnt")).alias("at", "w")).select("shard", "at", F.col("w.words").alias("word"), F.col("w.learnt").alias("learnt"))
+    lattice_var = spark.sparkContext.broadcast(Lattice(read_pieces(vocabulary)))
+    words = written(spelt(uses.groupBy("word").agg(F.sum("learnt").alias("c"), F.count("*").alias("k")), lattice_var), "vocabulary")
+
+    facts = words.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.sum("k"))]).first()
+    ends = indexed.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
+    total, distinct, added = facts[0] + ends, facts[1] + int(ends > 0), facts[2] + 1.0
+    # sums of logs keep a long word's tiny marginal from becoming 0
+    tail = F.lit(float(np.log(added * (1 - END_SHARE)))) + F.col("spelling")
+    seen = F.log(F.when(F.col("c") > 0, F.col("c")))
+    mixed = F.when(F.col("c") > 0, F.greatest(seen, tail) + F.log1p(F.exp(F.least(seen, tail) - F.greatest(seen, tail)))).otherwise(tail) - float(np.log(total + added))
+    scored = words.select("word", "k", "c", (mixed / float(np.log(10))).alias("p"), (F.col("spelling") / float(np.log(10))).alias("s"))
+    answers = joined(uses.select("shard", "at", "word"), scored, "word", facts[3]).select(F.col("shard").alias("to"), "at", "c", "p", "s")
+    end_score = float(np.log10((ends + added * END_SHARE) / (total + added)))
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {n: left.column(n)[0].as_py() for n in ("cuts", "postings", "ids", "held")}
-        cuts, packed = np.frombuffer(row["cuts"], "<i4"), np.frombuffer(row["postings"], "<i4")
+        packed = np.frombuffer(left.column("postings")[0].as_py(), "<i4")
+        ids, held = left.column("ids")[0].as_py(), left.column("held")[0].as_py()
         n, m = packed[:2]
         lengths, doc, uses, sizes = np.split(packed[2:], np.cumsum([n, m, m]))
-        c, p = np.zeros(n, np.int64), np.zeros((n, n_classes), np.float32)
-        for bucket, rc, rp in zip(*(right.column(x).to_pylist() for x in ("bucket", "c", "p"))):
-            c[cuts[bucket] : cuts[bucket + 1]] = np.frombuffer(rc, "<i8")
-            p[cuts[bucket] : cuts[bucket + 1]] = np.frombuffer(rp, "<f4").reshape(-1, n_classes)
-        size = len(row["ids"])
-        word = np.repeat(np.arange(n), lengths)
-        sums = np.stack([np.bincount(doc, uses * p[word, k].astype(float), minlength=size) + end_score[k] + share[k] for k in range(n_classes)], axis=1)
-        most = sums.max(axis=1)
-        mixed = most + np.log10((10 ** (sums - most[:, None])).sum(axis=1))
+        at = np.asarray(right.column("at"))
+        c, p, s = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for to, name in ((c, "c"), (p, "p"), (s, "s")):
+            to[at] = np.asarray(right.column(name))
+        size, word = len(ids), np.repeat(np.arange(n), lengths)
         low = total + 0.5 * (distinct + 1)
-        base = np.bincount(doc, uses * np.log10((c[word] + 0.5) / low), minlength=size) + np.log10((ends_seen + 0.5) / low)
-        known = np.bincount(doc, uses * (c[word] > 0), minlength=size).astype(np.int64) + (ends_seen > 0)
-        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": sizes.astype(np.int64) + 1, "n_known": known, "train_tokens": np.full(size, total), "base_score": base, "score": mixed})
 
-    posted = indexed.where("bucket < 0").select(F.col("shard").alias("of"), "cuts", "postings", "ids", "held")
-    return posted.groupBy("of").cogroup(scored.groupBy("to")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        def add(values: np.ndarray, end: float) -> np.ndarray:
+            return np.bincount(doc, uses * values[word], minlength=size) + end
+
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": sizes.astype(np.int64) + 1, "n_known": add(c > 0, ends > 0).astype(np.int64), "train_tokens": np.full(size, total),
+                "base_score": add(np.log10((c + 0.5) / low), np.log10((ends + 0.5) / low)), "score": add(p, end_score), "lattice_score": add(s + np.log10(1 - END_SHARE), np.log10(END_SHARE)),
+            }
+        )
+
+    posted = indexed.select(F.col("shard").alias("of"), "postings", "ids", "held")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+    return posted.groupBy("of").cogroup(answers.groupBy("to")).applyInArrow(add_up, schema)
