@@ -2,7 +2,8 @@
 
 Every word is spelt by pieces of an existing vocabulary: a first piece that carries the word mark, then further pieces.
 A forward recursion in log space over the letters sums all segmentations, so a word's probability is marginal over
-them; a document's is the product over its words. The pieces and their weights are the vocabulary's and stay as they are.
+them; a document's is the product over its words. The pieces and their weights are the vocabulary's and stay as they are;
+expected uses of the pieces in given words, by a forward and a backward pass, make a second set of weights beside them.
 """
 
 from __future__ import annotations
@@ -113,13 +114,32 @@ class Lattice:
 
     def forward(self, letters: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Natural log probability of each word (rows of bytes of one length)."""
+        alpha = self._alpha(letters, weights, self._edges(letters))
+        return alpha[-1] + weights[-1]
+
+    def expected(self, letters: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in the words."""
+        n, size = letters.shape
+        edges = list(self._edges(letters))
+        alpha = self._alpha(letters, weights, edges)
+        total = alpha[-1] + weights[-1]
+        beta = np.full((size + 2, n), -np.inf)
+        beta[size + 1] = weights[-1]
+        out = np.zeros(len(weights) - 1)
+        for a, b, rows, piece in sorted(edges, key=lambda e: (-e[0], -e[1])):
+            step = weights[piece] + beta[b + 1, rows]
+            beta[a + 1, rows] = np.logaddexp(beta[a + 1, rows], step)
+            out += np.bincount(piece, np.exp(alpha[a + 1, rows] + step - total[rows]), minlength=len(out))
+        return out
+
+    def _alpha(self, letters: np.ndarray, weights: np.ndarray, edges: Iterable[tuple]) -> np.ndarray:
         n, size = letters.shape
         # row 0 is before the word mark, row k + 1 after k letters
         alpha = np.full((size + 2, n), -np.inf)
         alpha[0] = 0
-        for a, b, rows, piece in self._edges(letters):
+        for a, b, rows, piece in edges:
             alpha[b + 1, rows] = np.logaddexp(alpha[b + 1, rows], alpha[a + 1, rows] + weights[piece])
-        return alpha[size + 1] + weights[-1]
+        return alpha
 
 
 LIMIT = 64

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from marketloom.llm.common import LOWER, as_bytes, in_shards, joined, written
 from marketloom.llm.lattice import VOCABULARY, Lattice, batches_by_length, read_pieces
@@ -20,6 +20,10 @@ from marketloom.llm.lattice import VOCABULARY, Lattice, batches_by_length, read_
 SHARD_BYTES = 16 << 20
 #: Of what is kept for unseen tokens, the end's part.
 END_SHARE = 0.01
+#: Most frequent values of the class column with word counts of their own; all other rows share one more class.
+CLASSES = 6
+#: How often expected uses are taken for the weights that are interpolated, and their part of an unseen word.
+ROUNDS, LEARNT_SHARE = 2, 0.9
 
 
 class _Numbered(dict):
@@ -28,12 +32,10 @@ class _Numbered(dict):
         return n
 
 
-INDEX = "shard long, words array<string>, learnt array<long>, postings binary, ids array<long>, held array<boolean>"
-
-
-def index_shards(docs: DataFrame) -> DataFrame:
-    """INDEX rows, one a shard: its distinct words with the uses that are learnt, and postings: for each word the documents
-    that have it and how often."""
+def index_shards(docs: DataFrame, classes: int) -> DataFrame:
+    """One row a shard: its distinct words, for each class the uses that are learnt (l0, l1 ..), and postings: for each word
+    the documents that have it and how often."""
+    learnt_names = [f"l{k}" for k in range(classes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -52,80 +54,140 @@ def index_shards(docs: DataFrame) -> DataFrame:
             word, doc = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
             del pairs
             held = np.asarray(shard.column("held")).astype(bool)
-            learnt = np.bincount(word, np.where(held[doc], 0, uses), minlength=len(number)).astype(np.int64)
+            kind = np.asarray(shard.column("kind")).astype(np.int64)
+            learnt = np.bincount(word * classes + kind[doc], np.where(held[doc], 0, uses), minlength=classes * len(number)).astype(np.int64).reshape(-1, classes)
             lengths = np.bincount(word, minlength=len(number))
             packed = b"".join(x.astype("<i4").tobytes() for x in (np.array([len(number), len(doc)]), lengths, doc, uses, sizes))
             words = pa.array(list(number), pa.binary()).cast(pa.string())
-            one = [pa.array([(part << 32) | k], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), pa.array(learnt))]
-            yield pa.RecordBatch.from_arrays([*one, pa.array([packed], pa.binary()), pa.array([shard.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_()))], [x.split()[0] for x in INDEX.split(", ")])
+            ends = pa.array([0, len(number)], pa.int32())
+            counts = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(learnt[:, k]))) for k in range(classes)]
+            one = [pa.array([(part << 32) | k], pa.int64()), pa.array([packed], pa.binary()), pa.array([shard.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*one, pa.ListArray.from_arrays(ends, words), *counts], ["shard", "postings", "ids", "held", "words", *learnt_names])
+
+    return docs.mapInArrow(run, "shard long, postings binary, ids array<long>, held array<boolean>, words array<string>, " + ", ".join(f"{x} array<long>" for x in learnt_names))
+
+
+def refine(words: DataFrame, lattice_var, weights: np.ndarray) -> np.ndarray:
+    """Weights by the expected uses of the pieces in the distinct words that are learnt."""
+    held = words.sparkSession.sparkContext.broadcast(weights)
 
-    return docs.mapInArrow(run, INDEX)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(held.value))
+        for b in batches:
+            mine = as_bytes(b.column("word"))
+            out[-1] += len(mine)
+            for _, letters in batches_by_length(mine):
+                out[:-1] += lattice_var.value.expected(letters, held.value)
+        yield pa.RecordBatch.from_pydict({"x": pa.array([out.astype("<f8").tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(held.value))
+        for b in batches:
+            for x in b.column("x").to_pylist():
+                total += np.frombuffer(x, "<f8")
+        yield pa.RecordBatch.from_pydict({"x": pa.array([total.tobytes()], pa.binary())})
 
+    # tasks' sums meet in a few tasks first: the driver gets at most eight of the vocabulary's size
+    parts = words.where(" + ".join(c for c in words.columns if c[0] == "l") + " > 0").select("word").mapInArrow(run, "x binary").repartition(8).mapInArrow(add, "x binary").collect()
+    total = sum((np.frombuffer(bytes(r["x"]), "<f8") for r in parts), np.zeros(len(weights))) + 0.01
+    return lattice_var.value.weights(total[:-1], total[-1])
 
-def spelt(words: DataFrame, lattice_var) -> DataFrame:
-    """Rows of words (word, c, k) with the natural log of the word's marginal probability, `spelling`."""
+
+def spelt(words: DataFrame, lattice_var, learnt: np.ndarray) -> DataFrame:
+    """Rows of words (word, counts) with the natural logs of the word's marginal probability, `spelling`, and of its mixture
+    with the marginal under the learnt weights, `mixture`."""
+    held = words.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_var.value
         weights = lattice.first_weights()
         for b in batches:
-            out = np.empty(b.num_rows)
+            fixed, own = np.empty(b.num_rows), np.empty(b.num_rows)
             for at, letters in batches_by_length(as_bytes(b.column("word"))):
-                out[at] = lattice.forward(letters, weights)
-            yield b.append_column("spelling", pa.array(out))
+                fixed[at], own[at] = lattice.forward(letters, weights), lattice.forward(letters, held.value)
+            mixture = np.logaddexp(fixed + np.log(1 - LEARNT_SHARE), own + np.log(LEARNT_SHARE))
+            yield b.append_column("spelling", pa.array(fixed)).append_column("mixture", pa.array(mixture))
 
-    return words.mapInArrow(run, "word string, c long, k long, spelling double")
+    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("spelling", T.DoubleType()), T.StructField("mixture", T.DoubleType())]))
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, vocabulary: str = VOCABULARY) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out=None, vocabulary: str = VOCABULARY, classes: int = CLASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score), one row per row of docs.
 
     `held_out` is a boolean column of docs' rows that are scored but not learnt from (default: crc32 of the id as text
     mod 5 is 1). `lattice_score` is the log10 of the text's marginal probability under the vocabulary's fixed weights
     alone, each word with all its segmentations and a constant for the end. `score` is the log10 probability of the same
-    tokens with that marginal interpolated into the words learnt: (uses + a * marginal) / (tokens + a), a being the words
-    used once plus one. `base_score` adds half a count to every word. Null and empty texts have one token, the end.
-    Repeated rows count and are scored as often as they occur; without rows to learn from all counts are 0 and the
-    marginal remains; no rows give no rows. Only the named columns are read.
+    tokens under a mixture of one word model a class, with marginals interpolated into the words learnt: a class gives
+    (uses + a * m) / (tokens + a), a being its words used once plus one, and m a mixture, one to nine, of the marginal
+    under the vocabulary's weights and of that under weights from the pieces' expected uses in the words learnt. The class column
+    only sorts the texts learnt from: the `classes` most frequent values have counts of their own, all other rows share
+    one more class, and a text is scored under all. `base_score` adds half a count to every word. Null and empty texts
+    have one token, the end. Repeated rows count and are scored as often as they occur; without rows to learn from all
+    counts are 0 and the marginal remains; no rows give no rows. Only the named columns are read.
     """
     spark = docs.sparkSession
     held = F.crc32(F.col(id_col).cast("string")) % 5 == 1 if held_out is None else held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    indexed = written(index_shards(rows), "postings")
-    uses = indexed.select("shard", F.posexplode(F.arrays_zip("words", "learnt")).alias("at", "w")).select("shard", "at", F.col("w.words").alias("word"), F.col("w.learnt").alias("learnt"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"), (F.col(class_col) if class_col else F.lit(None).cast("string")).alias("label"))
+    common = rows.where("not held and label is not null").groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).collect() if class_col else []
+    kind = F.lit(len(common))
+    for k, r in enumerate(common):
+        kind = F.when(F.col("label") == r["label"], k).otherwise(kind)
+    n = len(common) + 1
+    ends = np.zeros(n)
+    for r in rows.where("not held").groupBy(kind.alias("k")).count().collect():
+        ends[r["k"]] = r["count"]
+    indexed = written(index_shards(rows.select("doc_id", "text", "held", kind.cast("int").alias("kind")), n), "postings")
+    counts = [f"l{k}" for k in range(n)]
+    uses = indexed.select("shard", F.posexplode(F.arrays_zip("words", *counts)).alias("at", "w")).select("shard", "at", F.col("w.words").alias("word"), *[f"w.{c}" for c in counts])
     lattice_var = spark.sparkContext.broadcast(Lattice(read_pieces(vocabulary)))
-    words = written(spelt(uses.groupBy("word").agg(F.sum("learnt").alias("c"), F.count("*").alias("k")), lattice_var), "vocabulary")
-
-    facts = words.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.sum("k"))]).first()
-    ends = indexed.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    total, distinct, added = facts[0] + ends, facts[1] + int(ends > 0), facts[2] + 1.0
-    # sums of logs keep a long word's tiny marginal from becoming 0
-    tail = F.lit(float(np.log(added * (1 - END_SHARE)))) + F.col("spelling")
-    seen = F.log(F.when(F.col("c") > 0, F.col("c")))
-    mixed = F.when(F.col("c") > 0, F.greatest(seen, tail) + F.log1p(F.exp(F.least(seen, tail) - F.greatest(seen, tail)))).otherwise(tail) - float(np.log(total + added))
-    scored = words.select("word", "k", "c", (mixed / float(np.log(10))).alias("p"), (F.col("spelling") / float(np.log(10))).alias("s"))
-    answers = joined(uses.select("shard", "at", "word"), scored, "word", facts[3]).select(F.col("shard").alias("to"), "at", "c", "p", "s")
-    end_score = float(np.log10((ends + added * END_SHARE) / (total + added)))
+    counted = written(uses.groupBy("word").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("k")), "words")
+    learnt = lattice_var.value.first_weights()
+    for _ in range(ROUNDS):
+        learnt = refine(counted, lattice_var, learnt)
+    words = written(spelt(counted, lattice_var, learnt), "vocabulary")
+
+    c = F.expr(" + ".join(counts))
+    sums = [F.sum(x) for x in counts] + [F.count_if(F.col(x) == 1) for x in counts] + [F.count_if(c > 0), F.sum("k")]
+    facts = [x or 0 for x in words.agg(*[x.alias(f"f{i}") for i, x in enumerate(sums)]).first()]
+    of_class, added = np.array(facts[:n]) + ends, np.array(facts[n : 2 * n]) + 1.0
+    total, all_ends = int(of_class.sum()), int(ends.sum())
+    distinct = facts[-2] + int(all_ends > 0)
+
+    def probability(k: int):
+        # sums of logs keep a long word's tiny marginal from becoming 0
+        tail = F.lit(float(np.log(added[k] * (1 - END_SHARE)))) + F.col("mixture")
+        seen = F.log(F.col(counts[k]))
+        both = F.when(F.col(counts[k]) > 0, F.greatest(seen, tail) + F.log1p(F.exp(F.least(seen, tail) - F.greatest(seen, tail)))).otherwise(tail)
+        return (both / float(np.log(10)) - float(np.log10(of_class[k] + added[k]))).alias(f"p{k}")
+
+    scored = words.select("word", "k", c.alias("c"), (F.col("spelling") / float(np.log(10))).alias("s"), *map(probability, range(n)))
+    answers = joined(uses.select("shard", "at", "word"), scored, "word", facts[-1]).drop("word", "k").withColumnRenamed("shard", "to")
+    end_score = np.log10((ends + added * END_SHARE) / (of_class + added))
+    share = np.log10((ends + 1) / (ends + 1).sum())
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         packed = np.frombuffer(left.column("postings")[0].as_py(), "<i4")
         ids, held = left.column("ids")[0].as_py(), left.column("held")[0].as_py()
-        n, m = packed[:2]
-        lengths, doc, uses, sizes = np.split(packed[2:], np.cumsum([n, m, m]))
-        at = np.asarray(right.column("at"))
-        c, p, s = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for to, name in ((c, "c"), (p, "p"), (s, "s")):
-            to[at] = np.asarray(right.column(name))
-        size, word = len(ids), np.repeat(np.arange(n), lengths)
+        m, many = packed[:2]
+        lengths, doc, uses, sizes = np.split(packed[2:], np.cumsum([m, many, many]))
+        at, size, word = np.asarray(right.column("at")), len(ids), np.repeat(np.arange(m), lengths)
         low = total + 0.5 * (distinct + 1)
 
+        def of_words(name: str) -> np.ndarray:
+            out = np.zeros(m)
+            out[at] = np.asarray(right.column(name))
+            return out
+
         def add(values: np.ndarray, end: float) -> np.ndarray:
             return np.bincount(doc, uses * values[word], minlength=size) + end
 
+        c, s = of_words("c"), of_words("s")
+        sums = np.stack([add(of_words(f"p{k}"), end_score[k] + share[k]) for k in range(n)], axis=1)
+        most = sums.max(axis=1)
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": sizes.astype(np.int64) + 1, "n_known": add(c > 0, ends > 0).astype(np.int64), "train_tokens": np.full(size, total),
-                "base_score": add(np.log10((c + 0.5) / low), np.log10((ends + 0.5) / low)), "score": add(p, end_score), "lattice_score": add(s + np.log10(1 - END_SHARE), np.log10(END_SHARE)),
+                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": sizes.astype(np.int64) + 1, "n_known": add(c > 0, all_ends > 0).astype(np.int64), "train_tokens": np.full(size, total),
+                "base_score": add(np.log10((c + 0.5) / low), np.log10((all_ends + 0.5) / low)), "score": most + np.log10((10 ** (sums - most[:, None])).sum(axis=1)), "lattice_score": add(s + np.log10(1 - END_SHARE), np.log10(END_SHARE)),
             }
         )
 

@@ -34,38 +34,69 @@ def test_marginal_is_the_sum_over_all_spellings():
             assert math.isclose(math.exp(got), brute(bytes(letters)), rel_tol=1e-9)
 
 
-def test_scores_against_plain_counts(spark, docs, corpus):
-    got = {r["doc_id"]: r for r in scoring.score_documents(docs).collect()}
+def test_expected_counts_add_up():
+    pieces = [(b"", True, -3.0)] + [(bytes([b]), False, -2.0) for b in range(256)] + [(b"ab", False, -1.5), (b"a", True, -2.5)]
+    lattice, words = Lattice(pieces), [b"abab", b"ba", b"aab", b"b" * 90]
+    w = lattice.first_weights()
+    out = sum(lattice.expected(letters, w) for _, letters in batches_by_length(words))
+    assert math.isclose(out[[i for i, p in enumerate(pieces) if p[1]]].sum(), len(words))
+    assert math.isclose(sum(c * len(p[0]) for c, p in zip(out, pieces)), sum(map(len, words)))
+
+
+@pytest.mark.parametrize("class_col", [None, "lang"])
+def test_scores_against_plain_counts(spark, docs, corpus, class_col):
+    got = {r["doc_id"]: r for r in scoring.score_documents(docs, class_col=class_col, classes=1).collect()}
+    names = {None: [None], "lang": ["en", None]}[class_col]  # the most frequent value, and all others
     train, n_train = Counter(), 0
-    for i, t, *_ in corpus:
+    of_class = [Counter() for _ in names]
+    n_class = [0 for _ in names]
+    for i, t, lang, *_ in corpus:
         if zlib.crc32(str(i).encode()) % 5 != 1:
             train.update(toks(t))
             n_train += 1
+            k = names.index(lang if class_col and lang in names else None)
+            of_class[k].update(toks(t))
+            n_class[k] += 1
     total, kinds = sum(train.values()) + n_train, len(train) + 1
     assert len(got) == len(corpus)
-    added, lattice = sum(c == 1 for c in train.values()) + 1, Lattice(read_pieces())
-    weights = lattice.first_weights()
+    lattice = Lattice(read_pieces())
+    fixed = learnt = lattice.first_weights()
+    for _ in range(2):
+        spelt = np.sum([lattice.expected(np.frombuffer(x, np.uint8)[None], learnt) for x in train], axis=0) + 0.01
+        learnt = lattice.weights(spelt, len(train) + 0.01)
 
     @functools.cache
-    def spelling(word):
+    def spelling(word, weights="fixed"):
         """Forward over the letters of one word, piece by piece."""
+        w = fixed if weights == "fixed" else learnt
         at = {-1: 0.0, **dict.fromkeys(range(len(word) + 1), -math.inf)}
         for to in range(len(word) + 1):
             for a in range(max(-1, to - lattice.width - 1), to):
-                w = pieces.get((word[max(a, 0) : to], a < 0))
-                if w is not None and (a < 0 or to > a):
-                    at[to] = np.logaddexp(at[to], at[a] + w)
-        return at[len(word)] + weights[-1]
+                i = place.get((word[max(a, 0) : to], a < 0))
+                if i is not None and (a < 0 or to > a):
+                    at[to] = np.logaddexp(at[to], at[a] + w[i])
+        return at[len(word)] + w[-1]
+
+    def mixture(word):
+        return 0.1 * math.exp(spelling(word)) + 0.9 * math.exp(spelling(word, "learnt"))
 
-    pieces = {p[:2]: weights[i] for i, p in enumerate(lattice.pieces)}
+    place = {p[:2]: i for i, p in enumerate(lattice.pieces)}
     for i, t, *_ in corpus:
         w, r = toks(t), got[i]
         base = sum(math.log10((train[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w) + math.log10((n_train + 0.5) / (total + 0.5 * (kinds + 1)))
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 1)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(train[x] > 0 for x in w) + 1, total)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9)
-        p = [(train[x] + added * 0.99 * math.exp(spelling(x))) / (total + added) for x in w] + [(n_train + added * 0.01) / (total + added)]
-        assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=1e-9)
+        parts = []
+        for seen, n in zip(of_class, n_class):
+            added, size = sum(c == 1 for c in seen.values()) + 1, sum(seen.values()) + n
+            p = [(seen[x] + added * 0.99 * mixture(x)) / (size + added) for x in w] + [(n + added * 0.01) / (size + added)]
+            parts.append(sum(map(math.log10, p)) + math.log10((n + 1) / (n_train + len(names))) if all(p) else None)
+        if None not in parts:  # a probability below the least double has no logarithm here
+            most = max(parts)
+            assert math.isclose(r["score"], most + math.log10(sum(10 ** (x - most) for x in parts)), rel_tol=1e-6)
+        assert math.isclose(r["lattice_score"], sum(spelling(x) / math.log(10) + math.log10(0.99) for x in w) - 2, rel_tol=1e-9)
+        assert math.isfinite(r["score"]) and r["score"] < 0
         assert math.isclose(r["lattice_score"], sum(spelling(x) / math.log(10) + math.log10(0.99) for x in w) - 2, rel_tol=1e-9)
 
 
