@@ -2,8 +2,9 @@
 
 A text's words vote with the signs of their 128-bit hashes, each word with a whole-number weight that grows with the
 logarithm of its uses; a bit is set where the votes are positive. Whole numbers make the sums exact in any order, so
-equal texts have equal fingerprints wherever they are computed. Fingerprints within RADIUS bits agree on at least two of
-six blocks, so one table for each pair of blocks, keyed by both, holds all candidates.
+equal texts have equal fingerprints wherever they are computed. A fingerprint is cut into five blocks, and for each there
+is a table with that block moved to the front as its key. Fingerprints within RADIUS bits differ by at most two bits in
+one block at least, so a query that asks each table for its block and all keys within two bits of it meets all of them.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 from marketloom.llm.common import LOWER, in_shards, written
 
 BITS = 128
-RADIUS = 4
-#: Of each half of the fingerprint, from its highest bit.
-BLOCK_BITS = (22, 21, 21)
+#: Near copies by five-word Jaccard similarity of 0.8 are mostly within this; see the README for their share.
+RADIUS = 14
+#: From the highest bit of the fingerprint.
+BLOCK_BITS = (26, 26, 26, 25, 25)
 BATCH_BYTES = 1 << 20
 ROWS_A_RANGE = 4096
 
@@ -157,37 +159,34 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def _blocks(hi: str, lo: str) -> list[str]:
-    out = []
-    for half in (hi, lo):
-        shift = 64
-        for bits in BLOCK_BITS:
-            shift -= bits
-            out.append(f"(shiftrightunsigned({half}, {shift}) & {(1 << bits) - 1})")
-    return out
-
-
-PAIRS = list(combinations(range(2 * len(BLOCK_BITS)), 2))
+    """The fingerprint's blocks as SQL; the third lies across its halves."""
+    return [f"(shiftrightunsigned({hi}, 38) & 67108863)", f"(shiftrightunsigned({hi}, 12) & 67108863)", f"(({hi} & 4095) * 16384 + shiftrightunsigned({lo}, 50))", f"(shiftrightunsigned({lo}, 25) & 33554431)", f"({lo} & 33554431)"]
 
 
-def _tables(prints: DataFrame) -> DataFrame:
-    """Each fingerprint once for each pair of blocks, with a key of both blocks and the pair."""
-    block = _blocks("hi", "lo")
-    keys = ", ".join(f"{t}L * {1 << 44} + {block[i]} * {1 << 22} + {block[j]}" for t, (i, j) in enumerate(PAIRS))
-    return prints.withColumn("key", F.explode(F.expr(f"array({keys})")))
+def _masks(bits: int, flips: int) -> list[int]:
+    return [sum(1 << i for i in at) for n in range(flips + 1) for at in combinations(range(bits), n)]
 
 
 def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(hi, lo, n_near) for each query fingerprint: the rows of prints within `radius` bits, found in the block tables.
 
-    Both sides are distinct fingerprints (prints with how many rows have them as n). A pair that shares several tables
-    counts in the first one alone. Radii beyond what two of six equal blocks guarantee are refused.
+    Both sides are distinct fingerprints (prints with how many rows have them as n). A pair that meets in several tables
+    counts in the first one alone. Radii beyond what two bits in one of five blocks guarantee are refused.
     """
-    if radius > RADIUS:
+    flips = radius // len(BLOCK_BITS)
+    if flips > 2:
         raise ValueError(f"block tables are complete up to a radius of {RADIUS}")
-    same = [f"{a} = {b}" for a, b in zip(_blocks("hi", "lo"), _blocks("qhi", "qlo"))]
-    first = " ".join(f"when {t} then {' and '.join(f'not ({same[k]})' for k in range(j) if k != i) or 'true'}" for t, (i, j) in enumerate(PAIRS))
-    asked = _tables(queries).selectExpr("key", "hi as qhi", "lo as qlo")
-    close = _tables(prints).join(asked, "key").where(f"bit_count(hi ^ qhi) + bit_count(lo ^ qlo) <= {radius} and case shiftright(key, 44) {first} end")
+    keys = [F.expr(f"{t} * {1 << 26}L + {b}") for t, b in enumerate(_blocks("hi", "lo"))]
+    tables = prints.withColumn("key", F.explode(F.array(*keys))).hint("shuffle_hash")
+
+    def probed(key, bits: int):
+        return F.transform(F.lit(_masks(bits, flips)), lambda m: key.bitwiseXOR(m.cast("long")))
+
+    probes = F.flatten(F.array(*map(probed, keys, BLOCK_BITS)))
+    asked = queries.select(F.explode(probes).alias("key"), F.col("hi").alias("qhi"), F.col("lo").alias("qlo"))
+    apart = [f"bit_count({b}) > {flips}" for b in _blocks("(hi ^ qhi)", "(lo ^ qlo)")]
+    first = " ".join(f"when {t} then {' and '.join(apart[:t]) or 'true'}" for t in range(len(apart)))
+    close = tables.join(asked, "key").where(f"bit_count(hi ^ qhi) + bit_count(lo ^ qlo) <= {radius} and case shiftright(key, 26) {first} end")
     return close.groupBy("qhi", "qlo").agg(F.sum("n").alias("n_near")).selectExpr("qhi as hi", "qlo as lo", "n_near")
 
 
