@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Upper-case ASCII to lower case, all other bytes as they are.
@@ -37,10 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: it cuts the lineage and outlives executors."""
+    """The rows as a table in the shared folder: it cuts the lineage and outlives executors.
+
+    The shuffles behind it aren't needed any more. Spark removes their files once the driver has collected what refers to
+    them, which a driver with little to do puts off until disks are full; so it is asked to.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +67,17 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()
 
 
+def packed(texts: list[bytes]) -> list[bytes]:
+    """Texts as they go through a shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return [pack(t) for t in texts]
+
+
+def unpacked(texts: list[bytes]) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in texts]
+
+
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
     """Arrays of hashes as a column of lists of int64."""
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
@@ -74,11 +91,13 @@ def arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def in_shards(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "text") -> Iterator[pa.Table]:
-    """Consecutive rows gathered to tables of about most_bytes of text (at least one row); a text is never cut."""
+    """Consecutive rows gathered to tables of about most_bytes of text (at least one row); a text is never cut. The column
+    holds the texts, or their sizes as numbers."""
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+        held_in = batch.column(column)
+        sizes = np.asarray(pc.fill_null(held_in if pa.types.is_integer(held_in.type) else pc.binary_length(held_in), 0))
         start = 0
         for i, n in enumerate(sizes.tolist()):
             if total and total + n > most_bytes:

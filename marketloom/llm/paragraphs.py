@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from marketloom.llm.common import LOWER, arrays, as_bytes, in_shards, joined, lists, written
+from marketloom.llm.common import LOWER, arrays, as_bytes, in_shards, joined, lists, packed, unpacked, written
 from marketloom.llm.graph import components
 from marketloom.llm.prefix_tree import BLOCK, _blocks, _links
 from marketloom.llm.shingles import mixed, shingle_hashes, shingle_set, word_hashes
@@ -70,12 +70,19 @@ def band_hashes(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def split(text: bytes, min_words: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(place, words) of the lines that are long enough."""
+def split(text: bytes, min_words: int) -> list[tuple[int, int, int]]:
+    """(place, from word, to word) of the lines that are long enough."""
+    out, at = [], 0
     for i, line in enumerate(text.split(b"\n")):
-        words = line.translate(LOWER).split()
-        if len(words) >= min_words:
-            yield i, words
+        n = len(line.split())
+        if n >= min_words:
+            out.append((i, at, at + n))
+        at += n
+    return out
+
+
+def name_of(words: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(words.tobytes())
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -106,35 +113,47 @@ def window_anchors(words: np.ndarray, passage: int, gram: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, size: int, min_words: int, bands: int, rows: int, passage: int, gram: int) -> DataFrame:
-    """(doc_id, doc_key, lines, places, sizes, names, banded, bands, anchors): a document's paragraphs; `bands` hashes for each
+    """(doc_id, doc_key, lines, n_bytes, places, names, banded, bands, anchors): a document's paragraphs; `bands` hashes for each
     name of `banded` (a name of many paragraphs of a shard is banded once); and the anchors of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in in_shards(batches, SHARD_BYTES):
             raw = as_bytes(shard.column("text"))
-            found = [list(split(t, min_words)) for t in raw]
+            found = [split(t, min_words) for t in raw]
             many = [len(f) for f in found]
-            texts = [b" ".join(w) for f in found for _, w in f]
+            words = word_hashes(raw)
+            texts = [w[a:b] for w, f in zip(words, found) for _, a, b in f]
             cuts = np.cumsum([0, *many])
-            names = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), np.uint64, len(texts))
+            names = np.fromiter(map(name_of, texts), np.uint64, len(texts))
             keys = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in raw), np.uint64, len(raw))
             lead, banded = np.zeros(0, np.int64), np.zeros((0, bands), np.uint64)
             if texts:
                 _, lead = np.unique(names, return_index=True)
                 lead.sort()
-                banded = band_hashes(min_hashes([shingle_hashes(w, size) for w in word_hashes([texts[i] for i in lead])], bands * rows), bands, rows)
+                banded = band_hashes(min_hashes([shingle_hashes(texts[i], size) for i in lead], bands * rows), bands, rows)
             at = np.searchsorted(lead, cuts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    shard.column("doc_id").combine_chunks(), pa.array(keys.astype(np.int64)), pa.array([t.count(b"\n") + 1 if t else 0 for t in raw], pa.int32()), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())),
-                    pa.array([[len(w) for _, w in f] for f in found], pa.list_(pa.int32())), lists([names[a:b] for a, b in zip(cuts, cuts[1:])]), lists([names[lead[a:b]] for a, b in zip(at, at[1:])]), lists([banded[a:b].ravel() for a, b in zip(at, at[1:])]),
-                    lists([np.unique(window_anchors(w, passage, gram)) for w in word_hashes(raw)]),
+                    shard.column("doc_id").combine_chunks(), pa.array(keys.astype(np.int64)), pa.array([t.count(b"\n") + 1 if t else 0 for t in raw], pa.int32()), pa.array([len(t) for t in raw], pa.int64()), pa.array([[i for i, _, _ in f] for f in found], pa.list_(pa.int32())), lists([names[a:b] for a, b in zip(cuts, cuts[1:])]), lists([names[lead[a:b]] for a, b in zip(at, at[1:])]), lists([banded[a:b].ravel() for a, b in zip(at, at[1:])]),
+                    lists([np.unique(window_anchors(w, passage, gram)) for w in words]),
                 ],
                 SCANNED,
             )
 
-    SCANNED = ["doc_id", "doc_key", "lines", "places", "sizes", "names", "banded", "bands", "anchors"]
-    return docs.mapInArrow(run, "doc_id long, doc_key long, lines int, places array<int>, sizes array<int>, names array<long>, banded array<long>, bands array<long>, anchors array<long>")
+    SCANNED = ["doc_id", "doc_key", "lines", "n_bytes", "places", "names", "banded", "bands", "anchors"]
+    return docs.mapInArrow(run, "doc_id long, doc_key long, lines int, n_bytes long, places array<int>, names array<long>, banded array<long>, bands array<long>, anchors array<long>")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, packed, n_bytes): the texts, as they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = as_bytes(b.column("text"))
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array(packed(raw), pa.binary()), pa.array([len(t) for t in raw], pa.int64())], ["doc_id", "doc_key", "packed", "n_bytes"])
+
+    return docs.mapInArrow(run, "doc_id long, doc_key long, packed binary, n_bytes long")
 
 
 def _colliding(scanned: DataFrame, bands: int) -> DataFrame:
@@ -157,23 +176,20 @@ def _sharing(scanned: DataFrame, many: int) -> DataFrame:
 
 def _met_sets(docs: DataFrame, first: DataFrame, size: int, min_words: int, bands: int, rows_a_band: int) -> DataFrame:
     """(cls, n, tokens, bands): the shingle set and band hashes of each name of `first` (name, p: its first place)."""
-    wanted = first.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.doc_key").alias("doc_key")).agg(F.collect_list("p.place").alias("places"))
+    wanted = first.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.doc_key").alias("doc_key")).agg(F.collect_list("p.place").alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in in_shards(batches, SHARD_BYTES):
-            texts = []
-            for t, key, places in zip(as_bytes(shard.column("text")), shard.column("doc_key").to_pylist(), shard.column("places").to_pylist()):
-                if np.uint64(xxhash.xxh3_64_intdigest(t)).astype(np.int64) == key:
-                    keep = set(places)
-                    texts += [b" ".join(w) for i, w in split(t, min_words) if i in keep]
-            if texts:
-                words = word_hashes(texts)
-                keyed = band_hashes(min_hashes([shingle_hashes(w, size) for w in words], bands * rows_a_band), bands, rows_a_band)
-                names = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).astype(np.int64)
-                sets = [shingle_set(w, size) for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(s) for s in sets], pa.int64()), lists(sets), lists(list(keyed))], ["cls", "n", "tokens", "bands"])
+        for shard in in_shards(batches, SHARD_BYTES, "n_bytes"):
+            raw = unpacked(shard.column("packed").to_pylist())
+            words = []
+            for t, w, places in zip(raw, word_hashes(raw), shard.column("wanted").to_pylist()):
+                keep = set(places)
+                words += [w[a:b] for i, a, b in split(t, min_words) if i in keep]
+            keyed = band_hashes(min_hashes([shingle_hashes(w, size) for w in words], bands * rows_a_band), bands, rows_a_band)
+            sets = [shingle_set(w, size) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(name_of, words), np.uint64, len(words)).astype(np.int64)), pa.array([len(s) for s in sets], pa.int64()), lists(sets), lists(list(keyed))], ["cls", "n", "tokens", "bands"])
 
-    return docs.join(wanted, "doc_id").mapInArrow(run, "cls long, n long, tokens array<long>, bands array<long>").dropDuplicates(["cls"])
+    return _packed(docs).join(wanted, ["doc_id", "doc_key"]).mapInArrow(run, "cls long, n long, tokens array<long>, bands array<long>").dropDuplicates(["cls"])
 
 
 WINDOWS = "to int, bucket int, doc_id binary, doc_key binary, starts binary, sizes binary, hashes binary, sources binary"
@@ -201,28 +217,23 @@ def _windows(texts: DataFrame, buckets: int, passage: int, gram: int) -> DataFra
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in in_shards(batches, SHARD_BYTES):
-            raw = as_bytes(shard.column("text"))
-            keys = np.array([xxhash.xxh3_64_intdigest(t) for t in raw], np.uint64).astype(np.int64)
-            own = np.flatnonzero(keys == np.asarray(shard.column("doc_key")))
-            if not len(own):
-                continue
-            ids, keys = np.asarray(shard.column("doc_id")).astype(np.int64)[own], keys[own]
+        for shard in in_shards(batches, SHARD_BYTES, "n_bytes"):
+            ids, keys = (np.asarray(shard.column(c)).astype(np.int64) for c in ("doc_id", "doc_key"))
             order = np.lexsort((keys, ids))
+            order = order[_unlike(ids[order]) | _unlike(keys[order])]
             ids, keys = ids[order], keys[order]
-            order = order[_unlike(ids) | _unlike(keys)]
-            ids, keys = (x[_unlike(ids) | _unlike(keys)] for x in (ids, keys))
-            words = word_hashes([raw[own[i]] for i in order])
+            shard = shard.take(pa.array(order))
+            words = word_hashes(unpacked(shard.column("packed").to_pylist()))
             hashes = [run_hashes(w, passage) for w in words]
             many = np.array([len(h) for h in hashes])
-            met, split = ([x for x, i in zip(shard.column(c).take(pa.array(own)).to_pylist(), range(len(own)))] for c in ("met", "split"))
+            met, many_of = (shard.column(c).to_pylist() for c in ("met", "split"))
             doc, start = np.repeat(np.arange(len(ids)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             anchor = [window_anchors(w, passage, gram) for w in words]
-            keep = np.concatenate([np.isin(a, np.array(met[i], np.int64).astype(np.uint64)) for a, i in zip(anchor, order)])
+            keep = np.concatenate([np.isin(a, np.array(m, np.int64).astype(np.uint64)) for a, m in zip(anchor, met)])
             doc, start, anchor, hashes = doc[keep], start[keep], np.concatenate(anchor)[keep], np.concatenate(hashes)[keep]
             if not len(hashes):
                 continue
-            hot = np.isin(anchor, np.array([x for s in split for x in s], np.int64).astype(np.uint64))
+            hot = np.isin(anchor, np.array([x for s in many_of for x in s], np.int64).astype(np.uint64))
             # documents are in order, so the first window of a kind is the earliest document's
             _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
             source = doc[first][kind]
@@ -346,8 +357,9 @@ def removals(
     rows = scanned.select("doc_id", "doc_key", F.explode(F.arrays_zip("places", "names")).alias("p")).select("doc_id", "doc_key", F.col("p.places").alias("place"), F.col("p.names").alias("name"))
     rows = written(rows.dropDuplicates(["doc_id", "doc_key", "place"]), "paragraphs")
     sharing = written(_sharing(scanned, MANY), "shared-anchors")
-    windows = max(8, int(texts.join(sharing.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // WINDOW_BYTES) + 1)
-    repeated = written(_passages(_windows(texts.join(sharing, "doc_id"), windows, passage, gram), windows, passage), "passages")
+    volume = scanned.select("doc_id", "doc_key", "n_bytes").join(sharing, ["doc_id", "doc_key"], "left_semi").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
+    windows = max(8, int(volume // WINDOW_BYTES) + 1)
+    repeated = written(_passages(_windows(_packed(texts).join(sharing, ["doc_id", "doc_key"]), windows, passage, gram), windows, passage), "passages")
     # the same paragraph may lie in a third of all documents; its first place stands for all
     names = written(rows.groupBy("name").agg(F.min(F.struct("doc_id", "doc_key", "place")).alias("p"), F.count("*").alias("k")), "names")
     met = written(_met_sets(texts, names.join(_colliding(scanned, bands), "name", "left_semi"), size, min_words, bands, rows_a_band), "colliding")
@@ -380,12 +392,20 @@ def dedup_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("n_lines int, n_paragraphs long, removed array<int>, passages array<int>, removed_words long, copies_of array<long>").fields])
 
     names = base.columns
+    pack_kind = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text_col else f for f in base.schema.fields])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = packed(as_bytes(b.column(text_col)))
+            texts = pa.array([t if ok else None for t, ok in zip(some, b.column(text_col).is_valid().to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if c == text_col else b.column(c) for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {c: [] for c in added}
             texts = []
-            for text, found in zip(b.column(text_col).to_pylist(), b.column("__found").to_pylist()):
+            for raw, found in zip(b.column(text_col).to_pylist(), b.column("__found").to_pylist()):
+                text = unpacked([raw])[0].decode() if raw is not None else None
                 key = np.uint64(xxhash.xxh3_64_intdigest((text or "").encode())).astype(np.int64)
                 own = next((f for f in found or () if f["__key"] == key), {"n_lines": 0, "n_paragraphs": 0, "removed": [], "passages": [], "copies_of": []})
                 left, n = cut_text(text, set(own["removed"]), own["passages"]) if own["removed"] or own["passages"] else (text, 0)
@@ -396,7 +416,8 @@ def dedup_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(out[c], t) for c, t in zip(added, kinds))], [*names, *added])
 
-    return base.join(by_id, base[id_col].cast("long") == by_id["__id"], "left").drop("__id").mapInArrow(run, schema)
+    short = base.mapInArrow(pack, pack_kind)
+    return short.join(by_id, short[id_col].cast("long") == by_id["__id"], "left").drop("__id").mapInArrow(run, schema)
 
 
 def digests(deduped: DataFrame) -> DataFrame:
