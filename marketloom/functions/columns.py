@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # --- numbers -----------------------------------------------------------------------------------------------------
@@ -79,9 +81,20 @@ def price_implausible(reference: Column, asking: Column) -> Column:
 # --- words -------------------------------------------------------------------------------------------------------
 
 
+def _compatible() -> tuple[str, str]:
+    """Characters beyond ASCII whose compatibility form is one ASCII character, and that character."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and b < "\x80"]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_WIDE, _PLAIN = _compatible()
+
+
 def city_key(raw: Column) -> Column:
-    """One key for the spellings of a city: province suffix off, Saint and Sainte folded, punctuation to blanks."""
-    s = F.lower(raw)
+    """One key for the spellings of a city: full-width and other compatibility letters to ASCII, province suffix off, Saint
+    and Sainte folded, punctuation to blanks. Compatibility forms of several letters (ligatures) are not taken apart."""
+    s = F.lower(F.translate(raw, _WIDE, _PLAIN))
     s = F.regexp_replace(s, r",\s*(ab|alta|alberta)\.?\s*$", "")
     s = F.regexp_replace(s, r"\b(sainte|ste)\b", "ste")
     s = F.regexp_replace(s, r"\b(saint|st)\b", "st")

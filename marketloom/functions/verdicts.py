@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketloom.functions.columns import half_up
 
 # Words by which a quote's lines are told apart.
-FEE_WORDS = r"\b(doc(ument(ation)?)?|registration|licen[sc]e|title|freight|pdi|destination|delivery|tire (levy|tax|fee|recycl)|environment|omvic|amvic|govern|filing|excise|luxury tax|green levy|gst|pst|hst|qst|sales tax)\b"
-ADDON_WORDS = r"\b(protection|paint|fabric|leather|etch|nitrogen|tint|wheel lock|appearance|rust ?proof|gap|theft|3m|ceramic|clear ?coat|accessor|admin|dealer prep|recon|road hazard|maintenance package)\b"
+FEE_WORDS = r"\b(doc(ument(ation)?)?|registration|licen[sc]e|title|freight|pdi|destination|delivery|a\/?c (levy|tax)|air ?conditioning|tire (levy|tax|fee|recycl)|environment|omvic|amvic|govern|filing|excise|luxury tax|green levy|gst|pst|hst|qst|sales tax)\b"
+ADDON_WORDS = r"\b(protection|paint|fabric|leather|etch|nitrogen|pulse|tint|z[ie]bart|gold shield|wheel lock|appearance|under(coat|body|carriage)|rust ?proof|\bgap\b|theft|lojack|3m|ceramic|clear ?coat|addendum|accessor|admin|dealer prep|prep (fee|charge)|recon(dition(ing)?)?|vin (etch|engrav)|key (replace|protect)|road hazard|maintenance package|fabric|scotchgard)\b"
 DISCOUNT_WORDS = r"\b(discount|rebate|savings|incentive|loyalty|conquest)\b"
 # A stated price is inflated beyond this share and this amount.
 INFLATED_SHARE, INFLATED_AMOUNT = 1.03, 800

@@ -60,15 +60,19 @@ def name_score(a: Column, b: Column) -> Column:
 
 
 def match_names(probe: DataFrame, registry: DataFrame, probe_id: str, probe_name: str, reg_id: str, reg_name: str, floor: float = 0.72) -> DataFrame:
-    """(probe_id, reg_id, score): the best registry entry that shares the probe's longest word; none on a tie.
+    """(probe_id, reg_id, score): the best registry entry with a score of at least `floor`; none on a tie.
 
-    Blocking on the longest word makes it an equi join; a word that half the registry has still only meets probes whose
-    longest word it is.
+    A score of `floor` needs at least a share floor - 0.15 of the probe's words. So of its words, rarest in the registry
+    first, so many that fewer than that are left must hold a shared one; only these are joined.
     """
-    longest = F.element_at(F.array_sort(F.transform(name_words(F.col(probe_name)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    p = probe.select(F.col(probe_id).alias("p"), name_words(F.col(probe_name)).alias("pw"), longest.alias("word")).where("word is not null")
-    r = registry.select(F.col(reg_id).alias("r"), name_words(F.col(reg_name)).alias("rw")).withColumn("word", F.explode("rw"))
-    scored = p.join(r, "word").select("p", "r", F.round(name_score(F.col("pw"), F.col("rw")), 6).alias("score")).where(F.col("score") >= floor)
+    words = registry.select(F.col(reg_id).alias("r"), name_words(F.col(reg_name)).alias("rw"))
+    uses = words.select(F.explode("rw").alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    p = probe.select(F.col(probe_id).alias("p"), name_words(F.col(probe_name)).alias("pw"))
+    ranked_words = p.select("p", "pw", F.explode("pw").alias("word")).join(uses, "word", "left").groupBy("p", "pw").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "word"))).alias("w"))
+    rare = (F.size("pw") - F.ceil((floor - 0.15) * F.size("pw") - 1e-9) + 1).cast("int")
+    heads = ranked_words.select("p", "pw", F.explode(F.slice("w", F.lit(1), rare)).alias("w")).select("p", "pw", "w.word")
+    pairs = heads.join(words.withColumn("word", F.explode("rw")), "word").drop("word").distinct()
+    scored = pairs.select("p", "r", F.round(name_score(F.col("pw"), F.col("rw")), 6).alias("score")).where(F.col("score") >= floor)
     w = Window.partitionBy("p").orderBy(F.desc("score"), "r")
     ranked = scored.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
     return ranked.where("k = 1 and (second is null or second < score)").select(F.col("p").alias(probe_id), F.col("r").alias(reg_id), "score")

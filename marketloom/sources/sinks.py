@@ -11,7 +11,8 @@ class Refused(RuntimeError):
 
 def swap(df: DataFrame, path: str, *, floor: int = 1, most_drop: float = 0.5) -> int:
     """Write beside the table, count, then take its place: fewer rows than `floor`, or a loss of more than `most_drop` of the
-    rows there are, leaves everything as it was. Returns the number of rows."""
+    rows there are, leaves everything as it was. The old table is put aside before the new one takes its place and goes last,
+    so one of them is there whatever happens in between. Returns the number of rows."""
     spark = df.sparkSession
     fs, old, new = _paths(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.staged")
@@ -20,9 +21,16 @@ def swap(df: DataFrame, path: str, *, floor: int = 1, most_drop: float = 0.5) ->
     if n < floor or n < before * (1 - most_drop):
         fs.delete(new, True)
         raise Refused(f"{n} rows would follow {before}")
-    fs.delete(old, True)
+    aside = old.suffix(".before")
+    if fs.exists(old):
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"{path} could not be put aside")
     if not fs.rename(new, old):
+        if fs.exists(aside):
+            fs.rename(aside, old)
         raise OSError(f"{path}.staged could not take the place of {path}")
+    fs.delete(aside, True)
     return n
 
 

@@ -158,3 +158,50 @@ def test_verdicts_on_odd_values(spark):
     assert [r["g"]["reason"] for r in gates] == ["unknown", "served", "other_province", "other_country"]
     empty = V.grade_summary(V.graded(spark.createDataFrame([], "id int, g string"), "id", "g")).first()
     assert tuple(empty) == (0, 0, 0, 0, None, None)
+
+
+def test_name_matches_against_brute_force(spark):
+    import random
+
+    from marketloom.operators.joins import match_names
+
+    rng = random.Random(4)
+    pool = ["alpha", "beta", "longword", "motors", "auto", "sales", "city", "ltd", "group", "north"]
+    entries = [(i, " ".join(rng.sample(pool, rng.randrange(1, 5)))) for i in range(40)] + [(90, "Alpha Beta"), (91, None)]
+    probes = [(i, " ".join(rng.sample(pool + ["extra", "other"], rng.randrange(1, 6)))) for i in range(60)] + [(100, "Alpha Beta Longword"), (101, ""), (102, None)]
+
+    def words(x):
+        return set((x or "").lower().split())
+
+    exp = {}
+    for i, p in probes:
+        found = []
+        for j, r in entries:
+            a, b = words(p), words(r)
+            s = len(a & b)
+            score = min(1.0, s / max(len(a), len(b), 1) + (0.15 if s and s == min(len(a), len(b)) else 0))
+            if round(score, 6) >= 0.72:
+                found.append((-round(score, 6), j))
+        found.sort()
+        if found and (len(found) == 1 or found[1][0] > found[0][0]):
+            exp[i] = (found[0][1], -found[0][0])
+    got = match_names(spark.createDataFrame(probes, "p long, name string"), spark.createDataFrame(entries, "r long, title string"), "p", "name", "r", "title")
+    assert {x["p"]: (x["r"], x["score"]) for x in got.collect()} == exp and exp
+
+
+def test_city_key_folds_compatibility_letters(spark):
+    from pyspark.sql import functions as F
+
+    from marketloom.functions.columns import city_key
+
+    df = spark.createDataFrame([("Ｌｅｄｕｃ, AB",), ("Leduc",), ("Saint Albert",), ("St. Albert",)], "c string")
+    assert [r[0] for r in df.select(city_key(F.col("c"))).collect()] == ["leduc", "leduc", "st albert", "st albert"]
+
+
+def test_fees_and_addons(spark):
+    from pyspark.sql import functions as F
+
+    from marketloom.functions.verdicts import ADDON_WORDS, FEE_WORDS
+
+    df = spark.createDataFrame([("a/c levy",), ("air conditioning",), ("undercoat",), ("lojack",), ("addendum",)], "c string")
+    assert [tuple(r) for r in df.select(F.col("c").rlike(FEE_WORDS), F.col("c").rlike(ADDON_WORDS)).collect()] == [(True, False)] * 2 + [(False, True)] * 3
