@@ -161,12 +161,26 @@ def device_class(agent: Column) -> Column:
     return F.when(a.rlike("ipad|tablet"), "tablet").when(a.rlike("mobi|iphone|android"), "mobile").otherwise("desktop")
 
 
+def _fnv1a(codes: Column) -> Column:
+    step = lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32))
+    return F.lpad(F.lower(F.hex(F.aggregate(codes, F.lit(2166136261).cast("long"), step))), 8, "0")
+
+
+def _units(text: Column, charset: str, digits: int) -> Column:
+    """Code units of a text as whole numbers."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, charset)), F.lit(f"(.{{{digits}}})"), F.lit(1)), lambda unit: F.conv(unit, 16, 10).cast("long"))
+
+
 def fnv1a_32(text: Column) -> Column:
     """FNV-1a over the UTF-8 bytes, as eight hex digits."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(F.encode(text, "utf-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    step = lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32))
-    value = F.aggregate(codes, F.lit(2166136261).cast("long"), step)
-    return F.when(F.octet_length(text) == 0, F.lit("811c9dc5")).otherwise(F.lpad(F.lower(F.hex(value)), 8, "0"))
+    return _fnv1a(_units(text, "utf-8", 2))
+
+
+def dealer_id(name: Column, city: Column) -> Column:
+    """A dealer's opaque id: FNV-1a over the UTF-16 units of "name|city" in lower case, "unknown" without either."""
+    tidy = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^\s+|\s+$", "")
+    key = F.concat(tidy(name), F.lit("|"), tidy(city))
+    return F.when(key == "|", "unknown").otherwise(F.concat(F.lit("d_"), _fnv1a(_units(key, "utf-16be", 4))))
 
 
 # --- vehicle identification numbers ------------------------------------------------------------------------------

@@ -53,8 +53,10 @@ def mailboxes(spark, sf_dir):
 
 
 def dealer_ids(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", F.concat(F.lit("d_"), C.fnv1a_32(F.lower("s_name"))).alias("dealer"), F.sha2("s_name", 256).alias("hash"))
+    """Opaque ids of suppliers by name and nation; some have spaces around, some neither name nor nation."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    name = F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("  "), "s_name"))
+    return s.select("s_suppkey", C.dealer_id(name, F.when(F.col("s_suppkey") % 10 > 0, F.col("n_name"))).alias("dealer"), F.sha2("s_name", 256).alias("hash"))
 
 
 def city_spellings(spark, sf_dir):
@@ -132,6 +134,8 @@ QUERIES = {
 }
 LABELS = " ".join(f"WHEN regexp_matches(s, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for p, n in C.FEE_LABELS)
 ORACLE = {
+    "dealer_ids": """WITH k AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 > 0 THEN lower(trim(s_name)) ELSE '' END || '|' || CASE WHEN s_suppkey % 10 > 0 THEN lower(trim(coalesce(n_name, ''))) ELSE '' END AS k FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)
+        SELECT s_suppkey, CASE WHEN k = '|' THEN 'unknown' ELSE 'd_' || printf('%08x', CAST(list_reduce([2166136261::BIGINT] || list_transform(string_split(k, ''), lambda x: unicode(x)::BIGINT), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS BIGINT)) END AS dealer, sha256(s_name) AS hash FROM k""",
     "financing_grid": """SELECT p_partkey, months, down, floor(100 * (CASE WHEN apr = 0 THEN principal / months ELSE principal * (apr / 1200.0::DOUBLE) * pow(1 + apr / 1200.0::DOUBLE, months) / (pow(1 + apr / 1200.0::DOUBLE, months) - 1) END) + 0.5) / 100 AS monthly FROM (
         SELECT p_partkey, months, down, p_retailprice * (1 - down) AS principal, CAST(p_size % 12 AS DOUBLE) AS apr FROM part, (VALUES (36), (48), (60), (72), (84), (96)) t(months), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) d(down))""",
     "rate_tiers": "SELECT CASE WHEN t <= 4.99 THEN 'low' WHEN t <= 7.99 THEN 'middle' ELSE 'high' END AS tier, count(*) AS n, min(l_tax) AS lo, max(l_tax) AS hi FROM (SELECT *, round(l_tax * 100, 2) AS t FROM lineitem) GROUP BY 1",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marketloom.plans import changes, facts, market, records, streams, verdicts
+from marketloom.plans import changes, claims, facts, market, records, streams, verdicts
 
 FLAGSHIP = "province_market_read"
-MODULES = (market, facts, changes, records, streams, verdicts)
+MODULES = (market, facts, changes, records, streams, verdicts, claims)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
