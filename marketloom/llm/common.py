@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Upper-case ASCII to lower case, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,6 +62,40 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame
     return rows.join(hot, key).unionByName(rest)
 
 
+#: Facts of at most so many rows are broadcast by beside() and indexed(); more go another way.
+BROADCAST_ROWS = 20_000
+
+
+def same(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> Column:
+    """Equality of the named columns of both sides, a null being a value like others."""
+    return F.lit(True) if not (on := [left[k].eqNullSafe(right[k]) for k in keys]) else on[0] if len(on) == 1 else on[0] & same(left, right, list(keys)[1:])
+
+
+def indexed(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with `tree`, a number of the row's group that ascends with the group; `place`, from 0 in the group by `order`; and
+    `rows`, how many the group has. Nulls come first; rows alike in all these columns get places in any order.
+
+    No group is sorted in one task: rows are dealt out by ranges, counted a range and group, and the counts before a range
+    are added to the place within it. df is read twice, as ranges are sampled first: hand in a written table.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("range", F.shiftright("at", 33))
+    # a row for each range and group: at most as many as there are ranges and groups together
+    runs = rows.groupBy("range", *group).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    whole = Window.partitionBy(*(group or [F.lit(1)]))
+    before = F.coalesce(F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    facts = written(runs.select("range", *group, "first", before.alias("before"), F.min("first").over(whole).alias("tree"), F.sum("n").over(whole).alias("rows")), f"{name}-ranges")
+    side = F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts
+    both = rows.join(side, same(rows, facts, ["range", *group]))
+    return both.select(*[rows[c] for c in df.columns], "tree", (F.col("at") - F.col("first") + F.col("before")).alias("place"), "rows")
+
+
+def beside(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """joined(), where few facts are broadcast as they are. `facts` is a written table."""
+    return rows.join(F.broadcast(facts.drop("k")), key) if facts.count() <= BROADCAST_ROWS else joined(rows, facts, key, total).drop("k")
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()

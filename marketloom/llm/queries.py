@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from marketloom.llm import chat, compression, fm_index, longest_factor, mixing, paragraphs, prefix_tree, scoring, simhash, wrapper
+from marketloom.llm import (
+    chat, compression, fm_index, longest_factor, merkle, mixing, paragraphs, prefix_tree, ranking, scoring, sharding, simhash, wrapper,
+)
 from marketloom.llm.common import documents
 
 
@@ -56,6 +58,18 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_documents(documents(spark, sf_dir))
+
+
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+def op13_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_lattice_scores": op1_lattice_scores,
@@ -68,5 +82,17 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_masks": op9_chat_masks,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_jump_shards": op12_jump_shards,
+    "op13_threshold_search": op13_threshold_search,
+}
+ORACLE = {
+    "op4_fm_decontamination": fm_index.SQL,
+    "op6_suffix_dedup": longest_factor.SQL,
+    "op7_prefix_tree_join": prefix_tree.SQL,
+    "op8_source_mixing": mixing.SQL,
+    "op9_chat_masks": chat.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_jump_shards": sharding.SQL,
+    "op13_threshold_search": ranking.SQL,
 }
-ORACLE = {"op6_suffix_dedup": longest_factor.SQL, "op7_prefix_tree_join": prefix_tree.SQL, "op4_fm_decontamination": fm_index.SQL, "op8_source_mixing": mixing.SQL, "op9_chat_masks": chat.SQL}
