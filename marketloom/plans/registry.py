@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marketloom.plans import catalogs, changes, claims, facts, market, page_feeds, records, streams, verdicts
+from marketloom.plans import catalogs, changes, claims, facts, market, page_feeds, records, streams, upkeep, verdicts
 
 FLAGSHIP = "province_market_read"
-MODULES = (market, facts, changes, records, streams, verdicts, claims, catalogs, page_feeds)
+MODULES = (market, facts, changes, records, streams, verdicts, claims, catalogs, page_feeds, upkeep)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
