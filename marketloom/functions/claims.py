@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketloom.functions.columns import half_up
+from marketloom.functions.texts import BLANK
 
 # Names of a document fee, and what each province or state allows: all-in prices, a cap, or a norm.
 DOC_FEE = r"\b(documentation|doc(\s|-)?fee|admin(istration)?|dealer fee)\b"
@@ -22,8 +23,10 @@ TRADE_WIDGETS = [
     (r"value your trade|trade-?in value|what'?s my (car|vehicle|trade) worth|appraise my (car|vehicle|trade)", None),
 ]
 
+# How a rate is written, how a range of rates is, and what of a page is no text.
 RATE = r"(?:0|0\.\d{1,2}|[1-9]\d?(?:\.\d{1,2})?)"
-SPAN, BETWEEN = r"\d{1,2}(?:\.\d{1,2})?\s*%", r"\s*(?:to|-|–|—)\s*"
+RANGE = r"(\d{1,2}(?:\.\d{1,2})?\s*)%(\s*(?:to|-|–|—)\s*\d{1,2}(?:\.\d{1,2})?\s*)%"
+NO_TEXT = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]*>", "&nbsp;", rf"{BLANK}+")
 #: A rate with up to 70 characters before it (group 1 near the start of the text, else 2) and after its start (group 3).
 RATE_SEEN = rf"(?s)\b(?={RATE}\s*%)(?:(?<=^(.{{0,69}}))|(?<=(.{{70}})))(?=(.{{0,70}}))({RATE})\s*%"
 
@@ -91,19 +94,17 @@ def doc_fees(lines: DataFrame, quote_id: str, name: str, price: str) -> DataFram
 
 
 def advertised_rate(page: Column) -> Column:
-    """The lowest rate of at most 30 % that a page ties to financing; null without one. Both ends of a range are left out."""
+    """The lowest rate of at most 30 % that a page ties to financing; null without one. Both ends of a range are left out: ranges are found
+    from the start of the text on, so of three rates in a row the third stands alone."""
     text = page
-    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]*>", "&nbsp;", r"\s+"):
+    for pattern in NO_TEXT:
         text = F.regexp_replace(text, pattern, " ")
+    # another sign for the per cent of a range: no text moves, and no rate is seen there
+    text = F.regexp_replace(text, f"(?i){RANGE}", "$1\u066a$2\u066a")
     group = lambda i: F.regexp_extract_all(text, F.lit(RATE_SEEN), F.lit(i))
-    around = F.zip_with(F.zip_with(group(1), group(2), lambda near, far: F.concat(near, far)), group(3), lambda b, a: F.struct(b.alias("before"), a.alias("after")))
-    seen = F.zip_with(group(4), around, lambda n, w: F.struct(n.cast("double").alias("rate"), w["before"].alias("before"), w["after"].alias("after")))
-
-    def told(s: Column) -> Column:
-        words = F.concat(s["before"], s["after"])
-        in_range = s["after"].rlike(f"(?i)^{SPAN}{BETWEEN}{SPAN}") | s["before"].rlike(f"(?i){SPAN}{BETWEEN}$")
-        return (s["rate"] <= 30) & words.rlike(FINANCE_WORDS) & ~words.rlike(OTHER_RATE_WORDS) & ~in_range
-
+    around = F.zip_with(F.zip_with(group(1), group(2), lambda near, far: F.concat(near, far)), group(3), lambda before, after: F.concat(before, after))
+    seen = F.zip_with(group(4), around, lambda n, w: F.struct(n.cast("double").alias("rate"), w.alias("words")))
+    told = lambda s: (s["rate"] <= 30) & s["words"].rlike(FINANCE_WORDS) & ~s["words"].rlike(OTHER_RATE_WORDS)
     return F.array_min(F.transform(F.filter(seen, told), lambda s: s["rate"]))
 
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Cells to a factor of e. A group's rows in one cell are put in order by one task, its cells' totals by one.
+CELLS = 20_000
+_AWAY = 10**9
 
 
 def _same(a: list[str], b: list[str]):
@@ -15,27 +19,34 @@ def _same(a: list[str], b: list[str]):
     return out
 
 
-def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], cells: int = 32) -> DataFrame:
+def cell_of(value: Column, cells: int = CELLS) -> Column:
+    """A whole number that never falls as the value rises: the place of its magnitude on a logarithmic scale, with its sign. What is not a
+    number comes last, as in Spark's order."""
+    x = value.cast("double")
+    place = F.floor(F.ln(F.abs(x)) * cells) + _AWAY
+    finite = F.when(x == 0, 0).when(x > 0, place).otherwise(-place)
+    return F.when(F.isnan(x), 4 * _AWAY).when(x == float("inf"), 3 * _AWAY).when(x == float("-inf"), -3 * _AWAY).otherwise(finite).cast("long")
+
+
+def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], cells: int = CELLS) -> DataFrame:
     """For each group the observed values at places floor((n - 1) * p + 0.5), one column a point; nulls are left out.
 
-    Values are counted per group first. A group's values are then cut into cells by rough quantiles; the cells' totals
-    say which cell holds a place, and only such cells are put in order, each on its own. So no task sorts a large group,
-    and the result doesn't depend on how rough the quantiles are.
+    Equal values of a group are counted first. The totals of its cells say which cell holds a place, and only such cells are put in order,
+    each on its own, so that no task sorts a large group. Cells depend on the value alone, so they take no pass over the rows.
     """
     keys = list(keys)
     others = [f"__{k}" for k in keys]
-    away = dict(zip(keys, others))
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    bounds = counted.groupBy(*keys).agg(F.percentile_approx("__v", [i / cells for i in range(1, cells)]).alias("__b"), F.sum("__n").alias("__all")).withColumnsRenamed(away)
-    placed = counted.join(bounds, _same(keys, others)).select(*keys, "__v", "__n", "__all", F.size(F.filter("__b", lambda b: b < F.col("__v"))).alias("__cell"))
-    ahead = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__m"), F.first("__all").alias("__all")).withColumn("__before", F.coalesce(F.sum("__m").over(ahead), F.lit(0)))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n")).withColumn("__cell", cell_of(F.col("__v"), cells))
+    whole = Window.partitionBy(*keys)
+    ahead = whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__m"))
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__m").over(ahead), F.lit(0))).withColumn("__all", F.sum("__m").over(whole))
     asked = F.arrays_zip(F.lit(list(points)).alias("name"), F.lit([float(p) for p in points.values()]).alias("p"))
     places = F.transform(asked, lambda x: F.struct(x["name"].alias("name"), F.floor((F.col("__all") - 1) * x["p"] + 0.5).alias("at")))
     inside = F.filter(places, lambda x: (x["at"] >= F.col("__before")) & (x["at"] < F.col("__before") + F.col("__m")))
-    wanted = totals.withColumn("__p", inside).where(F.size("__p") > 0).select(*keys, F.col("__cell").alias("__in"), "__before", "__p").withColumnsRenamed(away)
+    wanted = totals.withColumn("__p", inside).where(F.size("__p") > 0).select(*keys, F.col("__cell").alias("__in"), "__before", "__p").withColumnsRenamed(dict(zip(keys, others)))
     run = Window.partitionBy(*keys, "__cell").orderBy("__v")
-    ordered = placed.join(wanted, _same([*keys, "__cell"], [*others, "__in"])).withColumn("__to", F.col("__before") + F.sum("__n").over(run))
+    ordered = counted.join(wanted, _same([*keys, "__cell"], [*others, "__in"])).withColumn("__to", F.col("__before") + F.sum("__n").over(run))
     hit = F.filter("__p", lambda x: (x["at"] >= F.col("__to") - F.col("__n")) & (x["at"] < F.col("__to")))
     found = ordered.select(*keys, "__v", hit.alias("__hit")).where(F.size("__hit") > 0).select(*keys, "__v", F.explode("__hit.name").alias("__name"))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in points])

@@ -9,10 +9,17 @@ from marketloom.session import table
 
 LINES = ["Documentation", "Freight", "Doc-Fee", "Administration", "Dealer fee", "Docfees", "Paint"]
 PLACES = ["Calgary, AB", "Austin, texas", "Miami, FL ", "Québec", "Boise, ID", "Ontario", ""]
-PAGES = [
-    "<p>Finance from 4.99% APR</p>", "Lease at 1.99%, O.A.C.", "<style>a{width:9%}</style>financing at 6.5 %, or 3.25% O.A.C.", "Rates from 3.99% to 9.99% APR", "0% down payment", "purchase&nbsp;financing 0%",
+#: What is added to the pages of the test tables, one of these a page; RATE stands for a rate of the page's own, NB for a no-break space.
+OFFERS = [
+    "<p>Finance from RATE% APR for 60 months</p>", "Lease at RATE%, O.A.C.", "<style>a{width:9%}</style>financing at 6.5NB%, or RATE% O.A.C.",
+    "Purchase rates from RATE%NB–NB9.99% APR", "0% down payment, RATE% APR", "purchase&nbsp;financing RATE%", "1% - 2% - RATE% APR", "Rebate of RATE%",
+    "APR RATE% with a lot of words after it until the other one is told, which is for the lease 0.5% alone. Financing 44% and 00% APR", "",
 ]
-WIDGETS = ["Get an AccuTrade offer", "SnapOffer", "Kelley Blue Book. Trade now", "Canadian Black Book value", "What's my car worth?"]
+WIDGETS = [
+    "Get an <b>AccuTrade</b> offer", "SnapOffer", "Kelley Blue Book. Trade now", "kelley blue book: your trade", "Canadian BlackBook value", "Canadian Black Book. No value",
+    "What's my car worth?", "Value Your Trade", "trade",
+]
+RATE_TEXT = "concat(CAST(page_id % 13 AS VARCHAR(9)), CASE WHEN page_id % 3 = 0 THEN '.49' WHEN page_id % 3 = 1 THEN '.9' ELSE '' END)"
 
 
 def _one_of(values, index):
@@ -38,15 +45,24 @@ def doc_fee_claims(spark, sf_dir):
     return claims.where("c is not null").select("o_orderkey", "doc_fee", "c.region", "c.kind", "c.benchmark", "c.over_by")
 
 
+def _said(values: list[str], index: str) -> str:
+    """SQL, for Spark and the twin alike, for one of the values by a number."""
+    spelt = lambda v: "'" + v.replace("'", "’").replace("NB", "\u00a0") + "'"
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN {spelt(v)}" for i, v in enumerate(values)) + " END"
+
+
+OFFERED = f"concat(html, '<br>', replace({_said(OFFERS, f'page_id % {len(OFFERS)}')}, 'RATE', {RATE_TEXT}))"
+MARKED = f"concat(html, '<br>', {_said(WIDGETS, f'page_id % {len(WIDGETS) + 1}')})"
+
+
 def advertised_rates(spark, sf_dir):
-    page = _one_of(PAGES, F.pmod("o_custkey", F.lit(len(PAGES))))
-    return table(spark, sf_dir, "orders").select("o_orderkey", K.advertised_rate(page).alias("rate"))
+    """The rate that each page advertises."""
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(OFFERED).alias("page")).select("page_id", K.advertised_rate(F.col("page")).alias("rate"))
 
 
 def trade_widgets(spark, sf_dir):
-    text = _one_of([*WIDGETS, "none"], F.pmod("p_size", F.lit(len(WIDGETS) + 1)))
-    found = table(spark, sf_dir, "part").select("p_partkey", K.trade_widget(text).alias("w"))
-    return found.select("p_partkey", F.col("w").isNotNull().alias("detected"), F.col("w.vendor").alias("vendor"))
+    found = table(spark, sf_dir, "pages").select("page_id", F.expr(MARKED).alias("page")).select("page_id", K.trade_widget(F.col("page")).alias("w"))
+    return found.select("page_id", F.col("w").isNotNull().alias("detected"), F.col("w.vendor").alias("vendor"))
 
 
 QUERIES = {f.__name__: f for f in (msrp_claims, doc_fee_claims, advertised_rates, trade_widgets)}
@@ -64,6 +80,16 @@ ORACLE = {
         SELECT o_orderkey, fee AS doc_fee, region, CASE WHEN region = 'TX' THEN CASE WHEN fee > 225 THEN 'over_cap' ELSE 'within_cap' END WHEN region = 'FL' THEN 'over_norm' ELSE 'allin' END AS kind,
                CASE region WHEN 'TX' THEN 225 WHEN 'FL' THEN 999 END AS benchmark, CASE WHEN region IN ('TX', 'FL') THEN CAST(floor(greatest(0, fee - CASE region WHEN 'TX' THEN 225 ELSE 999 END) + 0.5) AS BIGINT) END AS over_by
         FROM o WHERE region IS NOT NULL AND (region <> 'FL' OR fee >= 999)""",
-    "advertised_rates": "SELECT o_orderkey, CASE o_custkey % 6 WHEN 0 THEN 4.99::DOUBLE WHEN 2 THEN 3.25::DOUBLE WHEN 5 THEN 0::DOUBLE END AS rate FROM orders",
-    "trade_widgets": "SELECT p_partkey, p_size % 6 NOT IN (2, 5) AS detected, CASE p_size % 6 WHEN 0 THEN 'AccuTrade' WHEN 1 THEN 'TradePending' WHEN 3 THEN 'Canadian Black Book' END AS vendor FROM part",
+    "advertised_rates": f"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({OFFERED}, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'),
+    '(&nbsp;|[\\s\\x{{a0}}])+', ' ', 'g') AS t FROM pages),
+r AS (SELECT page_id, regexp_replace(t, '([0-9]{{1,2}}([.][0-9]{{1,2}})? ?)%( ?(to|-|–|—) ?[0-9]{{1,2}}([.][0-9]{{1,2}})? ?)%', '\\1٪\\3٪', 'gi') AS t FROM c),
+p AS (SELECT page_id, string_split(regexp_replace(t, '\\b((0|0[.][0-9]{{1,2}}|[1-9][0-9]?([.][0-9]{{1,2}})?) ?%)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM r),
+w AS (SELECT page_id, CAST(regexp_extract(p[i + 1], '^[0-9.]+') AS DOUBLE) AS rate, right(array_to_string(p[:i], ''), 70) || left(array_to_string(p[i + 1:], ''), 70) AS words FROM p, LATERAL (SELECT unnest(range(1, len(p))) AS i)),
+g AS (SELECT page_id, min(rate) AS rate FROM w WHERE rate <= 30 AND regexp_matches(words, 'financ|apr|annual\\s+percentage\\s+rate|o[.]?a[.]?c', 'i')
+  AND NOT regexp_matches(words, 'lease|leasing|cash\\s*back|line\\s+of\\s+credit|credit\\s+card|deposit|down\\s*payment|trade|insurance|gst|tax', 'i') GROUP BY page_id)
+SELECT page_id, rate FROM pages LEFT JOIN g USING (page_id)""",
+    "trade_widgets": f"""WITH m AS (SELECT page_id, lower({MARKED}) AS t FROM pages), v AS (SELECT page_id, CASE WHEN regexp_matches(t, 'accu-?trade') THEN 1 WHEN regexp_matches(t, 'trade-?pending|snap.?offer') THEN 2
+    WHEN t LIKE '%instant cash offer%' OR regexp_matches(t, 'kelley blue book[^.]{{0,40}}trade') THEN 3 WHEN regexp_matches(t, 'canadian ?black ?book[^.]{{0,40}}(trade|value)') THEN 4
+    WHEN regexp_matches(t, 'value your trade|trade-?in value|what''?s my (car|vehicle|trade) worth|appraise my (car|vehicle|trade)') THEN 5 END AS v FROM m)
+SELECT page_id, v IS NOT NULL AS detected, CASE v WHEN 1 THEN 'AccuTrade' WHEN 2 THEN 'TradePending' WHEN 3 THEN 'Kelley Blue Book Instant Cash Offer' WHEN 4 THEN 'Canadian Black Book' END AS vendor FROM v""",
 }

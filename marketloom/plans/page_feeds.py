@@ -56,9 +56,49 @@ def card_inventory(spark, sf_dir) -> DataFrame:
     return pages_feeds.card_vehicles(pages)
 
 
-QUERIES = {f.__name__: f for f in (inline_inventory, card_inventory)}
+def _entry(k: str) -> str:
+    """An entry of page and place K: two offers, one without a name, or none; the total stated, left to be summed, or unreadable."""
+    text = lambda x: f"CAST({x} AS VARCHAR(20))"
+    total = f"""CASE {k} % 3 WHEN 0 THEN concat('"totalAmount":"$', {text(f'{k} % 4 + 1')}, ',062.50",') WHEN 1 THEN '' ELSE '"totalAmount":"n/a",' END"""
+    rebate = f"""concat('{{"name":" Federal Rebate (if eligible) ","cash_value":"', {text(f'{k} * 7 % 5000')}, '","payee":"CUSTOMER","expiryDate":"2026-08-31"}}')"""
+    allowance = """'{"name":"Delivery ] Allowance","cash_value":2300,"payee":"dealer"}'"""
+    offers = f"""CASE {k} % 4 WHEN 0 THEN concat({rebate}, ',', {allowance}) WHEN 1 THEN {rebate} WHEN 2 THEN '{{"name":" ","cash_value":"$9"}}' ELSE '' END"""
+    return f"""concat('{{"amount":', {text(f'{k} * 100')}, ',', {total}, '"stackable_offers":[', {offers}, ']}}')"""
+
+
+def _incentives() -> str:
+    """A block of two entries, on every third page a second block, on every fifth one cut off."""
+    block = lambda a, b: f"""concat('<script>x = {{"cash_incentives": [', {_entry(a)}, ',', {_entry(b)}, ']}};</script>')"""
+    cut = """'<script>x = {"cash_incentives": [{"amount":1'"""
+    return f"concat(html, {block('page_id', '(page_id + 1)')}, CASE WHEN page_id % 3 = 0 THEN {block('(page_id + 2)', '(page_id + 4)')} ELSE '' END, CASE WHEN page_id % 5 = 0 THEN {cut} ELSE '' END)"
+
+
+def _with_incentives(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(_incentives()).alias("html"))
+
+
+def page_incentives(spark, sf_dir) -> DataFrame:
+    found = pages_feeds.cash_incentives(_with_incentives(spark, sf_dir), "page_id")
+    return found.select("page_id", "price_after", "total", F.size("offers").alias("offers"))
+
+
+def incentive_lines(spark, sf_dir) -> DataFrame:
+    return pages_feeds.incentive_lines(pages_feeds.cash_incentives(_with_incentives(spark, sf_dir), "page_id"), "page_id")
+
+
+QUERIES = {f.__name__: f for f in (inline_inventory, card_inventory, page_incentives, incentive_lines)}
 STRIPPED = "regexp_replace(regexp_replace(card, '<script.*?</script>', ' ', 'gs'), '<[^>]+>', ' ', 'g')"
+SETS = f"""b AS (SELECT page_id, generate_subscripts(blocks, 1) AS bi, unnest(blocks) AS block FROM (SELECT page_id, regexp_extract_all({_incentives()}, '"cash_incentives": (\\[.*?\\])\\}};</script>', 1) AS blocks FROM pages)),
+e AS (SELECT page_id, bi, generate_subscripts(es, 1) AS ei, unnest(es) AS e FROM (SELECT page_id, bi, json_extract(block, '$[*]') AS es FROM b)),
+o AS (SELECT page_id, bi, ei, e, generate_subscripts(os, 1) AS oi, unnest(os) AS o FROM (SELECT *, json_extract(e, '$.stackable_offers[*]') AS os FROM e)),
+n AS (SELECT page_id, bi, ei, oi, CAST(e->>'amount' AS DOUBLE) AS amount, e->>'totalAmount' AS stated, trim(o->>'name') AS name, CAST(nullif(o->>'cash_value', '0') AS DOUBLE) AS value, o->>'payee' AS payee, o->>'expiryDate' AS expiry
+  FROM o WHERE trim(o->>'name') <> ''),
+s AS (SELECT page_id, bi, ei, max(amount) AS amount, count(*) AS offers, coalesce(CAST(replace(replace(nullif(max(stated), 'n/a'), '$', ''), ',', '') AS DOUBLE), sum(value)) AS total FROM n GROUP BY ALL),
+best AS (SELECT * FROM s WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY offers DESC, total DESC, bi, ei) = 1)"""
 ORACLE = {
+    "page_incentives": f"WITH {SETS} SELECT page_id, nullif(amount, 0) AS price_after, total, CAST(offers AS INT) AS offers FROM best",
+    "incentive_lines": f"""WITH {SETS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY oi) - 1 AS INT) AS place, name, -value AS price, name LIKE '%eligible%' AS conditional, upper(payee) = 'DEALER' AS to_dealer,
+  CASE WHEN name LIKE '%eligible%' OR upper(payee) = 'DEALER' THEN 'watch' ELSE 'good' END AS verdict, expiry FROM best JOIN n USING (page_id, bi, ei)""",
     "inline_inventory": f"""WITH p AS (SELECT page_id, {_script()} AS html FROM pages),
 o AS (SELECT page_id, unnest(json_extract(regexp_extract(html, 'vehicleArray = (\\{{.*\\}});\\nvar after', 1, 's'), '$.*')) AS v FROM p WHERE regexp_matches(html, 'vehicleArray = (\\{{.*\\}});\\nvar after', 's')),
 f AS (SELECT *, v->>'vin' AS vin, translate(v->>'vin', '{C.VIN_FROM}', '{C.VIN_TO}') AS c, CAST(v->>'OriginalPrice' AS DOUBLE) AS price FROM o)

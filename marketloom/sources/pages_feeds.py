@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,7 +22,12 @@ def balanced(text: str | None, marker: str) -> str | None:
     at = -1 if text is None else text.find(marker)
     if at < 0:
         return None
-    start, open_ = at + len(marker) - 1, []
+    return _closed(text, at + len(marker) - 1)
+
+
+def _closed(text: str, start: int) -> str | None:
+    """The object or list whose opening bracket is at `start`."""
+    open_: list[str] = []
     for token in _TOKEN.finditer(text, start):
         found = token.group()
         if found in _CLOSES:
@@ -33,6 +40,14 @@ def balanced(text: str | None, marker: str) -> str | None:
     return None
 
 
+def after_key(text: str | None, key: str) -> Iterator[str]:
+    """The objects and lists that follow `"key":` anywhere in a text, one by one; what never closes is left out."""
+    for found in re.finditer(rf'"{re.escape(key)}"\s*:\s*(?=[{{\[])', text or ""):
+        whole = _closed(text, found.end())
+        if whole is not None:
+            yield whole
+
+
 def assigned_object(html: Column, marker: str) -> Column:
     """balanced() as a column; the marker ends with the opening bracket. Pages without it never leave the JVM's side."""
     if not marker or marker[-1] not in _CLOSES:
@@ -124,3 +139,66 @@ def card_vehicles(pages: DataFrame, html: str = "html") -> DataFrame:
         F.nullif(F.trim(F.regexp_replace(dealer, rf"(?i)^.*(?:{'|'.join(TABS)})\s*", "")), F.lit("")).alias("dealer"),
         F.trim(_found(F.col("text"), where, 2)).alias("city"), "url",
     )
+
+
+#: Where the platform's pages keep cash incentives and what an entry holds; all values as text.
+INCENTIVES = "cash_incentives"
+OFFER = "name:string,cash_value:string,payee:string,expiryDate:string"
+ENTRY = f"struct<amount:string,totalAmount:string,stackable_offers:array<struct<{OFFER}>>>"
+#: Fixed value: words that make an offer depend on who buys.
+CONDITION = r"(?i)eligible|potential|qualif"
+
+
+def incentive_entries(text: str | None) -> list[str]:
+    """The entries of a page's incentive blocks that are objects with a list of offers, as JSON; other shapes are passed over."""
+    out = []
+    for block in after_key(text, INCENTIVES):
+        try:
+            entries = json.loads(block)
+        except ValueError:
+            continue
+        for entry in entries if isinstance(entries, list) else []:
+            offers = entry.get("stackable_offers") if isinstance(entry, dict) else None
+            if isinstance(offers, list):
+                out.append(json.dumps({**entry, "stackable_offers": [o for o in offers if isinstance(o, dict)]}))
+    return out
+
+
+def money(text: Column) -> Column:
+    """A positive amount, written with or without a dollar sign and commas; null for anything else."""
+    bare = F.regexp_replace(text, r"(?U)[$,\s]", "")
+    amount = F.when(bare.rlike(r"^[0-9]+(\.[0-9]+)?$"), bare.cast("double"))
+    return F.when(amount > 0, amount)
+
+
+def cash_incentives(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, price_after, total, offers): the richest set of stacked offers that a page states, pages without one have no row.
+
+    A page repeats its block for each way to pay. Of the sets with a total, stated or else summed up, the one with the most named offers
+    counts, then the largest total, then the first. A block that doesn't close or isn't JSON is no set; an offer without a name is none.
+    """
+    scan = F.pandas_udf(lambda texts: pd.Series([incentive_entries(t) for t in texts], dtype=object), "array<string>")
+    found = scan(F.when(F.contains(F.col(html), F.lit(f'"{INCENTIVES}"')), F.col(html)))
+    rows = pages.select(key, F.posexplode(found).alias("at", "entry")).select(key, "at", F.from_json("entry", ENTRY).alias("e"))
+    offer = lambda o: F.struct(
+        F.trim(o["name"]).alias("name"), money(o["cash_value"]).alias("value"), F.nullif(F.trim(o["payee"]), F.lit("")).alias("payee"),
+        F.nullif(F.trim(o["expiryDate"]), F.lit("")).alias("expiry"),
+    )
+    offers = F.filter(F.transform("e.stackable_offers", offer), lambda o: F.coalesce(o["name"] != "", F.lit(False)))
+    rows = rows.select(key, "at", money(F.col("e.amount")).alias("price_after"), F.col("e.totalAmount").alias("stated"), offers.alias("offers")).where(F.size("offers") > 0)
+    summed = F.aggregate("offers", F.lit(0.0), lambda t, o: t + F.coalesce(o["value"], F.lit(0.0)))
+    rows = rows.withColumn("total", F.coalesce(money(F.col("stated")), summed)).where("total > 0")
+    best = rows.groupBy(key).agg(F.max_by(F.struct("price_after", "total", "offers"), F.struct(F.size("offers"), F.col("total"), -F.col("at"))).alias("b"))
+    return best.select(key, "b.*")
+
+
+def incentive_lines(incentives: DataFrame, key: str) -> DataFrame:
+    """(key, place, name, price, conditional, to_dealer, verdict, expiry): each offer as a discount line. `watch` where the money goes to
+    the dealer or depends on who buys, else `good`."""
+    rows = incentives.select(key, F.posexplode("offers").alias("place", "o"))
+    conditional = F.col("o.name").rlike(CONDITION)
+    to_dealer = F.coalesce(F.upper("o.payee") == "DEALER", F.lit(False))
+    return rows.select(
+        key, "place", F.col("o.name").alias("name"), (-F.col("o.value")).alias("price"), conditional.alias("conditional"), to_dealer.alias("to_dealer"),
+        F.when(conditional | to_dealer, "watch").otherwise("good").alias("verdict"), F.col("o.expiry").alias("expiry"),
+    )

@@ -12,16 +12,19 @@ class Refused(RuntimeError):
 def swap(df: DataFrame, path: str, *, floor: int = 1, most_drop: float = 0.5) -> int:
     """Write beside the table, count, then take its place: fewer rows than `floor`, or a loss of more than `most_drop` of the
     rows there are, leaves everything as it was. The old table is put aside before the new one takes its place and goes last,
-    so one of them is there whatever happens in between. Returns the number of rows."""
+    so one of them is there whatever happens in between; where a run was cut off in between, the next one puts the old table back
+    and counts against it. Returns the number of rows."""
     spark = df.sparkSession
     fs, old, new = _paths(spark, path)
+    aside = old.suffix(".before")
+    if fs.exists(aside) and not fs.exists(old) and not fs.rename(aside, old):
+        raise OSError(f"{path}.before, left by a run that was cut off, could not be put back")
     df.write.mode("overwrite").parquet(f"{path}.staged")
     n = spark.read.parquet(f"{path}.staged").count()
     before = spark.read.parquet(path).count() if fs.exists(old) else 0
     if n < floor or n < before * (1 - most_drop):
         fs.delete(new, True)
         raise Refused(f"{n} rows would follow {before}")
-    aside = old.suffix(".before")
     if fs.exists(old):
         fs.delete(aside, True)
         if not fs.rename(old, aside):

@@ -6,7 +6,6 @@ and returns the sink's rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marketloom.session import shared_dir
+
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 DAY_CAP = 3
 HOURS_2ND, HOURS_LATER = 2, 24
@@ -86,8 +87,7 @@ def drain(df: DataFrame, mode: str = "append", checkpoint: str | None = None, ke
     again replaces what it wrote. A checkpoint's sink lies beside it, so a later run goes on where the last one ended.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketloom-")
-    sink = f"{checkpoint.rstrip('/')}-sink" if checkpoint else f"{shared}/stream-{uuid.uuid4().hex}"
+    sink = f"{checkpoint.rstrip('/')}-sink" if checkpoint else f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{sink}/batch_id={batch_id}")

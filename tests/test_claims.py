@@ -77,3 +77,23 @@ def test_dealer_id(spark):
     for unit in key:
         h = ((h ^ ord(unit)) * 16777619) % (1 << 32)
     assert made("É", "X") == f"d_{h:08x}"
+
+
+@pytest.mark.parametrize(
+    "page,rate",
+    [
+        ("financing from 5.5% – 7.5%", None),
+        ("Finance at 4.99 % APR", 4.99),
+        ("Finance at 4.99 % APR", 4.99),
+        ("financing 1% - 2% - 3%", 3.0),
+        ("financing 3%—4%—5% to 6%", None),
+        ("Purchase financing at an annual percentage rate of 4.49%", 4.49),
+        ("Financing: 3.99% APR for 36 months, 4.99% APR for 60 months", 3.99),
+        ("Purchase financing 00% APR 09% APR", None),
+        ("Financing at 99% APR", None),
+        ("Apply for our credit card at 19.99% annual interest", None),
+        ("<script>var o={opacity:0.09,scale:'00%'};// financing</script><p>Finance your purchase today</p>", None),
+    ],
+)
+def test_advertised_rate_on_raw_characters(spark, page, rate):
+    assert one(spark, K.advertised_rate(F.lit(page))) == rate

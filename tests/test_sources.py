@@ -80,3 +80,42 @@ def test_drain_keeps_rows_out_of_the_driver(spark, tmp_path, mode, keys, exp):
     assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
     empty = spark.readStream.schema("user_id long").parquet(f"file://{tmp_path}/none*")
     assert events.drain(empty).count() == 0
+
+
+def test_swap_after_a_run_that_was_cut_off(spark, tmp_path):
+    """The old table lies aside and nothing is in its place: it is put back, counted against and kept."""
+    path = f"file://{tmp_path}/table"
+    sinks.swap(spark.range(1000), path)
+    (tmp_path / "table").rename(tmp_path / "table.before")
+    with pytest.raises(sinks.Refused):
+        sinks.swap(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 1000
+    (tmp_path / "table").rename(tmp_path / "table.before")
+    assert sinks.swap(spark.range(900), path) == 900 and not (tmp_path / "table.before").exists()
+    # cut off after the new table was in place: the rest of the old one goes
+    spark.range(1000).write.parquet(f"{path}.before")
+    assert sinks.swap(spark.range(800), path) == 800 and not (tmp_path / "table.before").exists()
+
+
+def zipped(path, **members):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members.items():
+            z.writestr(name.replace("__", "/").replace("_", "."), text)
+
+
+def test_zipped_csv(spark, tmp_path):
+    from marketloom.sources import archives
+
+    body = '﻿REF_DATE,GEO,"VALUE"\r\n2023,"Québec, QC","1 ""x"""\r\n\r\n2024,"two\nlines",5\r\n2025\r\n'
+    zipped(tmp_path / "a.zip", table_csv=body, notes_txt="REF_DATE\n1\n", sub__more_CSV="GEO,REF_DATE,OTHER\nAB,2020,z\n", empty_csv="")
+    zipped(tmp_path / "b.zip", big_csv="REF_DATE,VALUE\n" + "".join(f"{i},{i}\n" for i in range(25_000)))
+    got = archives.zipped_csv(spark, f"file://{tmp_path}/*.zip", ["REF_DATE", "GEO", "VALUE"])
+    a = sorted(tuple(r)[1:] for r in got.where("archive like '%a.zip'").collect())
+    assert a == [("sub/more.CSV", 1, "2020", "AB", None), ("table.csv", 1, "2023", "Québec, QC", '1 "x"'), ("table.csv", 2, "2024", "two\nlines", "5"), ("table.csv", 3, "2025", None, None)]
+    assert got.where("archive like '%b.zip'").selectExpr("count(*)", "sum(cast(VALUE as long))", "max(row)").first()[:] == (25_000, 25_000 * 24_999 // 2, 25_000)
+    assert archives.zipped_csv(spark, f"file://{tmp_path}/a.zip", ["GEO"], member="nothing").count() == 0
+    (tmp_path / "broken.zip").write_bytes(b"PK not a zip")
+    with pytest.raises(Exception, match="zip"):
+        archives.zipped_csv(spark, f"file://{tmp_path}/broken.zip", ["GEO"]).collect()
