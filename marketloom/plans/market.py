@@ -158,14 +158,72 @@ SELECT p_partkey, comp_id, rank FROM (
 """
 
 
+TRIMS = ["LE", "XLE Premium", "Sport AWD", "Limited Plug-In", "X-Line - Limited", "LE LE FWD"]
+ASKED = ["XLE", "sport awd", None, "LE", "Premium Limited 4x4", "x–line"]
+DRIVES = [None, "All-wheel", None, "FWD", "Quattro", None, None]
+FUELS = [None, "Gas", "PHEV", "Hybrid"]
+
+
 def catalog_trim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts as listings, matched to the trims of their make and model."""
+    """Each part as a listing, matched to the trims of its make and model."""
     part = table(spark, sf_dir, "part").withColumnsRenamed({"p_brand": "make", "p_type": "model"})
-    names = F.array(*[F.lit(t) for t in ("LE", "XLE Premium", "Sport AWD", "Limited")])
-    trim = F.concat(F.element_at(names, F.pmod("p_size", F.lit(4)) + 1), F.lit(" "), F.col("p_size").cast("string"))
-    catalog = part.groupBy("make", "model", trim.alias("trim")).agg(F.min("p_retailprice").alias("msrp")).select("*", F.lit(None).cast("string").alias("fuel_type"), F.lit(None).cast("string").alias("drivetrain"))
-    probes = part.select(F.col("p_partkey").alias("listing_id"), "make", "model", F.when(F.col("p_size") % 3 == 0, "XLE").when(F.col("p_size") % 3 == 1, "sport awd").alias("trim"), F.col("p_retailprice").alias("price"), F.lit(None).cast("string").alias("fuel_type"), F.when(F.col("p_size") % 4 == 0, "AWD").alias("drivetrain"))
-    return catalog_match.match_listings(probes, catalog, ["make", "model"]).groupBy("basis").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.round(F.sum("matched_msrp"), 2).alias("msrp"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    one_of = lambda values, index: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index % len(values)).cast("int") + 1)
+    some = lambda column, when: F.when(when, F.array(F.lit("digitalKey"), F.lit(column)))
+    grade = size % 24
+    catalog = part.groupBy("make", "model", grade.alias("grade")).agg((F.min("p_retailprice") * 40 + F.min(grade) * 900).alias("msrp"))
+    g = F.col("grade")
+    catalog = catalog.select(
+        "make", "model", F.concat(one_of(TRIMS, g), F.lit(" "), (g % 5).cast("string")).alias("trim"), "msrp", one_of(FUELS, g).alias("fuel_type"), one_of(DRIVES, g).alias("drivetrain"),
+        F.when(g % 4 == 0, F.array(F.lit("DigitalKey"), F.lit("tow"))).when(g % 4 == 1, F.array(F.lit("tow"))).alias("attrs"),
+    )
+    probes = part.select(
+        k.alias("listing_id"), "make", "model", one_of(ASKED, k).alias("trim"), F.when(k % 4 != 3, F.col("p_retailprice") * 40 + size * 500).alias("price"), one_of(FUELS, size).alias("fuel_type"),
+        F.when(k % 3 == 0, one_of(DRIVES, size)).alias("drivetrain"), F.when(k % 5 == 0, "AWD").alias("vin_drive"), some("sunroof", k % 7 == 0).alias("features"),
+    )
+    return catalog_match.match_listings(probes, catalog, ["make", "model"])
+
+
+def _one_of(values: list, index: str) -> str:
+    return f"[{', '.join('NULL' if v is None else repr(v) for v in values)}][{index} % {len(values)} + 1]"
+
+
+def _drive(text: str) -> str:
+    t = f"lower({text})"
+    return f"CASE WHEN regexp_matches({t}, 'all.?wheel|\\bawd\\b|quattro|\\b4wd\\b|4x4') THEN 'AWD' WHEN regexp_matches({t}, 'front.?wheel|\\bfwd\\b') THEN 'FWD' END"
+
+
+def _fuel(text: str) -> str:
+    return f"CASE WHEN {text} IS NULL THEN 'gas' WHEN {text} ILIKE '%phev%' THEN 'phev' WHEN {text} ILIKE '%hybrid%' THEN 'hybrid' ELSE 'gas' END"
+
+
+def _words(text: str) -> str:
+    bare = f"regexp_replace(replace(lower(coalesce({text}, '')), '–', '-'), '{catalog_match.FUEL_WORDS}', ' ', 'g')"
+    return f"list_filter(string_split(regexp_replace(regexp_replace({bare}, '[^a-z0-9]+', ' ', 'g'), '{catalog_match.DRIVE_WORDS}', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+TRIM_SQL = f"""
+WITH g AS (SELECT p_brand AS make, p_type AS model, p_size % 24 AS g, min(p_retailprice) * 40 + min(p_size % 24) * 900 AS msrp FROM part GROUP BY p_brand, p_type, p_size % 24),
+c0 AS (SELECT *, {_one_of(TRIMS, 'g')} || ' ' || g % 5 AS trim, {_one_of(FUELS, 'g')} AS f, {_one_of(DRIVES, 'g')} AS d, CASE WHEN g % 4 = 0 THEN ['digitalkey', 'tow'] WHEN g % 4 = 1 THEN ['tow'] ELSE [] END AS attrs FROM g),
+c AS (SELECT make, model, trim AS c_trim, msrp AS c_msrp, {_fuel('f')} AS c_fuel, coalesce({_drive('d')}, {_drive('trim')}) AS c_drive, {_words('trim')} AS c_words, attrs FROM c0),
+p0 AS (SELECT p_partkey AS id, p_brand AS make, p_type AS model, {_one_of(ASKED, 'p_partkey')} AS trim, CASE WHEN p_partkey % 4 <> 3 THEN p_retailprice * 40 + p_size * 500 END AS price, {_one_of(FUELS, 'p_size')} AS f,
+  CASE WHEN p_partkey % 3 = 0 THEN {_one_of(DRIVES, 'p_size')} END AS d, p_partkey % 5 = 0 AS vin_awd, CASE WHEN p_partkey % 7 = 0 THEN ['digitalkey', 'sunroof'] ELSE [] END AS feats FROM part),
+p1 AS (SELECT *, coalesce({_drive('d')}, CASE WHEN vin_awd THEN 'AWD' END) AS want_drive, {_words('trim')} AS words, {_fuel('f')} AS want_fuel FROM p0),
+j0 AS (SELECT *, coalesce(want_drive, {_drive('trim')}) AS stated, count(*) OVER (PARTITION BY id) AS n, max(CAST(c_fuel = want_fuel AS INT)) OVER (PARTITION BY id) AS fits FROM p1 JOIN c USING (make, model)),
+j AS (SELECT *, [{', '.join(repr(w) for w in catalog_match.KEY_WORDS)}] AS keys, min(abs(c_msrp - price)) OVER (PARTITION BY id) AS nearest FROM j0 WHERE n = 1 OR fits = 0 OR c_fuel = want_fuel),
+s AS (SELECT *, CASE WHEN want_drive IS NULL OR c_drive IS NULL THEN 0 WHEN want_drive = c_drive THEN 4 ELSE -6 END + len(list_filter(c_words, lambda w: list_contains(words, w))) + len(list_filter(c_words, lambda w: list_contains(words, w) AND list_contains(keys, w)))
+  - CASE WHEN list_has_any(words, keys) AND list_has_any(c_words, keys) AND NOT list_has_any(list_intersect(words, keys), c_words) THEN 5 ELSE 0 END
+  + 2 * len(list_intersect(attrs, feats)) - CASE WHEN len(feats) > 0 THEN len(attrs) - len(list_intersect(attrs, feats)) ELSE 0 END
+  + CASE WHEN price IS NULL THEN 0 WHEN abs(c_msrp - price) = nearest THEN 2 WHEN abs(c_msrp - price) < 3000 THEN 1 ELSE 0 END AS score FROM j),
+o AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS score2, lead(c_msrp) OVER w AS msrp2, first_value(c_msrp) OVER m AS low, first_value(c_trim) OVER m AS low_trim FROM s
+  WINDOW w AS (PARTITION BY id ORDER BY score DESC, c_msrp, c_trim), m AS (PARTITION BY id ORDER BY c_msrp, c_trim)),
+t AS (SELECT *, (stated IS NULL OR coalesce(c_drive = stated, false)) AND NOT coalesce(price - c_msrp > c_msrp * 0.2 AND price - c_msrp > 6000, false) AS sure,
+  n > 1 AND score <= 0 AND len(words) = 0 AND want_drive IS NULL AND len(feats) = 0 AS nothing FROM o WHERE r = 1)
+SELECT id AS listing_id, CASE WHEN nothing THEN low ELSE c_msrp END AS matched_msrp, CASE WHEN nothing THEN low_trim ELSE c_trim END AS matched_trim,
+  CASE WHEN n = 1 AND sure OR n > 1 AND NOT nothing AND sure AND (score2 IS NULL OR score - score2 >= 2 OR abs(c_msrp - msrp2) < 500) THEN 'exact' ELSE 'starting_at' END AS basis,
+  CAST(CASE WHEN n = 1 OR nothing THEN 0 ELSE score END AS INT) AS score
+FROM t
+"""
 
 
 QUERIES = {
@@ -174,5 +232,5 @@ QUERIES = {
 }
 ORACLE = {
     "deviation_read": DEVIATION_SQL, "city_price_index": CITY_SQL, "province_market_read": PROVINCE_SQL, "published_read": PUBLISHED_SQL, "nearest_rank_prices": NEAREST_SQL, "comps_summary": COMPS_SQL,
-    "comparable_listings": COMPARABLE_SQL,
+    "comparable_listings": COMPARABLE_SQL, "catalog_trim_match": TRIM_SQL,
 }
