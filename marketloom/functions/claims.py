@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketloom.functions.columns import half_up
+from marketloom.functions.columns import half_up, let
 from marketloom.functions.texts import BLANK
 
 # Names of a document fee, and what each province or state allows: all-in prices, a cap, or a norm.
@@ -30,6 +30,22 @@ NO_TEXT = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r
 #: A rate with up to 70 characters before it (group 1 near the start of the text, else 2) and after its start (group 3).
 RATE_SEEN = rf"(?s)\b(?={RATE}\s*%)(?:(?<=^(.{{0,69}}))|(?<=(.{{70}})))(?=(.{{0,70}}))({RATE})\s*%"
 
+# What makes a price depend on financing, each with its reason, and how long a text inside a script is prose.
+CONTINGENT = [
+    (r"in\s+lieu\s+of\s+(?:special\s+)?financ\w*", "in lieu of special financing"),
+    (r"(?:\$[\d,]{3,}|includes?|price|savings|discount|\boff\b)[^.]{0,60}\bfinance\s+(?:assist|cash|bonus|incentive|discount)\b", "finance-gated discount"),
+    (r"\bfinance\s+(?:assist|cash|bonus|incentive|discount)\b[^.]{0,60}(?:\$[\d,]{3,}|\bincluded\b|\boff\b|discount)", "finance-gated discount"),
+    (r"(?:when|if|once)\s+financ\w+\s+(?:with|through)\s+(?:us|the\s+dealer|dealer)", "conditional on financing with the dealer"),
+    (r"(?:price|discount|savings|offer)[^.]{0,70}must\s+financ\w+\s+(?:with|through)", "financing required"),
+    (r"must\s+financ\w+\s+(?:with|through)[^.]{0,70}to\s+(?:get|receive|qualify\s+for)[^.]{0,20}(?:price|discount|savings)", "financing required"),
+    (r"(?:price|discount|offer)\s+(?:is\s+)?(?:only\s+)?(?:available|valid)\s+(?:with|when)\s+[^.]{0,40}financ", "price only with financing"),
+    (r"financ\w+\s+(?:with|through)\s+(?:us|dealer)[^.]{0,30}(?:required|to\s+(?:qualify|receive|get))", "financing required to qualify"),
+    (r"\bnon-?finance[d]?\s+price\b", "separate non-financed price"),
+    (r"\bcash\s+price\b[^.]{0,60}\bfinanc", "cash price differs from financed price"),
+    (r"(?:credit\s+)?approval\s+required[^.]{0,40}(?:advertised\s+)?pric(?:e|ing)", "advertised price conditional on credit approval"),
+]
+SCRIPT, SCRIPT_TEXT, PROSE_WORDS = r"(?is)<script\b[^>]*>.*?</script>", r'"(?:[^"\\]|\\.){12,400}"', 4
+
 
 def ceiling_claim(asking: Column, ceiling: Column, trims: Column, all_in_price: Column) -> Column:
     """struct(exceeds, over): is an all-in price above the dearest of two or more trims?"""
@@ -100,7 +116,10 @@ def advertised_rate(page: Column) -> Column:
     for pattern in NO_TEXT:
         text = F.regexp_replace(text, pattern, " ")
     # another sign for the per cent of a range: no text moves, and no rate is seen there
-    text = F.regexp_replace(text, f"(?i){RANGE}", "$1\u066a$2\u066a")
+    return let(F.regexp_replace(text, f"(?i){RANGE}", "$1\u066a$2\u066a"), _lowest_rate)
+
+
+def _lowest_rate(text: Column) -> Column:
     group = lambda i: F.regexp_extract_all(text, F.lit(RATE_SEEN), F.lit(i))
     around = F.zip_with(F.zip_with(group(1), group(2), lambda near, far: F.concat(near, far)), group(3), lambda before, after: F.concat(before, after))
     seen = F.zip_with(group(4), around, lambda n, w: F.struct(n.cast("double").alias("rate"), w.alias("words")))
@@ -108,6 +127,41 @@ def advertised_rate(page: Column) -> Column:
     return F.array_min(F.transform(F.filter(seen, told), lambda s: s["rate"]))
 
 
+def script_prose(page: Column) -> Column:
+    """The texts of four words or more inside a page's scripts, where disclaimers hide; names and numbers are no text."""
+    strings = F.flatten(F.transform(F.regexp_extract_all(page, F.lit(SCRIPT), F.lit(0)), lambda b: F.regexp_extract_all(b, F.lit(SCRIPT_TEXT), F.lit(0))))
+
+    def plain(raw: Column) -> Column:
+        v = F.substring(raw, F.lit(2), F.length(raw) - 2)
+        for pattern, by in ((r"\\[nrt]", " "), (r"(?i)\\u003c", "<"), (r"(?i)\\u003e", ">"), (r"\\(.)", "$1"), (r"<[^>]*>", " "), (rf"{BLANK}+", " ")):
+            v = F.regexp_replace(v, pattern, by)
+        return F.trim(v)
+
+    worded = lambda v: F.size(F.filter(F.split(v, " "), lambda w: w.rlike("[A-Za-z]{2,}"))) >= PROSE_WORDS
+    return F.array_join(F.filter(F.transform(strings, plain), worded), " . ")
+
+
+def finance_contingent(page: Column) -> Column:
+    """struct(reasons, evidence), null where no price hangs on financing: the reasons in their order, each once, and the words around the
+    first one's first place. A rate that needs the maker's lender is no such price."""
+    text = page
+    for pattern in NO_TEXT[:-1]:
+        text = F.regexp_replace(text, pattern, " ")
+    hidden = F.when(F.contains(page, F.lit("<script")), F.concat(F.lit(" . "), script_prose(page))).otherwise("")
+    return let(F.regexp_replace(F.concat(text, hidden), NO_TEXT[-1], " "), _contingent)
+
+
+def _contingent(text: Column) -> Column:
+    around = lambda p: F.regexp_extract(text, f"(?i)(.{{0,60}}?(?:{p}).{{0,60}})", 1)
+    hits = F.array(*[F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(reason).alias("reason"), around(p).alias("around"))) for p, reason in CONTINGENT])
+
+    def told(found: Column) -> Column:
+        reasons = F.array_distinct(F.transform(found, lambda h: h["reason"]))
+        return F.when(F.size(found) > 0, F.struct(reasons.alias("reasons"), F.substring(F.trim(F.get(found, 0)["around"]), 1, 200).alias("evidence")))
+
+    return let(F.array_compact(hits), told)
+
+
 def trade_widget(page: Column) -> Column:
     """struct(vendor), null where no trade-in widget is marked; vendor is null where the marks name none."""
     found = None

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, where value is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # --- numbers -----------------------------------------------------------------------------------------------------
 
 
