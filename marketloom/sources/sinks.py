@@ -48,6 +48,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def dry_run(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """What a run would write, as JSON lines below path, a folder a table; returns the numbers of rows. No table is touched."""
+    for name, df in tables.items():
+        write_json(df, f"{path}/{name}")
+    return {name: df.sparkSession.read.text(f"{path}/{name}").count() for name, df in tables.items()}
+
+
 def fresh_cache(cache: DataFrame, keys: DataFrame, key: str, version: str, as_of, hours: int = 6) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of keys in a result cache: rows of this version that are younger than `hours`."""
     ok = cache.where((F.col("version") == version) & (F.col("created_at") > F.lit(as_of) - F.expr(f"interval {hours} hours")))
