@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from marketloom.functions.columns import AT_TOLERANCE_PCT
+from marketloom.functions.windows import interpolated
 
 CURVE = [i / 20 for i in range(21)]
 
@@ -15,11 +16,12 @@ def deviation_summary(listings: DataFrame, min_n: int = 25) -> DataFrame:
     pct = 100.0 * (F.col("sale_price") - F.col("msrp")) / F.col("msrp")
     d = listings.where("delisted_on is null and condition = 'new' and msrp > 0 and sale_price > 0").select("dealer_id", pct.alias("pct"))
     over, under = F.col("pct") > AT_TOLERANCE_PCT, F.col("pct") < -AT_TOLERANCE_PCT
-    points = F.array(*[F.lit(p) for p in CURVE])
-    a = d.agg(
-        F.count("*").alias("n"), F.count_distinct("dealer_id").alias("dealers"), F.count_if(over).alias("over_n"), F.count_if(under).alias("under_n"),
-        F.count_if(~over & ~under).alias("at_n"), F.percentile("pct", points).alias("c"), F.percentile(F.when(under, F.col("pct")), F.lit(0.5)).alias("m"),
-    )
+    counts = d.agg(
+        F.count("*").alias("n"), F.count_distinct("dealer_id").alias("dealers"), F.count_if(over).alias("over_n"), F.count_if(under).alias("under_n"), F.count_if(~over & ~under).alias("at_n")
+    )
+    # one row each
+    curve = interpolated(d, [], "pct", {f"c{i}": p for i, p in enumerate(CURVE)}).select(F.array(*[f"c{i}" for i in range(len(CURVE))]).alias("c"))
+    a = counts.crossJoin(F.broadcast(curve)).crossJoin(F.broadcast(interpolated(d.where(under), [], "pct", {"m": 0.5})))
     enough = F.col("n") >= floor
     told = lambda c: F.when(enough, c)
     return a.select(

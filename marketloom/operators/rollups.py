@@ -7,14 +7,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketloom.functions.windows import discrete, same_keys
+
 
 def provider_rollup(calls: DataFrame, keys: Sequence[str], since: dt.datetime) -> DataFrame:
     """Calls, failures, cost and discrete latency percentiles of each provider since a time."""
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by duration_ms)")
-    return calls.where(F.col("ts") >= F.lit(since)).groupBy(*keys).agg(
+    recent = calls.where(F.col("ts") >= F.lit(since))
+    counts = recent.groupBy(*keys).agg(
         F.count("*").alias("calls"), F.count_if("ok").alias("ok_n"), F.count_if(~F.col("ok")).alias("failed"), F.round(100.0 * F.count_if(~F.col("ok")) / F.greatest(F.lit(1), F.count("*")), 1).alias("fail_pct"),
-        F.sum("credits").alias("credits"), disc(0.5).alias("p50_ms"), disc(0.95).alias("p95_ms"),
+        F.sum("credits").alias("credits"),
     )
+    latency = discrete(recent, keys, "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnsRenamed({k: f"__{k}" for k in keys})
+    return counts.join(latency, same_keys(list(keys), [f"__{k}" for k in keys]), "left").drop(*[f"__{k}" for k in keys])
 
 
 def worst(calls: DataFrame, key: str, k: int = 8) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketloom.functions import columns as C
-from marketloom.functions.windows import nearest_ranks
+from marketloom.functions.windows import interpolated, nearest_ranks
 from marketloom.operators import catalog_match, deviation, joins, market_index
 from marketloom.session import table
 
@@ -135,7 +135,8 @@ FROM (SELECT p_brand, list(p_retailprice ORDER BY p_retailprice) AS p FROM part
 
 def comps_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated percentiles of comparable prices by model, told from five on."""
-    g = table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.percentile("p_retailprice", F.lit(0.5)).alias("m"), F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    part = table(spark, sf_dir, "part")
+    g = part.groupBy("p_type").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")).join(interpolated(part, ["p_type"], "p_retailprice", {"m": 0.5}), "p_type", "left")
     told = F.col("n") >= 5
     return g.select("p_type", "n", told.alias("enough"), F.when(told, F.round("m", 2)).alias("median_price"), F.when(told, F.col("lo")).alias("low"), F.when(told, F.col("hi")).alias("high"))
 

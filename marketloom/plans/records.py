@@ -59,9 +59,16 @@ def dealer_ids(spark, sf_dir):
     return s.select("s_suppkey", C.dealer_id(name, F.when(F.col("s_suppkey") % 10 > 0, F.col("n_name"))).alias("dealer"), F.sha2("s_name", 256).alias("hash"))
 
 
+CITY = "concat({0}, CASE c_custkey % 7 WHEN 0 THEN 'Albert' WHEN 1 THEN '-Anne' WHEN 2 THEN '  McMurray ' WHEN 3 THEN '. Paul' ELSE lower(c_mktsegment) END, {1})".format(
+    "CASE c_custkey % 6 WHEN 0 THEN 'St. ' WHEN 1 THEN 'Saint ' WHEN 2 THEN 'ST ' WHEN 3 THEN 'Sainte-' WHEN 4 THEN 'Fort' ELSE '' END",
+    "CASE c_custkey % 5 WHEN 0 THEN ', AB' WHEN 1 THEN ', Alberta' WHEN 2 THEN ', Alta.' ELSE '' END",
+)
+
+
 def city_spellings(spark, sf_dir):
-    raw = [("St. Albert", 1), ("Saint Albert, AB", 2), ("ST ALBERT", 3), ("Ste. Anne", 4), ("Sainte-Anne, Alta.", 5), ("Fort  McMurray", 6), ("Fort-McMurray, Alberta", 7), ("", 8), (None, 9)]
-    return spark.createDataFrame(raw, "raw string, id int").select("id", C.city_key(F.col("raw")).alias("city"))
+    """The keys of cities spelt in many ways, with how many customers and spellings each has."""
+    c = table(spark, sf_dir, "customer").select(F.expr(f"CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 11 = 1 THEN ' ' ELSE {CITY} END").alias("raw"))
+    return c.groupBy(C.city_key(F.col("raw")).alias("city")).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("spellings"))
 
 
 def page_addresses(spark, sf_dir):
@@ -150,7 +157,9 @@ ORACLE = {
         SELECT l_orderkey, CAST(coalesce(f, o, p) AS INT) AS days, CASE WHEN f IS NOT NULL THEN 'feed' WHEN o IS NOT NULL THEN 'own' WHEN p IS NOT NULL THEN 'page' END AS source, f IS NULL AND o IS NOT NULL AS at_least FROM e""",
     "fee_labels": f"SELECT CASE WHEN s = '' THEN 'unlabeled' {LABELS} ELSE 'other' END AS label, count(*) AS n FROM (SELECT lower(trim(unnest(string_split(text, chr(10))))) AS s FROM documents) GROUP BY 1",
     "mailboxes": """WITH r AS (SELECT 'ab' || (c_custkey % 40) AS bare, 'a.b' || (c_custkey % 40) AS dotted, c_nationkey % 3 AS h FROM customer) SELECT CASE WHEN h = 2 THEN dotted || '@example.org' ELSE bare || '@gmail.com' END AS mailbox, count(*) AS n FROM r GROUP BY 1""",
-    "city_spellings": "SELECT * FROM (VALUES (1, 'st albert'), (2, 'st albert'), (3, 'st albert'), (4, 'ste anne'), (5, 'ste anne'), (6, 'fort mcmurray'), (7, 'fort mcmurray'), (8, NULL), (9, NULL)) t(id, city)",
+    "city_spellings": f"""WITH c AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 11 = 1 THEN ' ' ELSE {CITY} END AS raw FROM customer),
+        k AS (SELECT raw, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), ', *(ab|alberta|alta\\.?)$', ''), '\\bsainte\\b', 'ste', 'g'), '\\bsaint\\b', 'st', 'g'), '[^a-z0-9]+', ' ', 'g')) AS k FROM c)
+        SELECT nullif(k, '') AS city, count(*) AS n, count(DISTINCT raw) AS spellings FROM k GROUP BY 1""",
     "page_addresses": r"""SELECT split_part(u, '/', 1) AS host, count(*) AS n, count(DISTINCT u) AS paths FROM (SELECT regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://(www\.)?', ''), '[?#].*$', ''), '/+$', '') AS u FROM pages) GROUP BY 1""",
     "listing_scores": """WITH g AS (SELECT l_orderkey, count(*) > 6 AS a, max(l_discount) >= 0.1 AS b, sum(l_quantity) > 150 AS c, max(l_tax) = 0 AS d FROM lineitem GROUP BY l_orderkey),
         s AS (SELECT l_orderkey, concat_ws(',', CASE WHEN a THEN 'many_lines' END, CASE WHEN b THEN 'deep_discount' END, CASE WHEN c THEN 'bulk' END, CASE WHEN d THEN 'odd_tax' END) AS flags, greatest(0, 100 - 15 * a::INT - 25 * b::INT - 30 * c::INT - 40 * d::INT) AS score FROM g)

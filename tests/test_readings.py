@@ -120,3 +120,27 @@ def test_cash_incentives(spark):
         (0, 0, "Federal EVAP Rebate (Potential)", -4762.0, True, False, "watch", "2026-08-31"),
         (0, 1, "Non-Stackable Cash Delivery Allowance", -2300.0, False, True, "watch", None),
     ]
+
+
+def test_percentiles_against_sorted_lists(spark):
+    from marketloom.functions.windows import discrete, interpolated
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, round(rng.gauss(0, 50), 2), -0.5, 0.0, rng.randrange(3) * 1.0])) for _ in range(800)] + [("one", 4.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    points = {f"p{i}": i / 20 for i in range(21)}
+    groups = {g: sorted(v for k, v in rows if k == g and v is not None) for g in {k for k, _ in rows}}
+    got = {r["g"]: r for r in interpolated(df, ["g"], "v", points).collect()}
+    assert set(got) == {g for g, vs in groups.items() if vs}
+    for g, r in got.items():
+        vs = groups[g]
+        for name, p in points.items():
+            at = (len(vs) - 1) * p
+            low, high = vs[int(at)], vs[min(int(at) + 1, len(vs) - 1)]
+            assert r[name] == pytest.approx(low + (high - low) * (at - int(at)), abs=1e-9)
+    every = sorted(v for _, v in rows if v is not None)
+    assert interpolated(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx((every[(len(every) - 1) // 2] + every[len(every) // 2]) / 2)
+    assert tuple(interpolated(df.where("false"), [], "v", {"m": 0.5}).first()) == (None,)
+    for g, r in {r["g"]: r for r in discrete(df, ["g"], "v", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}).collect()}.items():
+        vs = groups[g]
+        assert [r["a"], r["b"], r["c"], r["d"]] == [vs[max(-int(-p * len(vs) // 1), 1) - 1] for p in (0.0, 0.5, 0.95, 1.0)]
