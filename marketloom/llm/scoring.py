@@ -1,9 +1,10 @@
 """Operator 1 on Spark: lattice scores of all words of a corpus, corpus counts and document scores.
 
-One pass turns shards of whole documents into their distinct words and postings. A shard's words are rows (word, uses),
-added up over the corpus with map-side combination, so rows grow with the text and not with shards times buckets. The
-lattice runs once per distinct word of the corpus, not per use. Word scores go back to the shards that hold the word,
-where the postings add them up. Nothing that grows with the corpus is broadcast or collected.
+One pass turns shards of whole documents into their distinct words and postings. A shard's words are rows (word, uses)
+that meet once, sorted by word, and become one row a word with the places it has in the shards, so rows grow with the text
+and not with shards times buckets. The lattice runs once per distinct word of the corpus, not per use. Word scores go back
+to these places without a join, and the postings add them up. Nothing that grows with the corpus is broadcast or collected,
+and no row but a shard's postings is larger than a word with its shards.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from marketloom.llm.common import LOWER, as_bytes, in_shards, joined, written
+from marketloom.llm.common import LOWER, as_bytes, in_shards, packed, unpacked, written
 from marketloom.llm.lattice import VOCABULARY, Lattice, batches_by_length, read_pieces
 
 SHARD_BYTES = 16 << 20
+#: Words of a shard that are handed over at a time.
+WORD_ROWS = 20_000
 #: Of what is kept for unseen tokens, the end's part.
 END_SHARE = 0.01
 #: Most frequent values of the class column with word counts of their own; all other rows share one more class.
@@ -33,14 +37,16 @@ class _Numbered(dict):
 
 
 def index_shards(docs: DataFrame, classes: int) -> DataFrame:
-    """One row a shard: its distinct words, for each class the uses that are learnt (l0, l1 ..), and postings: for each word
-    the documents that have it and how often."""
+    """One row for each distinct word of a shard: its place there and for each class the uses that are learnt (l0, l1 ..); and
+    one row a shard without a word: its postings, for each word the documents that have it and how often. Words are rows of
+    their own, as a reader takes thousands of rows at a time and would hold as many shards."""
     learnt_names = [f"l{k}" for k in range(classes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        names = ["shard", "at", "word", *learnt_names, "postings", "ids", "held"]
         for k, shard in enumerate(in_shards(batches, SHARD_BYTES)):
             number = _Numbered()
             ids = [np.fromiter(map(number.__getitem__, t.translate(LOWER).split()), np.int32) for t in as_bytes(shard.column("text"))]
@@ -57,14 +63,51 @@ def index_shards(docs: DataFrame, classes: int) -> DataFrame:
             kind = np.asarray(shard.column("kind")).astype(np.int64)
             learnt = np.bincount(word * classes + kind[doc], np.where(held[doc], 0, uses), minlength=classes * len(number)).astype(np.int64).reshape(-1, classes)
             lengths = np.bincount(word, minlength=len(number))
-            packed = b"".join(x.astype("<i4").tobytes() for x in (np.array([len(number), len(doc)]), lengths, doc, uses, sizes))
-            words = pa.array(list(number), pa.binary()).cast(pa.string())
-            ends = pa.array([0, len(number)], pa.int32())
-            counts = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(learnt[:, k]))) for k in range(classes)]
-            one = [pa.array([(part << 32) | k], pa.int64()), pa.array([packed], pa.binary()), pa.array([shard.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*one, pa.ListArray.from_arrays(ends, words), *counts], ["shard", "postings", "ids", "held", "words", *learnt_names])
+            postings = packed([b"".join(x.astype("<i4").tobytes() for x in (np.array([len(number), len(doc)]), lengths, doc, uses, sizes))])
+            del word, doc, uses
+            shard_id, words = (part << 32) | k, list(number)
+            del number
+            for i in range(0, len(words), WORD_ROWS):
+                n = len(words[i : i + WORD_ROWS])
+                counts = [pa.array(np.ascontiguousarray(learnt[i : i + n, c]).astype(np.int32)) for c in range(classes)]
+                rows = [pa.array(np.full(n, shard_id)), pa.array(np.arange(i, i + n, dtype=np.int32)), pa.array(words[i : i + n], pa.binary()).cast(pa.string()), *counts]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(n, t) for t in (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())))], names)
+            one = [pa.array([postings[0]], pa.binary()), pa.array([shard.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([pa.array([shard_id], pa.int64()), *(pa.nulls(1, t) for t in (pa.int32(), pa.string(), *[pa.int32()] * classes)), *one], names)
 
-    return docs.mapInArrow(run, "shard long, postings binary, ids array<long>, held array<boolean>, words array<string>, " + ", ".join(f"{x} array<long>" for x in learnt_names))
+    return docs.mapInArrow(run, "shard long, at int, word string, " + "".join(f"{x} int, " for x in learnt_names) + "postings binary, ids array<long>, held array<boolean>")
+
+
+def gathered(uses: DataFrame, counts: list[str]) -> DataFrame:
+    """(word, counts, places): one row a word of rows (shard, at, word, counts), its counts added up, and where it stands.
+
+    A word has at most one row a shard, so no word is much in one task.
+    """
+
+    def one_a_word(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        column = lambda c: t.column(c).combine_chunks()
+        places = pa.StructArray.from_arrays([column("shard"), column("at")], ["shard", "at"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, t.num_rows].astype(np.int32)), places)
+        sums = [pa.array(np.add.reduceat(np.asarray(column(c)).astype(np.int64), first)) for c in counts]
+        return pa.RecordBatch.from_arrays([column("word").take(pa.array(first)), *sums, lists], ["word", *counts, "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            word = t.column("word").combine_chunks()
+            first = np.r_[0, np.flatnonzero(np.asarray(pc.not_equal(word[1:], word[:-1]))) + 1].astype(np.int64)
+            if len(first) > 1:
+                yield one_a_word(t.slice(0, first[-1]), first[:-1])
+            # the last word may go on in the next batch
+            held = t.slice(first[-1])
+        if held is not None:
+            yield one_a_word(held, np.zeros(1, np.int64))
+
+    rows = uses.select("shard", "at", "word", *counts).repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(run, "word string, " + "".join(f"{c} long, " for c in counts) + "places array<struct<shard: long, at: int>>")
 
 
 def refine(words: DataFrame, lattice_var, weights: np.ndarray) -> np.ndarray:
@@ -94,8 +137,9 @@ def refine(words: DataFrame, lattice_var, weights: np.ndarray) -> np.ndarray:
 
 
 def spelt(words: DataFrame, lattice_var, learnt: np.ndarray) -> DataFrame:
-    """Rows of words (word, counts) with the natural logs of the word's marginal probability, `spelling`, and of its mixture
-    with the marginal under the learnt weights, `mixture`."""
+    """Rows of words with the natural logs of the word's marginal probability, `spelling`, and of its mixture with the marginal
+    under the learnt weights, `mixture`, in place of the word."""
+    kept = [f for f in words.schema.fields if f.name != "word"]
     held = words.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +150,9 @@ def spelt(words: DataFrame, lattice_var, learnt: np.ndarray) -> DataFrame:
             for at, letters in batches_by_length(as_bytes(b.column("word"))):
                 fixed[at], own[at] = lattice.forward(letters, weights), lattice.forward(letters, held.value)
             mixture = np.logaddexp(fixed + np.log(1 - LEARNT_SHARE), own + np.log(LEARNT_SHARE))
-            yield b.append_column("spelling", pa.array(fixed)).append_column("mixture", pa.array(mixture))
+            yield b.select([f.name for f in kept]).append_column("spelling", pa.array(fixed)).append_column("mixture", pa.array(mixture))
 
-    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("spelling", T.DoubleType()), T.StructField("mixture", T.DoubleType())]))
+    return words.mapInArrow(run, T.StructType([*kept, T.StructField("spelling", T.DoubleType()), T.StructField("mixture", T.DoubleType())]))
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out=None, vocabulary: str = VOCABULARY, classes: int = CLASSES) -> DataFrame:
@@ -138,38 +182,28 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         ends[r["k"]] = r["count"]
     indexed = written(index_shards(rows.select("doc_id", "text", "held", kind.cast("int").alias("kind")), n), "postings")
     counts = [f"l{k}" for k in range(n)]
-    uses = indexed.select("shard", F.posexplode(F.arrays_zip("words", *counts)).alias("at", "w")).select("shard", "at", F.col("w.words").alias("word"), *[f"w.{c}" for c in counts])
     lattice_var = spark.sparkContext.broadcast(Lattice(read_pieces(vocabulary)))
-    counted = written(uses.groupBy("word").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("k")), "words")
+    counted = written(gathered(indexed.where("word is not null"), counts), "words")
     learnt = lattice_var.value.first_weights()
     for _ in range(ROUNDS):
         learnt = refine(counted, lattice_var, learnt)
-    words = written(spelt(counted, lattice_var, learnt), "vocabulary")
 
     c = F.expr(" + ".join(counts))
-    sums = [F.sum(x) for x in counts] + [F.count_if(F.col(x) == 1) for x in counts] + [F.count_if(c > 0), F.sum("k")]
-    facts = [x or 0 for x in words.agg(*[x.alias(f"f{i}") for i, x in enumerate(sums)]).first()]
+    sums = [F.sum(x) for x in counts] + [F.count_if(F.col(x) == 1) for x in counts] + [F.count_if(c > 0)]
+    facts = [x or 0 for x in counted.agg(*[x.alias(f"f{i}") for i, x in enumerate(sums)]).first()]
     of_class, added = np.array(facts[:n]) + ends, np.array(facts[n : 2 * n]) + 1.0
     total, all_ends = int(of_class.sum()), int(ends.sum())
-    distinct = facts[-2] + int(all_ends > 0)
-
-    def probability(k: int):
-        # sums of logs keep a long word's tiny marginal from becoming 0
-        tail = F.lit(float(np.log(added[k] * (1 - END_SHARE)))) + F.col("mixture")
-        seen = F.log(F.col(counts[k]))
-        both = F.when(F.col(counts[k]) > 0, F.greatest(seen, tail) + F.log1p(F.exp(F.least(seen, tail) - F.greatest(seen, tail)))).otherwise(tail)
-        return (both / float(np.log(10)) - float(np.log10(of_class[k] + added[k]))).alias(f"p{k}")
+    distinct = facts[-1] + int(all_ends > 0)
 
-    scored = words.select("word", "k", c.alias("c"), (F.col("spelling") / float(np.log(10))).alias("s"), *map(probability, range(n)))
-    answers = joined(uses.select("shard", "at", "word"), scored, "word", facts[-1]).drop("word", "k").withColumnRenamed("shard", "to")
+    answers = spelt(counted, lattice_var, learnt).select("spelling", "mixture", *counts, F.inline("places")).withColumnRenamed("shard", "to")
     end_score = np.log10((ends + added * END_SHARE) / (of_class + added))
     share = np.log10((ends + 1) / (ends + 1).sum())
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        packed = np.frombuffer(left.column("postings")[0].as_py(), "<i4")
+        posted = np.frombuffer(unpacked([left.column("postings")[0].as_py()])[0], "<i4")
         ids, held = left.column("ids")[0].as_py(), left.column("held")[0].as_py()
-        m, many = packed[:2]
-        lengths, doc, uses, sizes = np.split(packed[2:], np.cumsum([m, many, many]))
+        m, many = posted[:2]
+        lengths, doc, uses, sizes = np.split(posted[2:], np.cumsum([m, many, many]))
         at, size, word = np.asarray(right.column("at")), len(ids), np.repeat(np.arange(m), lengths)
         low = total + 0.5 * (distinct + 1)
 
@@ -181,8 +215,15 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         def add(values: np.ndarray, end: float) -> np.ndarray:
             return np.bincount(doc, uses * values[word], minlength=size) + end
 
-        c, s = of_words("c"), of_words("s")
-        sums = np.stack([add(of_words(f"p{k}"), end_score[k] + share[k]) for k in range(n)], axis=1)
+        uses_of, spelling, mixture = [of_words(x) for x in counts], of_words("spelling"), of_words("mixture")
+        c, s = np.sum(uses_of, axis=0), spelling / np.log(10)
+
+        def probability(k: int) -> np.ndarray:
+            # sums of logs keep a long word's tiny marginal from becoming 0
+            seen = np.log(uses_of[k], out=np.full(m, -np.inf), where=uses_of[k] > 0)
+            return np.logaddexp(seen, np.log(added[k] * (1 - END_SHARE)) + mixture) / np.log(10) - np.log10(of_class[k] + added[k])
+
+        sums = np.stack([add(probability(k), end_score[k] + share[k]) for k in range(n)], axis=1)
         most = sums.max(axis=1)
         return pa.table(
             {
@@ -191,6 +232,6 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             }
         )
 
-    posted = indexed.select(F.col("shard").alias("of"), "postings", "ids", "held")
+    shards = indexed.where("postings is not null").select(F.col("shard").alias("of"), "postings", "ids", "held")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    return posted.groupBy("of").cogroup(answers.groupBy("to")).applyInArrow(add_up, schema)
+    return shards.groupBy("of").cogroup(answers.groupBy("to")).applyInArrow(add_up, schema)

@@ -124,3 +124,18 @@ def test_long_pieces_are_kept():
     pieces = read_pieces()
     assert {(b"international", True), (b"understanding", True)} <= {p[:2] for p in pieces}
     assert Lattice(pieces).width == max(len(p[0]) for p in pieces) > 12
+
+
+def test_words_are_rows_and_meet_once(spark, docs, corpus):
+    """A shard's words are no lists in one row, and a word's places come from one shuffle, without a join."""
+    from pyspark.sql import functions as F
+
+    indexed = scoring.index_shards(docs.repartition(3).select("doc_id", "text", F.lit(False).alias("held"), F.lit(0).alias("kind")), 1).cache()
+    assert dict(indexed.dtypes)["word"] == "string"
+    words = scoring.gathered(indexed.where("word is not null"), ["l0"])
+    assert "Join" not in words._jdf.queryExecution().executedPlan().toString()
+    plain = Counter(w for _, t, *_ in corpus for w in toks(t))
+    got = words.collect()
+    assert {r["word"].encode(): r["l0"] for r in got} == plain and len(got) == len(plain)
+    places = sorted((p["shard"], p["at"]) for r in got for p in r["places"])
+    assert places == sorted((r["shard"], r["at"]) for r in indexed.where("word is not null").collect())
