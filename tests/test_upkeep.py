@@ -137,3 +137,13 @@ def test_no_facts_and_no_spans(spark):
     assert none.collect() == []
     got = matching.in_force(spark.createDataFrame([(1, "x", dt.date(2020, 1, 1))], facts), spark.createDataFrame([], spans), ["key"], "at", "id", "span").collect()
     assert [(r["id"], r["rate"]) for r in got] == [(1, None)]
+
+
+def test_spans_that_lose_meet_no_fact(spark):
+    """2,000 spans of one key cover 2,000 facts of it on one day: no join gives their product, and the facts' own rows aren't dealt by key."""
+    spans = spark.range(2000).select(F.col("id").alias("span"), F.lit("x").alias("key"), F.expr("date '2020-01-01' + cast(id % 50 as int)").alias("since"), F.lit(None).cast("date").alias("until"), F.col("id").cast("double").alias("rate"))
+    facts = spark.range(2000).select("id", F.lit("x").alias("key"), F.lit(dt.date(2020, 3, 1)).alias("at"))
+    out = matching.in_force(facts, spans, ["key"], "at", "id", "span")
+    assert [tuple(r) for r in out.groupBy("span", "rate").count().collect()] == [(1999, 1999.0, 2000)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "rightHint=(strategy=broadcast)" in plan
