@@ -205,3 +205,63 @@ def test_fees_and_addons(spark):
 
     df = spark.createDataFrame([("a/c levy",), ("air conditioning",), ("undercoat",), ("lojack",), ("addendum",)], "c string")
     assert [tuple(r) for r in df.select(F.col("c").rlike(FEE_WORDS), F.col("c").rlike(ADDON_WORDS)).collect()] == [(True, False)] * 2 + [(False, True)] * 3
+
+
+def test_names_of_common_words_are_not_paired(spark):
+    """300 names share both their common words: only an entry that also has a probe's own word can match, so no others are joined."""
+    from pyspark.sql import functions as F
+
+    from marketloom.operators.joins import match_names, name_pairs, name_words
+
+    probe = spark.range(300).select("id", F.format_string("red bolt lot%d", "id").alias("name"))
+    entries = spark.range(300).select(F.col("id").alias("r"), F.format_string("lot%d red bolt ltd", "id").alias("title"))
+    out = match_names(probe, entries, "id", "name", "r", "title")
+    got = out.collect()
+    assert sorted((x["id"], x["r"], x["score"]) for x in got) == [(i, i, 0.9) for i in range(300)]
+    words = lambda df, k, name, names: df.select(F.col(k).alias(name), name_words(df.columns[1]).alias(names))
+    assert name_pairs(words(probe, "id", "p", "pw"), words(entries, "r", "r", "rw"), 0.72).count() == 300
+
+
+def test_near_duplicates_as_classes(spark):
+    """Every pair of items can be told from links of classes; 200 copies give 199 rows and no pairs of theirs."""
+    import random
+
+    from marketloom.operators.joins import near_duplicates
+
+    rng = random.Random(7)
+    rows = [(i, "m", rng.choice([100.0, 103.0, 105.0, 105.2, 110.0, None, -5.0]), rng.choice([1, 4, 6, 11, None])) for i in rng.sample(range(300), 120)]
+    exp = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and None not in a + b and abs(a[3] - b[3]) <= 5 and abs(a[2] - b[2]) <= 0.05 * a[2]}
+    got = near_duplicates(spark.createDataFrame(rows, "id long, k string, p double, z int"), ["k"], "id", "p", "z").collect()
+    assert len({(r["a"], r["b"]) for r in got}) == len(got) and all(r["a"] < r["b"] for r in got)
+    members = {r[0]: {r[0]} for r in rows}
+    for r in got:
+        if r["link"] == "copy":
+            members[r["a"]].add(r["b"])
+    told = {(x, y) for m in members.values() for x in m for y in m if x < y}
+    for r in got:
+        pairs = [(x, y) for x in members[r["a"]] for y in members[r["b"]]] if r["link"] != "copy" else []
+        mine = {(min(x, y), max(x, y)) for x, y in pairs if r["link"] == "all" or (x < y) == (r["link"] == "a first")}
+        assert mine or r["link"] == "copy"
+        told |= mine
+    assert told == exp
+    copies = near_duplicates(spark.range(200).selectExpr("id", "'m' AS k", "9.0D AS p", "1 AS z"), ["k"], "id", "p", "z").collect()
+    assert sorted(tuple(r) for r in copies) == [(0, i, "copy") for i in range(1, 200)]
+
+
+def test_probes_alike_share_their_comparables(spark):
+    """Against brute force, with items without size; the ranking is over sizes and not over probes."""
+    import random
+
+    from marketloom.operators.joins import comparables
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("xyz"), rng.choice([1, 2, 2, 5, 9, None]), rng.choice([0.0, 5.0, 7.5, 9.0])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, k string, z int, p double")
+    out = comparables(df, df, ["k"], "id", "z", "p")
+    exp = set()
+    for i, k, z, _ in rows:
+        far = lambda r: (0, 0) if z is None or r[2] is None else (1, abs(r[2] - z))  # noqa: B023, E731
+        found = sorted((r for r in rows if r[1] == k and r[0] != i and r[3] > 0), key=lambda r: (far(r), r[3], r[0]))[:3]
+        exp |= {(i, r[0], n + 1) for n, r in enumerate(found)}
+    assert {tuple(r) for r in out.collect()} == exp
+    assert "windowspecdefinition(id" not in out._jdf.queryExecution().analyzed().toString()
