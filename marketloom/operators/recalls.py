@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketloom.functions.places import title_case
+from marketloom.operators.joins import with_facts
 
 # Makes of two words, the first model year, and how far back a model counts as known.
 TWO_WORD_MAKES = ("land rover", "alfa romeo", "aston martin", "general motors", "mercedes benz", "mercedes-benz", "rolls royce")
@@ -49,12 +50,13 @@ def recall_lookup(queries: DataFrame, registry: DataFrame, query_id: str) -> Dat
     q = queries.where("year is not null and make is not null and model is not null")
     q = q.select(query_id, "year", up(F.col("make")).alias("mk"), F.posexplode(model_candidates(F.col("model"), F.col("base_model"))).alias("at", "name")).withColumn("md", up(F.col("name")))
     known = registry.select(up(F.col("make")).alias("mk"), up(F.col("model")).alias("md"), F.col("year").alias("ry"), "recall_number").where("recall_number <> ''")
-    counts = known.groupBy("mk", "md", "ry").agg(F.count_distinct("recall_number").alias("n"))
-    # a candidate meets its model's years, at most one row a year
-    met = q.join(counts, ["mk", "md"], "left")
-    hit, earlier = F.col("ry") == F.col("year"), F.col("ry").between(F.col("year") - KNOWN_YEARS, F.col("year") - 1)
-    first = lambda when: F.min(F.when(when, F.struct("at", "name", F.col("n").alias("n"))))
-    g = met.groupBy(query_id).agg(first(hit).alias("h"), first(earlier).alias("k"))
+    counts = known.where("ry is not null").groupBy("mk", "md", "ry").agg(F.count_distinct("recall_number").alias("n"))
+    # a candidate meets its model once, with all its years, and few models aren't dealt out by name
+    met = with_facts(q, counts.groupBy("mk", "md").agg(F.map_from_entries(F.collect_list(F.struct("ry", "n"))).alias("years")), ["mk", "md"])
+    n = F.try_element_at("years", F.col("year"))
+    earlier = F.exists(F.map_keys("years"), lambda y: y.between(F.col("year") - KNOWN_YEARS, F.col("year") - 1))
+    first = lambda when, of: F.min(F.when(when, F.struct("at", "name", of.alias("n"))))
+    g = met.groupBy(query_id).agg(first(n.isNotNull(), n).alias("h"), first(earlier, F.lit(None).cast("long")).alias("k"))
     found = F.col("h").isNotNull()
     return g.select(
         query_id, F.coalesce("h.n", F.lit(0)).alias("count"), F.col("h.name").alias("matched_model"), (found | F.col("k").isNotNull()).alias("confirmed"),

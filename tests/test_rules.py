@@ -277,3 +277,15 @@ def test_listings_meet_one_rate(spark):
     exp = {True: (48, 2.0, "model"), False: (48, 17.0, "make")}
     assert {r["id"]: (r["term"], r["apr"], r["level"]) for r in out.collect()} == {i: exp[i % 3 == 0] for i in range(300)}
     assert "windowspecdefinition(id" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_recall_candidates_meet_their_model_once(spark):
+    """Queries of one model are no more rows for its many years, and few models are broadcast."""
+    from marketloom.operators.recalls import recall_lookup
+
+    queries = spark.range(50).selectExpr("id", "cast(2001 + id % 12 AS int) AS year", "'Ford' AS make", "'F-150 XL' AS model", "cast(null AS string) AS base_model")
+    registry = spark.range(60).selectExpr("'FORD' AS make", "'F-150' AS model", "cast(1990 + id % 20 AS int) AS year", "concat('R', id) AS recall_number")
+    out = recall_lookup(queries, registry, "id")
+    got = {r["id"]: tuple(r)[1:] for r in out.collect()}
+    assert got == {i: (3, "F-150", True, None) if 2001 + i % 12 <= 2009 else (0, None, True, "F-150") for i in range(50)}
+    assert "rightHint=(strategy=broadcast)" in out._jdf.queryExecution().optimizedPlan().toString()
