@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import claims, places
-from marketloom.operators import recalls
+from marketloom.operators import joins, recalls
 from marketloom.session import table
 
 # texts by the remainder of a key, the same for Spark and the twin
@@ -36,13 +36,14 @@ def dealer_places(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", *[F.expr(_pick(*v)).alias(k.replace(" ", "_")) for k, v in FIELDS.items()])
     where = places.jurisdiction([(k, F.col(k.replace(" ", "_"))) for k in FIELDS])
     city = places.dealer_city(F.col("city"), [F.col("address"), F.col("dealer_name"), F.col("listing_url")])
-    out = c.select("c_custkey", where.alias("j"), city.alias("city"))
+    texts = [k.replace(" ", "_") for k in FIELDS]
+    out = joins.once_a_text(c, texts, [where.alias("j"), city.alias("found_city")]).select("c_custkey", "j", F.col("found_city").alias("city"))
     return out.select("c_custkey", "j.code", "j.field", "j.signal", "j.found", places.all_in(F.col("j.code")).alias("all_in"), "city")
 
 
 def recall_queries(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"concat({_pick(ASKED, 'c_custkey')}, CASE WHEN c_custkey % 3 = 0 THEN ' x-trail é_b' ELSE '' END)").alias("raw"))
-    return c.select("c_custkey", recalls.parsed_query(F.col("raw"), 2026).alias("q")).select("c_custkey", "q.*")
+    return joins.once_a_text(c, ["raw"], [recalls.parsed_query(F.col("raw"), 2026).alias("q")]).select("c_custkey", "q.*")
 
 
 def recall_lookups(spark, sf_dir):

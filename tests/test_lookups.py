@@ -85,3 +85,24 @@ def test_recall_lookup(spark):
     assert sorted(map(tuple, got.collect())) == [
         (1, 2, "Civic", True, None), (2, 1, "Civic Touring", True, None), (3, 0, None, True, "Fit"), (4, 0, None, False, None), (5, 0, None, False, None), (7, 2, "Civic", True, None), (8, 0, None, True, "Civic Touring"),
     ]
+
+
+def test_texts_are_read_once(spark):
+    """Rows with one text meet what was read out of it; missing texts are texts as well."""
+    from pyspark.sql import functions as F
+
+    from marketloom.operators import joins
+
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, None), (4, "", "b"), (5, "a", "")], "id int, x string, y string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x, y):
+        calls.add(1)
+        return f"{x}|{y}"
+
+    out = joins.once_a_text(rows, ["x", "y"], [read("x", "y").alias("q")])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", None, "a|None"), (2, "a", None, "a|None"), (3, None, None, "None|None"), (4, "", "b", "|b"), (5, "a", "", "a|")]
+    assert calls.value <= 2 * 4  # once to count the texts, once to read them; a read a row would be one for each of five rows twice
+    plain = "distinct" in out._jdf.queryExecution().logical().toString().lower() or "Deduplicate" in out._jdf.queryExecution().analyzed().toString()
+    assert plain
