@@ -147,3 +147,15 @@ def test_spans_that_lose_meet_no_fact(spark):
     assert [tuple(r) for r in out.groupBy("span", "rate").count().collect()] == [(1999, 1999.0, 2000)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_alerts_broadcast_nothing(spark):
+    """Exploded beginnings of 500 long models look small and aren't: no join of theirs sends a side to the driver."""
+    subs = spark.range(500).selectExpr("id AS subscription_id", "'confirmed' AS status", "'M' AS make", "'c' AS city", "if(id % 5 = 0, null, concat('model ', id % 7)) AS model")
+    cands = spark.range(500).selectExpr("id AS candidate_id", "'m' AS make", "'C' AS city", "if(id % 11 = 0, null, concat('Model ', id % 7, ' with a long name')) AS model")
+    sent = spark.range(100).selectExpr("if(id < 0, id, 7L) AS subscription_id", "id AS candidate_id")
+    out = matching.alert_matches(subs, cands, sent)
+    exp = {(s, c) for s in range(500) for c in range(500) if (c % 11 == 0 or (s % 5 and s % 7 == c % 7)) and not (s == 7 and c < 100)}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(exp) and set(got) == exp
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
