@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable
 
@@ -155,11 +156,23 @@ FEE_LABELS = [
 ]
 
 
+#: For each pattern of FEE_LABELS pieces of which a text that matches has at least one.
+FEE_PIECES = {
+    "nitrogen": "nitrogen n2", "market_adjustment": "market dealer adm", "reconditioning": "recon", "documentation": "doc", "admin": "admin",
+    "protection_pkg": "paint fabric interior exterior appearance protection ceramic sealant", "rustproofing": "rust undercoat corrosion", "tire_wheel": "tire road",
+    "theft_protection": "theft etch", "gap": "gap guaranteed", "extended_warranty": "extended service protection mechanical vsc", "freight_pdi": "freight pdi delivery destination transport",
+    "regulatory": "amvic omvic regulatory licen registration", "levy_tax": "tire environmental levy tax excise", "accessories": "heater lock cargo mats accessor", "delivery_prep": "delivery prep",
+}
+
+
 def fee_label(raw: Column, labels: list[tuple[str, str]] = FEE_LABELS) -> Column:
+    """The first label whose pattern the text has; a pattern is only tried where the text has a piece that it needs, as most don't."""
     s = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
     out = F.when(s == "", "unlabeled")
     for pattern, label in labels:
-        out = out.when(s.rlike(pattern), label)
+        pieces = FEE_PIECES[label].split() if (pattern, label) in FEE_LABELS else []
+        some = functools.reduce(lambda a, b: a | b, [s.contains(x) for x in pieces]) if pieces else F.lit(True)
+        out = out.when(some & s.rlike(pattern), label)
     return out.otherwise("other")
 
 

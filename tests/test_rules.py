@@ -289,3 +289,23 @@ def test_recall_candidates_meet_their_model_once(spark):
     got = {r["id"]: tuple(r)[1:] for r in out.collect()}
     assert got == {i: (3, "F-150", True, None) if 2001 + i % 12 <= 2009 else (0, None, True, "F-150") for i in range(50)}
     assert "rightHint=(strategy=broadcast)" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fee_patterns_are_tried_where_they_can_match(spark):
+    """The pieces change no label, and a pattern stands behind them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marketloom.functions.columns import FEE_LABELS, fee_label
+
+    rng = random.Random(1)
+    words = "nitrogen n2 market value adjustment additional dealer mark-up adm recondition recon doc documentation fee admin charge paint ceramic rust tire & wheel and rim road hazard vin etch anti-theft window gap guaranteed asset extended warranty vsc pdi pre-delivery amvic licence levy tax a/c air conditioning luxury green block heater lock mats accessory delivery prep recycl x".split()
+    df = spark.createDataFrame([(" ".join(rng.sample(words, rng.randrange(1, 4))),) for _ in range(3000)] + [(w,) for w in words] + [("",), (None,)], "t string")
+    s = F.lower(F.trim(F.coalesce("t", F.lit(""))))
+    plain = F.when(s == "", "unlabeled")
+    for pattern, label in FEE_LABELS:
+        plain = plain.when(s.rlike(pattern), label)
+    out = df.select(fee_label(F.col("t")).alias("a"), plain.otherwise("other").alias("b"))
+    assert out.where("a <> b").count() == 0 and out.select("a").distinct().count() > 14
+    assert "Contains" in out.select("a")._jdf.queryExecution().optimizedPlan().toString()
