@@ -44,6 +44,13 @@ CONTINGENT = [
     (r"\bcash\s+price\b[^.]{0,60}\bfinanc", "cash price differs from financed price"),
     (r"(?:credit\s+)?approval\s+required[^.]{0,40}(?:advertised\s+)?pric(?:e|ing)", "advertised price conditional on credit approval"),
 ]
+#: A cheap part of each of these that any text with the whole has too.
+CONTINGENT_NEEDS = [
+    r"in\s+lieu", r"\bfinance\s+(?:assist|cash|bonus|incentive|discount)", r"\bfinance\s+(?:assist|cash|bonus|incentive|discount)", r"(?:when|if|once)\s+financ", r"must\s+financ", r"must\s+financ",
+    r"(?:available|valid)\s+(?:with|when)", r"financ\w+\s+(?:with|through)", r"\bnon-?finance", r"\bcash\s+price", r"approval\s+required",
+]
+#: Characters that a dot leaves out.
+LINE_ENDS = "\n\r\u0085\u2028\u2029"
 SCRIPT, SCRIPT_TEXT, PROSE_WORDS = r"(?is)<script\b[^>]*>.*?</script>", r'"(?:[^"\\]|\\.){12,400}"', 4
 
 
@@ -152,12 +159,22 @@ def finance_contingent(page: Column) -> Column:
 
 
 def _contingent(text: Column) -> Column:
-    around = lambda p: F.regexp_extract(text, f"(?i)(.{{0,60}}?(?:{p}).{{0,60}})", 1)
-    hits = F.array(*[F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(reason).alias("reason"), around(p).alias("around"))) for p, reason in CONTINGENT])
+    hits = F.array(*[F.when(text.rlike(f"(?i){need}") & text.rlike(f"(?i){p}"), F.struct(F.lit(reason).alias("reason"), F.lit(i).alias("at"))) for i, ((p, reason), need) in enumerate(zip(CONTINGENT, CONTINGENT_NEEDS))])
+
+    def around(p: str) -> Column:
+        # the first place is looked for once; 60 characters before it are taken of what lies before, not tried at each place
+        before = F.right(F.regexp_extract(text, f"(?is)^(.*?)(?:{p})", 1), F.lit(60))
+        return F.concat(F.regexp_replace(before, f"(?s)^.*[{LINE_ENDS}]", ""), F.regexp_extract(text, f"(?is)^.*?((?:{p})(?-s:.{{0,60}}))", 1))
+
+    def evidence(first: Column) -> Column:
+        found = F.when(first == 0, around(CONTINGENT[0][0]))
+        for i, (p, _) in enumerate(CONTINGENT[1:], 1):
+            found = found.when(first == i, around(p))
+        return F.substring(F.trim(found), 1, 200)
 
     def told(found: Column) -> Column:
         reasons = F.array_distinct(F.transform(found, lambda h: h["reason"]))
-        return F.when(F.size(found) > 0, F.struct(reasons.alias("reasons"), F.substring(F.trim(F.get(found, 0)["around"]), 1, 200).alias("evidence")))
+        return F.when(F.size(found) > 0, F.struct(reasons.alias("reasons"), evidence(F.get(found, 0)["at"]).alias("evidence")))
 
     return let(F.array_compact(hits), told)
 

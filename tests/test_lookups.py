@@ -1,5 +1,7 @@
 """Places, recalls and prices that hang on financing, case by case."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,16 @@ def test_texts_are_read_once(spark):
     assert calls.value <= 2 * 4  # once to count the texts, once to read them; a read a row would be one for each of five rows twice
     plain = "distinct" in out._jdf.queryExecution().logical().toString().lower() or "Deduplicate" in out._jdf.queryExecution().analyzed().toString()
     assert plain
+
+
+def test_evidence_is_what_one_pattern_would_find(spark):
+    rng = random.Random(4)
+    pieces = ["in lieu of financing", "In  Lieu of special financ", "refinance cash", "finance cash", "$3,000 ", "discount", "if financed with us", "must finance through", "price", "to get", "available when", "financed with dealer", "required", "non-financed price", "cash price", "approval required", "pricing", ".", "\u0085", "\u2028", "\U0001F600", "\n", "word " * 9, "é", "x" * 59, "x" * 60, "x" * 61]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = [F.when(F.col("t").rlike(f"(?i){p}"), F.regexp_extract("t", f"(?i)(.{{0,60}}?(?:{p}).{{0,60}})", 1)) for p, _ in claims.CONTINGENT]
+    reasons = F.array_distinct(F.array_compact(F.array(*[F.when(F.col("t").rlike(f"(?i){p}"), reason) for p, reason in claims.CONTINGENT])))
+    rows = df.select(claims._contingent(F.col("t")).alias("got"), F.substring(F.trim(F.coalesce(*whole)), 1, 200).alias("evidence"), reasons.alias("reasons")).collect()
+    assert len(claims.CONTINGENT_NEEDS) == len(claims.CONTINGENT) and sum(r["got"] is not None for r in rows) > 500
+    for t, r in zip(texts, rows):
+        assert (r["got"] and (r["got"]["reasons"], r["got"]["evidence"])) == ((r["reasons"], r["evidence"]) if r["reasons"] else None), t
