@@ -2,7 +2,7 @@
 
 1. Every text's shingles are hashed; those hashes that lie in the lowest quarter of the range, the same ones wherever they
    occur, are rows (hash, document), counted with map-side combination. A linked document lacks at most a known number of
-   a document's shingles, so at least the rest of its sample occurs elsewhere; this clears nearly all documents.
+   a document's shingles, so no more of its sample occurs in it alone; this clears nearly all documents.
 2. Equal sets become one class. Shingles are ordered by how many classes have them, rarest first, then by hash; classes
    that may be linked meet at a shingle of both their prefixes (the part of a set that any similar set must touch).
 3. Classes that meet, directly or in turn, make up a candidate group. A group is cut by set size into bands so that linked
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketloom.llm.common import arrays, as_bytes, in_shards, joined, lists, written
+from marketloom.llm.common import arrays, as_bytes, in_shards, joined, lists, near, written
 from marketloom.llm.graph import components
 from marketloom.llm.shingles import set_key, shingle_set, word_hashes
 
@@ -160,17 +160,20 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _candidates(scanned: DataFrame, link: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, key) of documents that may be linked: of their samples enough occurs twice in the corpus."""
+    """(doc_id, n, key) of documents that may be linked: of their samples enough occurs twice in the corpus.
+
+    A hash that occurs once tells its only document, so those without a second place are counted and nothing is joined."""
     rows = scanned.select("doc_id", F.explode("sample").alias("token"))
-    facts = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    total = scanned.agg(F.coalesce(F.sum(F.size("sample")), F.lit(0)).alias("n")).first()["n"]
-    met = joined(rows, facts, "token", total).groupBy("doc_id").agg(F.count("*").alias("met"))
+    lone = rows.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k")).where("k = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
+    # several texts may stand under the id; what the others have may all be alone
+    of_id = scanned.groupBy("doc_id").agg(F.sum(F.size("sample")).alias("all"))
     lacks = f"n - (n * {link[0]} + {link[1] - 1}) div {link[1]}"
-    return scanned.where("n > 0").select("doc_id", "n", "key", F.size("sample").alias("own")).join(met, "doc_id", "left").where(f"coalesce(met, 0) >= own - ({lacks})").select("doc_id", "n", "key")
+    both = scanned.where("n > 0").select("doc_id", "n", "key", F.size("sample").alias("own")).join(of_id, "doc_id").join(lone, "doc_id", "left")
+    return both.where(f"coalesce(lone, 0) - (all - own) <= {lacks}").select("doc_id", "n", "key")
 
 
-def _candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
-    """(cls, n, tokens): the distinct sets of the candidates; cls is the least doc_id that has the set."""
+def _candidate_sets(docs: DataFrame, candidates: DataFrame, size: int, n: int) -> DataFrame:
+    """(cls, n, tokens): the distinct sets of the n candidates; cls is the least doc_id that has the set."""
     chosen = candidates.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,17 +184,17 @@ def _candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFr
             sets = [sets[i] for i in same]
             yield pa.RecordBatch.from_arrays([shard.column("doc_id").combine_chunks().take(pa.array(same, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), lists(sets)], ["cls", "n", "tokens"])
 
-    return docs.join(chosen, "doc_id").mapInArrow(run, "cls long, n long, tokens array<long>")
+    return near(docs, chosen, "doc_id", n).join(chosen, "doc_id").mapInArrow(run, "cls long, n long, tokens array<long>")
 
 
 def _heads(sets: DataFrame, link: tuple[int, int]) -> DataFrame:
     """(cls, token): the prefix of each class, shingles in order of how many classes have them, then of hash.
 
     Shingles of one class come first and can't be met, so they are counted but not returned."""
-    rows = sets.select("cls", "n", F.explode("tokens").alias("token"))
+    rows = sets.select("cls", F.explode("tokens").alias("token"))
     facts = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    shared = joined(rows, facts, "token", total).groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "token"))).alias("s"))
+    shared = joined(rows, facts, "token", total).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("s")).join(sets.select("cls", "n"), "cls")
     length = F.expr(f"cast(greatest(0, n - (n * {link[0]} + {link[1] - 1}) div {link[1]} + 1 - (n - size(s))) as int)")
     return shared.select("cls", F.explode(F.slice("s", F.lit(1), length)).alias("x")).select("cls", "x.token")
 
@@ -268,7 +271,8 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scanned = written(_scan(rows, size), "samples")
     candidates = written(_candidates(scanned, link), "candidates")
-    sets = _candidate_sets(rows, candidates, size)
+    many = candidates.count()
+    sets = _candidate_sets(rows, candidates, size, many)
     if not candidates.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["cls", "tokens"])  # rows that repeat an id with its text
     sets = written(sets, "classes")
@@ -277,7 +281,7 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # a class is named by its least doc_id, so a component's least class is its least document
     named = candidates.groupBy("key").agg(F.min("doc_id").alias("cls"), F.count("*").alias("k")).join(linked.select(F.col("id").alias("cls"), F.col("component").alias("far")), "cls", "left")
     named = named.select("key", "k", F.coalesce("far", "cls").alias("component"))
-    both = joined(candidates, named, "key", candidates.count()).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    both = joined(candidates, named, "key", many).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = scanned.join(candidates.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
     return alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(both)
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from marketloom.llm import graph, longest_factor, paragraphs, prefix_tree
+from marketloom.llm import common, graph, longest_factor, paragraphs, prefix_tree
 from marketloom.llm.shingles import shingle_set, word_hashes
 
 
@@ -218,3 +218,22 @@ def test_passages_beside_lines(spark):
     rows = [(1, f"{para}\nend {more} {rest}"), (2, f"a\n{para}\n  b {more}  c\n"), (2, f"a\n{para}\n  b {more}  c\n")]
     got = [r for r in paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 2]
     assert [(r["text"], r["removed"], r["removed_words"], r["copies_of"]) for r in got] == [("a\n  b c\n", [1], 115, [1])] * 2
+
+
+def test_near_keeps_every_row_with_a_key(spark):
+    rows, keys = spark.range(200_000).selectExpr("id", "'x' AS wide"), spark.range(0, 200_000, 100).toDF("id")
+    kept = common.near(rows, keys, "id", 2000)
+    assert kept.columns == ["id", "wide"] and kept.join(keys, "id").count() == 2000 and kept.count() < 60_000
+    assert common.near(rows, keys.limit(0), "id", 0).count() == 0
+
+
+def test_candidates_are_counted_without_a_join_of_hashes(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"c{rng.randrange(10**9)}" for _ in range(200))
+    shared, rows = text(), [(i, text()) for i in range(20)]
+    # two texts under one id, only one of which has its like
+    rows += [(5, shared), (30, shared + " more")]
+    scanned = prefix_tree._scan(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    found = prefix_tree._candidates(scanned, (85, 100))
+    assert {5, 30} <= {r["doc_id"] for r in found.collect()} <= {5, 30}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
