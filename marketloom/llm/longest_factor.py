@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from marketloom.llm.common import as_bytes, in_shards, joined, written
+from marketloom.llm.common import arrays, as_bytes, in_shards, joined, near, packed, unpacked, written
 from marketloom.llm.shingles import mixed
 
 LENGTH, GRAM = 100, 24
@@ -78,7 +78,7 @@ def anchors(h: np.ndarray, ends: np.ndarray, length: int, gram: int, but: np.nda
     suffix = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(suffix[:n], prefix[span - 1 : span - 1 + n])
     start = np.arange(n)
-    inside = start + length <= ends[np.searchsorted(ends, start, side="right")]
+    inside = start + length <= np.repeat(ends, np.diff(ends, prepend=0))[:n]
     start = start[inside]
     if not len(start):
         return none, none, none
@@ -218,15 +218,26 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
             doc, h = doc[order], h[order].astype(np.int64)
             new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)]
             twice = ~new & np.r_[False, new[:-1]][: len(h)]
-            arrays = []
+            columns = []
             for some in (new, twice):
                 cuts = np.r_[0, np.cumsum(np.bincount(doc[some], minlength=len(texts)))].astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[some])))
-            yield pa.RecordBatch.from_arrays([shard.column("doc_id").combine_chunks(), pa.array(sizes), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), *arrays], ["doc_id", "n_bytes", "key", "anchors", "again"])
+                columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[some])))
+            yield pa.RecordBatch.from_arrays([shard.column("doc_id").combine_chunks(), pa.array(sizes), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), *columns], ["doc_id", "n_bytes", "key", "anchors", "again"])
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, key binary, anchors array<long>, again array<long>")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, packed): the texts as they are shuffled and kept, with their digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = as_bytes(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()), pa.array(packed(raw), pa.binary())], ["doc_id", "key", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, key binary, packed binary")
+
+
 def _shared(scanned: DataFrame, many: int) -> DataFrame:
     """(doc_id, met, split): anchors that another text has too, or the text itself twice; those of more than `many` texts."""
     named = scanned.select(F.xxhash64("key").alias("text"), "doc_id", "anchors", "again")
@@ -247,23 +258,21 @@ def _contexts(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
     bucket -1 without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in in_shards(batches, SHARD_BYTES):
+        for shard in in_shards(batches, SHARD_BYTES, "n_bytes"):
             ids = np.asarray(shard.column("doc_id")).astype(np.int64)
             shard = shard.take(pa.array(np.argsort(ids, kind="stable")))
             ids.sort()
-            texts = as_bytes(shard.column("text"))
+            texts = unpacked(shard.column("packed").to_pylist())
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             ends = np.cumsum(sizes)
             raw = b"".join(texts)
             h = gram_hashes(np.frombuffer(raw, np.uint8), gram)
             place, first, last = anchors(h, ends, length, gram)
-            doc, name = np.searchsorted(ends, place, side="right"), h[place]
-            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            chosen = np.zeros(len(place), bool)
-            for i, met in enumerate(shard.column("met").to_pylist()):
-                chosen[cuts[i] : cuts[i + 1]] = np.isin(name[cuts[i] : cuts[i + 1]], np.array(met, np.int64).astype(np.uint64))
+            name = h[place]
+            # an anchor that is shared is so in every text that has it
+            chosen = np.isin(name, np.concatenate(arrays(shard.column("met").combine_chunks())))
             place, first, last, name = place[chosen], first[chosen], last[chosen], name[chosen]
-            split = np.unique(np.array([x for s in shard.column("split").to_pylist() for x in s], np.int64)).astype(np.uint64)
+            split = np.unique(np.concatenate(arrays(shard.column("split").combine_chunks())))
             if len(split):
                 # windows of a hot anchor go by their least other gram as well
                 other, begin, _ = anchors(h, ends, length, gram, split)
@@ -345,22 +354,22 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = written(_shared(scanned, MANY), "shared-anchors")
     told = written(told.join(shared.select("doc_id", F.lit(True).alias("shares")), "doc_id", "left"), "texts")
     search = told.where("is_first and shares").select("doc_id", "key", "n_bytes").join(shared, "doc_id")
-    texts = rows.join(search, "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("key"))
+    texts = _packed(rows).join(search, ["doc_id", "key"])
     # rows that repeat an id with its text are one text
     repeats = told.where("m > 1").select("doc_id").limit(1).count()
     texts = written(texts.dropDuplicates(["doc_id"]) if repeats else texts, "shared-texts")
     found = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
     parts = max(6, int(found // CONTEXT_BYTES) + 1)
-    spans = _spans(_contexts(texts.select("doc_id", "text", "met", "split"), parts, length, gram), parts, length)
-    held = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    spans = _spans(_contexts(texts.select("doc_id", "n_bytes", "packed", "met", "split"), parts, length, gram), parts, length)
+    held = written(spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {n: [] for n in ("n_removed", "n_spans", "kept_sha256", "spans")}
-            for t, spans_ in zip(as_bytes(b.column("text")), b.column("spans").to_pylist()):
+            for t, spans_ in zip(unpacked(b.column("packed").to_pylist()), b.column("spans").to_pylist()):
                 merged: list[list[int]] = []
-                for x in spans_ or ():
+                for x in spans_:
                     if merged and x["s"] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], x["e"])
                     else:
@@ -378,7 +387,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "spans": pa.array(out["spans"], kind)})
 
-    searched = texts.select("doc_id", "n_bytes", "text").join(held, "doc_id", "left").mapInArrow(cut, schema)
+    # only texts that lose something are read again
+    searched = near(texts.select("doc_id", "n_bytes", "packed"), held, "doc_id", held.count()).join(held, "doc_id").mapInArrow(cut, schema)
     # copies of a first text, further rows of a first document among them
     extra = told.withColumn("k", F.col("m") - F.col("is_first").cast("int")).where("k > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
     whole = F.col("n_bytes") >= length
@@ -388,7 +398,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.lower(F.hex("key"))).alias("kept_sha256"),
         F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))).otherwise(none).alias("spans"),
     )
-    clean = told.where("is_first and shares is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("key")).alias("kept_sha256"), none.alias("spans"))
+    clean = told.where("is_first").join(held.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("key")).alias("kept_sha256"), none.alias("spans"))
     return searched.unionByName(copies).unionByName(clean)
 
 

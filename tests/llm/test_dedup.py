@@ -237,3 +237,20 @@ def test_candidates_are_counted_without_a_join_of_hashes(spark):
     found = prefix_tree._candidates(scanned, (85, 100))
     assert {5, 30} <= {r["doc_id"] for r in found.collect()} <= {5, 30}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_only_texts_that_lose_something_are_cut(spark, docs, corpus, monkeypatch):
+    read = []
+
+    def spied(rows, keys, key, n):
+        read.append((n, common.near(rows, keys, key, n)))
+        return read[-1][1]
+
+    monkeypatch.setattr(longest_factor, "near", spied)
+    got = {r["doc_id"]: r["n_removed"] for r in longest_factor.dedup_substrings(docs).collect()}
+    first = {}
+    for i, t, *_ in sorted(corpus, key=lambda r: r[0]):
+        first.setdefault(t or "", i)
+    lose = {i for i in first.values() if got[i]}
+    ((n, rows),) = read
+    assert n == len(lose) and lose <= {r["doc_id"] for r in rows.collect()} and rows.count() < len(first)
