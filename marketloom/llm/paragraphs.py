@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from marketloom.llm.common import LOWER, arrays, as_bytes, in_shards, joined, lists, packed, unpacked, written
 from marketloom.llm.graph import components
 from marketloom.llm.prefix_tree import BLOCK, _blocks, _links
-from marketloom.llm.shingles import mixed, shingle_hashes, shingle_set, word_hashes
+from marketloom.llm.shingles import mixed, shingle_set, shingles_of, word_hashes
 
 SHINGLE, LINK = 5, (80, 100)
 MIN_WORDS = 25
@@ -130,7 +130,7 @@ def _scan(docs: DataFrame, size: int, min_words: int, bands: int, rows: int, pas
             if texts:
                 _, lead = np.unique(names, return_index=True)
                 lead.sort()
-                banded = band_hashes(min_hashes([shingle_hashes(texts[i], size) for i in lead], bands * rows), bands, rows)
+                banded = band_hashes(min_hashes(shingles_of([texts[i] for i in lead], size), bands * rows), bands, rows)
             at = np.searchsorted(lead, cuts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -185,7 +185,7 @@ def _met_sets(docs: DataFrame, first: DataFrame, size: int, min_words: int, band
             for t, w, places in zip(raw, word_hashes(raw), shard.column("wanted").to_pylist()):
                 keep = set(places)
                 words += [w[a:b] for i, a, b in split(t, min_words) if i in keep]
-            keyed = band_hashes(min_hashes([shingle_hashes(w, size) for w in words], bands * rows_a_band), bands, rows_a_band)
+            keyed = band_hashes(min_hashes(shingles_of(words, size), bands * rows_a_band), bands, rows_a_band)
             sets = [shingle_set(w, size) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(name_of, words), np.uint64, len(words)).astype(np.int64)), pa.array([len(s) for s in sets], pa.int64()), lists(sets), lists(list(keyed))], ["cls", "n", "tokens", "bands"])
 

@@ -42,6 +42,13 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out if n == size else mixed(out ^ _ODD[32 + n])
 
 
+def shingles_of(texts: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """shingle_hashes() of each text, worked out over all of them laid end to end: short texts cost no calls of their own."""
+    all_ = shingle_hashes(np.concatenate(texts), size) if texts else None
+    starts = np.cumsum([0, *map(len, texts)]).tolist()
+    return [all_[a : a + len(t) - size + 1] if len(t) >= size else shingle_hashes(t, size) for a, t in zip(starts, texts)]
+
+
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     s = np.sort(shingle_hashes(words, size))
     return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from marketloom.llm import common, graph, longest_factor, paragraphs, prefix_tree
-from marketloom.llm.shingles import shingle_set, word_hashes
+from marketloom.llm.shingles import shingle_hashes, shingle_set, shingles_of, word_hashes
 
 
 class Union:
@@ -254,3 +254,12 @@ def test_only_texts_that_lose_something_are_cut(spark, docs, corpus, monkeypatch
     lose = {i for i in first.values() if got[i]}
     ((n, rows),) = read
     assert n == len(lose) and lose <= {r["doc_id"] for r in rows.collect()} and rows.count() < len(first)
+
+
+@pytest.mark.parametrize("size", [1, 5])
+def test_shingles_of_many_texts(size):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (7, 0, 3, 5, 4, 60, 0, 6)]
+    for some in (texts, texts[1:3], texts[1:2], []):
+        got = shingles_of(some, size)
+        assert len(got) == len(some) and all(np.array_equal(a, shingle_hashes(t, size)) for a, t in zip(got, some))
