@@ -18,6 +18,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     n = now.count()
+    if not n:
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))

@@ -263,3 +263,15 @@ def test_shingles_of_many_texts(size):
     for some in (texts, texts[1:3], texts[1:2], []):
         got = shingles_of(some, size)
         assert len(got) == len(some) and all(np.array_equal(a, shingle_hashes(t, size)) for a, t in zip(got, some))
+
+
+@pytest.mark.parametrize("plain", [0, 100_000])
+def test_joined_by_one_join_or_hot_keys_apart(spark, monkeypatch, plain):
+    monkeypatch.setattr(common, "PLAIN_ROWS", plain)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(3000)], "a long, i long")
+    facts = rows.groupBy("a").agg({"i": "max", "*": "count"}).withColumnsRenamed({"max(i)": "m", "count(1)": "k"}).where("a > 0")
+    found = common.joined(rows, facts, "a", 3000)
+    assert found.columns[:2] == ["a", "i"] and sorted(r["i"] for r in found.select("i").collect()) == [r["i"] for r in rows.where("a > 0").orderBy("i").collect()]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == (1 if plain else 3)
+    edges = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(50, 51)], "a long, b long")
+    assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == {**{i: 1 for i in range(1, 40)}, 50: 50, 51: 50}
