@@ -159,3 +159,48 @@ def test_alerts_broadcast_nothing(spark):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(exp) and set(got) == exp
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffled_rows(df):
+    """Rows that the plan's exchanges have written; one that is used twice counts once."""
+    found, stack = {}, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        p = stack.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            stack.append(p.plan())
+        elif name == "ShuffleExchangeExec":
+            found[p.id()] = p.metrics().apply("shuffleRecordsWritten").value()
+        stack += [p.children().apply(i) for i in range(p.children().size())]
+    return sum(found.values())
+
+
+def test_pairs_of_alerts_are_not_shuffled(spark):
+    """600 candidates with models of their own fit 600 subscriptions, a third of which were sent most: 360,000 pairs, none of which is shuffled."""
+    subs = spark.range(600).selectExpr("id AS subscription_id", "'confirmed' AS status", "'M' AS make", "'c' AS city", "if(id % 2 = 0, 'Model', 'model ') AS model")
+    cands = spark.range(600).selectExpr("id AS candidate_id", "'m' AS make", "'C' AS city", "concat('Model ', id) AS model")
+    sent = spark.range(200).crossJoin(spark.range(5).withColumnRenamed("id", "c")).selectExpr("id AS subscription_id", "c * 7 AS candidate_id")
+    out = matching.alert_matches(subs, cands, sent)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == 360_000 - 1000 and set(got) == {(s, c) for s in range(600) for c in range(600) if s >= 200 or c % 7 or c > 28}
+    assert shuffled_rows(out) < 60_000
+
+
+def test_alerts_dealt_to_many_parts(spark, monkeypatch):
+    """Ids that occur twice or are missing keep their rows, whichever parts they come to."""
+    for name, n in (("SUBSCRIPTIONS", 7), ("CANDIDATES", 5), ("RUN", 2)):
+        monkeypatch.setattr(matching, name, n)
+    models = ("CR", "cr-v", "CR-V Hybrid", "", None, "C%")
+    subs = [(i % 40 if i else None, "confirmed", "Honda", None, models[i % 6]) for i in range(60)]
+    cands = [(i % 33 if i else None, "honda", "", models[i * 5 % 6]) for i in range(50)]
+    sent = [(i, c) for i in range(0, 40, 3) for c in range(i % 5, 33, 4)] + [(3, None), (None, 4), (99, 1)]
+    begins = lambda s, c: c is None or (s is not None and (s.lower().startswith(c.lower()) or c.lower().startswith(s.lower())))
+    expected = [(s, c) for s, *_, sm in subs for c, *_, cm in cands if begins(sm, cm) and (s is None or c is None or (s, c) not in sent)]
+    got = matching.alert_matches(
+        spark.createDataFrame(subs, "subscription_id int, status string, make string, city string, model string"),
+        spark.createDataFrame(cands, "candidate_id int, make string, city string, model string"),
+        spark.createDataFrame(sent, "subscription_id int, candidate_id int"),
+    )
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
