@@ -1,3 +1,4 @@
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -84,6 +85,47 @@ def test_long_lists_are_matched_in_order():
     assert len(wrapper.matched(a, b)) == 200_002
 
 
+def grown(rng, depth):
+    node = wrapper.Node(rng.choice(["div", "li", "p.a"]))
+    for _ in range(rng.randrange(5)):
+        node.children.append(grown(rng, depth - 1) if depth and rng.random() < 0.6 else wrapper.Node("#text", text=rng.randrange(12)))
+    return node
+
+
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    """The same pairs and sizes as by the plain table, whichever cells are held and whatever is weighed together."""
+    def found(a, b):
+        order = lambda n: [n, *(x for c in n.children for x in order(c))]
+        number, pairs = {id(n): k for k, n in enumerate(order(a))}, wrapper.matched(a, b)
+        return wrapper._sizes(a, b, {}), [number[id(pairs[id(n)])] if id(n) in pairs else None for n in order(b)]
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        a, b = wrapper.Node("ul"), wrapper.Node("ul")
+        a.children = [grown(rng, rng.randrange(3)) for _ in range(rng.randrange(50))]
+        # every other time the second list is the first with parts taken out and put in
+        kept = [c for c in a.children if rng.random() < 0.9] if seed % 2 else []
+        b.children = [grown(rng, 1) for _ in range(rng.randrange(6 if seed % 2 else 50))] + kept
+        monkeypatch.setattr(wrapper, "MOST_PAIRS", 10**9)
+        plain = found(a, b)
+        monkeypatch.setattr(wrapper, "MOST_PAIRS", 0)
+        for cells, like in [(1 << 23, 64), (1, 1), (300, 4)]:
+            monkeypatch.setattr(wrapper, "CELLS", cells)
+            monkeypatch.setattr(wrapper, "LIKE_PAIRS", like)
+            assert found(a, b) == plain, (seed, cells, like)
+
+
+def test_long_lists_find_what_moved(spark):
+    """300 items are on every page behind 0 to 11 of its own: they are template, wherever they stand."""
+    same = "".join(f"<li>Item {k}</li>" for k in range(300))
+    a, b = (wrapper.parse("<ul>" + "".join(f"<li>new {k}</li>" for k in range(n)) + same + "</ul>")[1] for n in (0, 60))
+    texts = {id(c.children[0]): c.children[0].text for c in b.children[0].children}
+    assert sum(texts.get(k) == x.text for k, x in wrapper.matched(a, b).items()) == 300
+    rows = [(i, "http://l.example/", f"<html><body><article><p>Story {i}</p><ul>{''.join(f'<li>Own {i} {k}</li>' for k in range(i))}{same}</ul></article></body></html>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join([f"Story {i}", *(f"Own {i} {k}" for k in range(i))]) for i in range(12)}
+
+
 LIST = "<div class='x'><ul><li>{0}a</li><li>{0}b</li></ul></div>"
 
 
